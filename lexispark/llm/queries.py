@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact
+from . import chat, exact, mixing, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +20,25 @@ def op4_golomb_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_golomb_exact_dedup,)}
+def op3_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_archive(_table(spark, sf_dir, "pages"))
+    return warc.read_archive(spark, archive).drop("payload")
+
+
+def op7_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+_MARKED = "\\### Assistant: </turn> ok"
+
+
+def op10_relational_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_MARKED).alias("text"))
+    return chat.digest_conversations(chat.format_conversations(turns.unionByName(added)))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_content_addressed_warc, op4_golomb_exact_dedup, op7_sainte_lague_mix, op10_relational_chat)}
 
 QUERY_SQL: dict[str, str | None] = {
     "op4_golomb_exact_dedup": r"""
@@ -29,4 +48,30 @@ QUERY_SQL: dict[str, str | None] = {
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM t WINDOW g AS (PARTITION BY text_sha256)
     """,
+    "op3_content_addressed_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        t AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS last_id FROM p),
+        k AS (SELECT *, payload_bytes < 1000 OR page_id = last_id AS response FROM t)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN response THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN NOT response THEN last_id END AS refers_to
+        FROM k
+    """,
+    "op10_relational_chat": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ),
+        e AS (
+            SELECT *, lag(role) OVER w IS DISTINCT FROM role AS opens, lead(role) OVER w IS DISTINCT FROM role AS closes,
+                   replace(replace(text, '\', '\0'), '<', '\1') AS escaped
+            FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(length(escaped) + CASE WHEN opens THEN 12 + length(role) ELSE 6 END + CASE WHEN closes THEN 7 ELSE 0 END)::BIGINT AS formatted_chars
+        FROM e GROUP BY conv_id
+    """,
 }
