@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, mixing, warc
+from . import chat, exact, mixing, packing, rans, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,11 +20,20 @@ def op4_golomb_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), keep_ids=False).drop("ids")
+
+
 def op3_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write_archive(_table(spark, sf_dir, "pages"))
     return warc.read_archive(spark, archive).drop("payload")
 
 
+def op6_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = rans.write_token_files(_table(spark, sf_dir, "documents"))
+    return rans.read_token_files(spark, files, keep_ids=False).drop("ids")
+
+
 def op7_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -38,7 +47,7 @@ def op10_relational_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.format_conversations(turns.unionByName(added)))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_content_addressed_warc, op4_golomb_exact_dedup, op7_sainte_lague_mix, op10_relational_chat)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_shortest_pack_first, op3_content_addressed_warc, op4_golomb_exact_dedup, op6_rans_token_files, op7_sainte_lague_mix, op10_relational_chat)}
 
 QUERY_SQL: dict[str, str | None] = {
     "op4_golomb_exact_dedup": r"""
