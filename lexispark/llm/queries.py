@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, mixing, packing, rans, warc
+from . import chat, dartminhash, exact, mixing, packing, rans, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,10 @@ def op7_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_dart_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 _MARKED = "\\### Assistant: </turn> ok"
 
 
@@ -47,7 +51,7 @@ def op10_relational_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.format_conversations(turns.unionByName(added)))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_shortest_pack_first, op3_content_addressed_warc, op4_golomb_exact_dedup, op6_rans_token_files, op7_sainte_lague_mix, op10_relational_chat)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_shortest_pack_first, op3_content_addressed_warc, op4_golomb_exact_dedup, op6_rans_token_files, op7_sainte_lague_mix, op9_dart_minhash_near_dedup, op10_relational_chat)}
 
 QUERY_SQL: dict[str, str | None] = {
     "op4_golomb_exact_dedup": r"""
