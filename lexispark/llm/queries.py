@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dartminhash, exact, mixing, packing, rans, warc
+from . import chat, crf, dartminhash, exact, langid, mixing, packing, rans, secret_scan, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,11 @@ def op4_golomb_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op1_crf_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return crf.judge_documents(docs, crf.fit_field(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), keep_ids=False).drop("ids")
 
@@ -29,6 +34,13 @@ def op3_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, archive).drop("payload")
 
 
+def op5_segmentation_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = langid.fit_model(docs.filter(~held_out))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = rans.write_token_files(_table(spark, sf_dir, "documents"))
     return rans.read_token_files(spark, files, keep_ids=False).drop("ids")
@@ -38,6 +50,13 @@ def op7_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = tuple(r.kind for r in secret_scan.BASE_RULES)
+    found = secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
+    counts = [secret_scan.count_kind(k).alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.joined_spans(base), 256).alias("base_sha256"), secret_scan.joined_spans().alias("spans"))
+
+
 def op9_dart_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -51,7 +70,13 @@ def op10_relational_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.format_conversations(turns.unionByName(added)))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_shortest_pack_first, op3_content_addressed_warc, op4_golomb_exact_dedup, op6_rans_token_files, op7_sainte_lague_mix, op9_dart_minhash_near_dedup, op10_relational_chat)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_crf_line_quality, op2_shortest_pack_first, op3_content_addressed_warc, op4_golomb_exact_dedup, op5_segmentation_language_id,
+        op6_rans_token_files, op7_sainte_lague_mix, op8_trigram_secret_scan, op9_dart_minhash_near_dedup, op10_relational_chat,
+    )
+}
 
 QUERY_SQL: dict[str, str | None] = {
     "op4_golomb_exact_dedup": r"""
