@@ -17,7 +17,7 @@ from .common import ragged, utf8
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Pieces that a worker remembers at most; then it starts anew.
-MEMO_PIECES = 500_000
+MEMO_PIECES = 1_000_000
 
 #: Bytes of UTF-8 that never occur in a text that the memo may take: controls but line feed, and lead bytes beyond U+027F.
 _ODD = np.zeros(256, bool)
@@ -27,6 +27,19 @@ _ODD_TEXT = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0İʀ-\U0010ffff]")
 _SPACES = re.compile("  | \n|\n\n\n|\n\n |\n\n\\Z")
 
 
+_CLOSING = tuple(".,;:!?")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable Latin-1 stands for itself, the rest follows from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class _Memo(dict):
     """Piece to its number; unknown pieces get the next one and wait in `new`."""
 
@@ -61,16 +74,34 @@ class Encoder:
     def _forget(self) -> None:
         self.known, self.new = 0, []
         self.first, self.inner = _Memo(self, ""), _Memo(self, " ")
-        self.starts, self.lengths, self.pool = (np.empty(0, np.int64) for _ in range(3))
+        self.starts, self.lengths, self.pool = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
 
     def _learn(self) -> None:
+        """Ids of the new pieces. Letters alone are one word to the library's model; letters and a closing mark are two; the rest goes through all its steps."""
         if not self.new:
             return
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(self.new, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.starts = np.concatenate((self.starts, len(self.pool) + np.cumsum(lengths) - lengths))
+        base, tokenize = self.known - len(self.new), self.tokenizer.model.tokenize
+        found: list = []
+        pairs: list[tuple[int, int, int]] = []
+        rest: list[int] = []
+        for i, piece in enumerate(self.new):  # grows meanwhile, by parts of pieces
+            core = piece[1:] if piece[:1] == " " else piece
+            if core.isalpha():
+                found.append([t.id for t in tokenize(piece.encode().decode("latin-1").translate(_BYTE_LETTERS))])
+                continue
+            found.append(None)
+            if core[-1:] in _CLOSING and core[:-1].isalpha():
+                pairs.append((i, (self.first if core is piece else self.inner)[core[:-1]], self.first[core[-1]]))
+            else:
+                rest.append(i)
+        for i, x in zip(rest, self.tokenizer.encode_batch_fast([self.new[i] for i in rest], add_special_tokens=False)):
+            found[i] = x.ids
+        for i, a, b in pairs:
+            found[i] = [y for k in (a, b) for y in (found[k - base] if k >= base else self.pool[self.starts[k] : self.starts[k] + self.lengths[k]].tolist())]
+        lengths = np.fromiter(map(len, found), np.int32, len(found))
+        self.starts = np.concatenate((self.starts, (len(self.pool) + np.cumsum(lengths) - lengths).astype(np.int32)))
         self.lengths = np.concatenate((self.lengths, lengths))
-        self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(found), np.int64, int(lengths.sum()))))
+        self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))))
         self.new = []
 
     def _pieces(self, text: str, out: list[int]) -> None:
@@ -103,8 +134,8 @@ class Encoder:
                 counts[i] = len(pieces) - before
         self._learn()
         at = np.array(pieces, np.int64)
-        sizes = self.lengths[at]
-        ids = self.pool[ragged(self.starts[at], sizes)]
+        sizes = self.lengths[at].astype(np.int64)
+        ids = self.pool[ragged(self.starts[at].astype(np.int64), sizes)]
         ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(counts)]
         lengths = np.diff(ends, prepend=0)
         if whole:
