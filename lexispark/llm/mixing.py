@@ -24,7 +24,7 @@ from .common import arrow_schema, materialize
 
 BLOCK_WORDS = 32
 #: Documents of a shard, about: what one task holds as two numbers each.
-SHARD_ROWS = 20_000
+SHARD_ROWS = 2_000
 #: The driver holds a row for each source, and tasks get them by broadcast; more sources than this are refused.
 MAX_SOURCES = 100_000
 WEIGHTS = (5, 2, 1)
