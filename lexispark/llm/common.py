@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 BLANK = r"[\x20\x09-\x0D]+"
 _TO_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 #: Characters of text that one vectorised step holds at most (a single longer text is a step of its own).
-STEP_CHARS = 2_000_000
+STEP_CHARS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,6 +58,25 @@ def chunks(texts: list[str], most: int = STEP_CHARS) -> Iterator[tuple[int, int]
         yield a, len(texts)
 
 
+_MEMOS: dict[str, Callable[[], None]] = {}
+
+
+def memo(name: str, clear: Callable[[], None]) -> None:
+    """Names something that a Python worker remembers between tasks, and how to forget it."""
+    _MEMOS[name] = clear
+
+
+def only(name: str = "") -> None:
+    """Forgets what other operators have left in this worker, so that memory holds one operator's memo at a time."""
+    for other, clear in _MEMOS.items():
+        if other != name:
+            clear()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def utf8(text: str) -> bytes:
     """Bytes of a text; lone surrogates, which no valid column holds, don't raise."""
     return text.encode("utf-8", "surrogatepass")

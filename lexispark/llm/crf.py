@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, chunks, split_words, utf8
+from .common import batch, chunks, only, split_words, utf8
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 10, 20, 5
 CONTENT_SHARE = 0.5
@@ -244,6 +244,7 @@ def judge_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, content_share, content_lines, lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for b in batches:
             ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             for x, y in chunks(texts):
@@ -258,6 +259,7 @@ def keep_content(docs: DataFrame, field: Field, text_col: str = "text") -> DataF
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for b in batches:
             texts = [t or "" for t in b.column(at).to_pylist()]
             for x, y in chunks(texts):

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, batch, join_hot, materialize, one_space, utf8
+from .common import BLANK, batch, join_hot, materialize, one_space, only, utf8
 
 #: Rows of a partition that one message set covers at most.
 PART_ROWS = 200_000
@@ -77,6 +77,7 @@ def _send(owners: int, bits: int):
     starts = np.concatenate((np.zeros(1, np.uint64), bounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         task, flushed = TaskContext.get().partitionId(), 0
         ids: list = []
         digests: list[bytes] = []

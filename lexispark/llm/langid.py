@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, chunks
+from .common import batch, chunks, only
 
 VOCABULARY = "piece_bpe_32k.model"
 FIT_ROWS, FIT_WORDS, ROUNDS = 400, 20_000, 3
@@ -227,6 +227,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """One row per row of docs: doc_id, lang_pred, score. Of docs only the text is looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         scorer = Scorer(model)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]

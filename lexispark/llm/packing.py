@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch, chunks, materialize
+from .common import arrow_schema, batch, chunks, materialize, only
 from .tokens import BYTE_BPE, encoder
 
 SEQUENCE = 2048
@@ -81,6 +81,7 @@ def cuts(n: int, most: int = SEQUENCE) -> list[int]:
 
 def _tokenise(path: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("tokens")
         tokens, seen, part = encoder(path, True), np.zeros(SEQUENCE + 1, np.int64), TaskContext.get().partitionId()
         for b in batches:
             docs, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]

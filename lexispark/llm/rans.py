@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, chunks, materialize, new_path
+from .common import batch, chunks, materialize, new_path, only
 from .tokens import WORD_BPE, encoder
 
 MAGIC = b"LXRANS01"
@@ -178,6 +178,7 @@ _TOKENS = "doc_id long, n_tokens long, crc long, ids binary"
 
 def _tokenise(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("tokens")
         tokens = encoder(path, False)
         for b in batches:
             docs, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]

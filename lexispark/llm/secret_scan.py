@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, chunks, utf8
+from .common import batch, chunks, only, utf8
 
 try:
     from re import _constants as sre, _parser as sre_parse
@@ -244,6 +244,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     """One row per row of docs: doc_id, and the kinds, starts and ends of its spans, in order of start, then rule."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for b in batches:
             ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             for x, y in chunks(texts):

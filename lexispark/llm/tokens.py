@@ -13,7 +13,7 @@ from itertools import chain
 
 import numpy as np
 
-from .common import ragged, utf8
+from .common import memo, ragged, utf8
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Pieces that a worker remembers at most; then it starts anew.
@@ -147,6 +147,7 @@ class Encoder:
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
+memo("tokens", _ENCODERS.clear)
 
 
 def encoder(path: str, keep_spaces: bool) -> Encoder:
