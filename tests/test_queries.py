@@ -19,7 +19,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return None
     if isinstance(v, float):  # also whole numbers of a column with nulls
         return int(v) if v == int(v) else round(float(v), 6)
