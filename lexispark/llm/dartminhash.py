@@ -10,10 +10,10 @@ of each of the t coordinates is the signature; two agree in a coordinate with th
 Equal texts are one node. Nodes that agree in all coordinates of a band share a bucket, and a bucket's members are compared,
 exactly, with its leader: the member that shares most buckets with others, which stands in the middle of its family. Links of
 at least THRESHOLD give components. Members that stay apart from their leader's component are compared with a second leader
-from among them and with OTHERS further members; in buckets of up to SMALL members, with every member of another component
-that the triangle inequality leaves possible, so that no link is lost there. A pair of similarity
-s shares no bucket with probability (1 - s ** ROWS) ** BANDS, 5e-5 at 0.8; of its about eight buckets at 0.8, one that is
-small, or whose leaders link both, is enough.
+from among them; in buckets of up to SMALL members, with every member of another component that the triangle inequality
+leaves possible. Larger buckets that still hold several components are searched whole, in tiles of bounded size, for links
+between components. So no link within a bucket is lost: only a pair that shares no bucket is missed, of similarity s with
+probability (1 - s ** ROWS) ** BANDS, 5e-5 at 0.8.
 
 Defined results: texts of one to four words have one shingle, all their words; texts without words, and null texts,
 stay alone; a class's id is its smallest doc_id, and that document is kept (one of the rows that repeat it); null doc_ids
@@ -36,10 +36,10 @@ from .common import arrow_schema, batch, chunks, join_hot, materialize, memo, mi
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
-#: Further members that what stays apart from its bucket's leader is compared with.
-OTHERS = 4
-#: Members of a bucket within which no link may be lost; in larger ones links go over leaders.
+#: Members of a bucket whose pairs are joined; larger ones are searched in tiles.
 SMALL = 8
+#: Members, and bytes of their shingles, in one side of a tile (a single larger set is a side of its own, more or less).
+TILE, TILE_BYTES = 1000, 4_000_000
 #: Pairs of one leader that meet its shingles in one task.
 LEADER_PAIRS = 200
 _MEMO_WORDS = 300_000
@@ -189,6 +189,63 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(with_b.join(leaders, ["a", "part"]).mapInArrow(_compare, _COMPARED), "compared")
 
 
+def linking_pairs(root: np.ndarray, block: np.ndarray, elements: list[np.ndarray], weights: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Places of pairs of at least threshold that connect all roots which such pairs connect. Of two blocks, only pairs across count.
+
+    A pair of similarity t shares more than 1 - t of each one's weight, so it shares one of the shingles that a member can't
+    do without: its rarest ones, of a little over 1 - t of its weight. Only members with one of those are compared.
+    """
+    root, across = root.copy(), len(np.unique(block)) > 1
+    counts = np.array([len(e) for e in elements])
+    first, owner = np.cumsum(counts) - counts, np.repeat(np.arange(len(counts)), counts)
+    _, token = np.unique(np.concatenate(elements), return_inverse=True)
+    weight = np.concatenate(weights).astype(np.int64)
+    total = np.bincount(owner, weight, len(counts))
+    holders = np.bincount(token)
+    begin, posted = np.cumsum(holders) - holders, owner[np.argsort(token, kind="stable")]
+    rarest = np.lexsort((token, holders[token], owner))
+    own = np.zeros(len(holders), np.int64)
+    out = []
+    for a in range(len(counts)):
+        mine = rarest[first[a] : first[a] + counts[a]]
+        head = token[mine[: np.searchsorted(np.cumsum(weight[mine]), (1 - threshold) * total[a] + 1e-6, "right") + 1]]
+        near = np.unique(posted[ragged(begin[head], holders[head])])
+        near = near[(near > a) & (root[near] != root[a]) & ((block[near] != block[a]) | (not across))]
+        near = near[np.minimum(total[near], total[a]) >= threshold * np.maximum(total[near], total[a]) - 1e-6]
+        if not len(near):
+            continue
+        own[token[mine]] = weight[mine]
+        at = ragged(first[near], counts[near])
+        both = np.bincount(np.repeat(np.arange(len(near)), counts[near]), np.minimum(own[token[at]], weight[at]), len(near))
+        own[token[mine]] = 0
+        for b in near[both / (total[a] + total[near] - both) >= threshold].tolist():
+            if root[b] != root[a]:
+                out.append((a, b))
+                root[root == root[b]] = root[a]
+    return out
+
+
+def search(members: DataFrame, sets: DataFrame, threshold: float, total: int) -> DataFrame:
+    """Links (a, b) of at least threshold between the components of each bucket: members has bucket, node and root, total rows at most."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root, block = (table.column(k).to_numpy() for k in ("node", "root", "block"))
+        elements, weights = ([np.frombuffer(v, kind) for v in table.column(k).to_pylist()] for k, kind in (("elements", "<u8"), ("weights", "<u4")))
+        found = np.array(linking_pairs(root, block, elements, weights, threshold), np.int64).reshape(-1, 2)
+        return pa.table({"a": node[found[:, 0]], "b": node[found[:, 1]]})
+
+    members = members.join(sets.select("node", F.length("elements").alias("bytes")), "node")
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("of"), F.sum("bytes").alias("bytes"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+    blocks = F.greatest(F.ceil(F.col("of") / TILE), F.ceil(F.col("bytes") / TILE_BYTES)).cast("int").alias("blocks")
+    dealt = join_hot(members.drop("bytes"), buckets.select("bucket", "of", blocks), ["bucket"], "of", total)
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root")
+    # tiles of one component have nothing to link
+    tiles = materialize(dealt, "dealt")
+    mixed = tiles.groupBy("bucket", "i", "j").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket", "i", "j")
+    return materialize(tiles.join(mixed, ["bucket", "i", "j"]).join(sets, ["node"]).groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct(), "linking")
+
+
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """node and the smallest node of its component, for all nodes of links (a, b): alternating large and small stars."""
 
@@ -256,12 +313,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
 
     roots = materialize(components(links), "roots")
     rest = materialize(apart(members, roots).filter("node_root != leader_root").select("bucket", "node", "size", "middle"), "rest")
-    # those that stay apart meet a leader from among them, and others of their buckets
+    # those that stay apart meet a leader from among them
     among = pairs(led(rest, [-F.col("middle"), F.xxhash64("node", "bucket")]))
-    others = shared.select("bucket", "node").groupBy("bucket").agg(*(F.min(F.struct(F.xxhash64(F.lit(k), "node", "bucket").alias("o"), "node"))["node"].alias(f"o{k}") for k in range(OTHERS)))
-    sizes = rest.groupBy("bucket").agg(F.count("*").alias("of"))
-    others = others.join(sizes, "bucket").select("bucket", "of", F.array_distinct(F.array(*(f"o{k}" for k in range(OTHERS)))).alias("leaders"))
-    met = pairs(join_hot(rest, others, ["bucket"], "of", n * BANDS).withColumn("leader", F.explode("leaders")))
     # in small buckets it meets everyone that the distances to the first leader leave possible
     near = first.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("away"))
     marked = apart(members.filter(F.col("size") <= SMALL), roots).join(near, ["leader", "node"], "left").withColumn("away", F.coalesce("away", F.lit(0.0)))
@@ -269,9 +322,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     x = marked.filter("node_root != leader_root").select("bucket", F.col("node").alias("a"), F.col("node_root").alias("a_root"), F.col("away").alias("a_away"))
     y = marked.filter("away > 0").select("bucket", F.col("node").alias("b"), F.col("node_root").alias("b_root"), F.col("away").alias("b_away"), (F.col("node_root") != F.col("leader_root")).alias("b_apart"))
     left = x.join(y, ["bucket"]).filter((F.col("a_root") != F.col("b_root")) & (F.abs(F.col("a_away") - F.col("b_away")) <= 1 - threshold + 1e-9) & (~F.col("b_apart") | (F.col("a") < F.col("b"))))
-    again = compare(among.union(met).union(left.select("a", "b")).distinct(), sets)
-    links = links.unionByName(again.filter(F.col("similarity") >= threshold))
+    again = compare(among.union(left.select("a", "b")).distinct(), sets)
+    links = links.select("a", "b").unionByName(again.filter(F.col("similarity") >= threshold).select("a", "b"))
     roots = materialize(components(links), "roots")
+    # larger buckets are searched for what still links their components
+    large = shared.filter(F.col("size") > SMALL).join(roots, ["node"], "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    more = search(large, sets, threshold, n * BANDS)
+    if more.count():
+        roots = materialize(components(links.unionByName(more)), "roots")
 
     classed = nodes.select("node", "key", "first_id", "copies").join(roots, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
     classed = materialize(classed, "classed")

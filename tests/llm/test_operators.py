@@ -313,6 +313,38 @@ def test_near_duplicates(spark, docs, odd):
     assert dartminhash.near_duplicates(odd.limit(0)).count() == 0 and dartminhash.drop_near_duplicates(odd).columns == odd.columns
 
 
+def test_family_without_a_middle(spark, monkeypatch):
+    """200 texts of one template: each is near its twin alone, and most twins share large buckets only."""
+    template = [f"t{k}" for k in range(405)]
+    rows = [(i, " ".join(template + [f"g{i // 2}x{k}" for k in range(12)] + [f"o{i}x{k}" for k in range(48)])) for i in range(200)]
+    doc, h, n, _ = dartminhash.shingles([utf8(t) for _, t in rows[:3]])
+    one, twin, other = ((h[doc == k], n[doc == k]) for k in range(3))
+    assert dartminhash.weighted_jaccard(*one, *twin) >= 0.8 > dartminhash.weighted_jaccard(*one, *other)
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(dartminhash, "TILE", 20)  # several tiles a bucket
+    assert {r["doc_id"]: r["class_id"] for r in dartminhash.near_duplicates(texts).collect()} == {i: i - i % 2 for i, _ in rows}
+
+
+def test_linking_pairs():
+    rng = np.random.default_rng(8)
+    base = rng.choice(2000, 120, replace=False)
+    elements, weights = [], []
+    for _ in range(60):
+        e = np.unique(np.concatenate((rng.choice(base, 110, replace=False), rng.integers(0, 2000, rng.integers(0, 20)))))
+        elements.append(e.astype(np.uint64))
+        weights.append(rng.integers(1, 3, len(e)).astype(np.uint32) if rng.random() < 0.3 else np.ones(len(e), np.uint32))
+    for block in (np.zeros(60, int), np.arange(60) % 2):
+        for threshold in (0.7, 0.75, 0.8):
+            links = [(a, b) for a in range(60) for b in range(a) if (block[a] != block[b] or not block.any()) and dartminhash.weighted_jaccard(elements[a], weights[a], elements[b], weights[b]) >= threshold]
+            parts = []
+            for pairs in (links, dartminhash.linking_pairs(np.arange(60), block, elements, weights, threshold)):
+                part = np.arange(60)
+                for a, b in pairs:
+                    part[part == max(part[a], part[b])] = min(part[a], part[b])
+                parts.append(part.tolist())
+            assert parts[0] == parts[1]
+
+
 # 10
 
 
