@@ -16,8 +16,8 @@ between components. So no link within a bucket is lost: only a pair that shares
 probability (1 - s ** ROWS) ** BANDS, 5e-5 at 0.8.
 
 Defined results: texts of one to four words have one shingle, all their words; texts without words, and null texts,
-stay alone; a class's id is its smallest doc_id, and that document is kept (one of the rows that repeat it); null doc_ids
-are kept as members; an empty table gives no rows; further columns are ignored.
+stay alone; a class's id is its smallest doc_id, and one row of it is kept: of several texts with that id, the one whose words
+have the smallest digest; of a class without ids, whose id is null, likewise one row; null doc_ids are kept as members; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch, chunks, join_hot, materialize, memo, mix64, only, ragged, split_words, utf8
+from .common import BLANK, arrow_schema, batch, chunks, join_hot, materialize, memo, mix64, only, ragged, split_words, utf8
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -269,9 +269,8 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.col("m").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct().join(edges.select(F.col("u").alias("node")), ["node"], "left_anti"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, class_id (smallest doc_id of its class), class_size (rows), kept."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of documents (doc_id, text): those with words, a row per doc_id and key with class_id, class_size, rows and own (whether one of them is kept); and the rest's doc_ids."""
     signed = materialize(docs.mapInArrow(_sign, _SIGNED), "signed")
     rows = signed.count()
     alone = signed.filter(F.size("bands") == 0)
@@ -333,21 +332,32 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
 
     classed = nodes.select("node", "key", "first_id", "copies").join(roots, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
     classed = materialize(classed, "classed")
-    classes = classed.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("nodes"))
-    named = materialize(join_hot(classed, classes, ["root"], "nodes", n).select("key", "class_id", "class_size", "copies"), "named")
+    # the kept document is chosen in each component, as several may have one id: its smallest doc_id, then the smallest key
+    classes = classed.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("nodes"), F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", F.hex("key").alias("own"))).alias("kept"))
+    named = join_hot(classed, classes, ["root"], "nodes", n)
+    named = materialize(named.select("key", "class_id", "class_size", "copies", (F.hex("key") == F.col("kept.own")).alias("own")), "named")
     # rows that repeat id and text are counted, so that one of them is kept
     each = texts.groupBy("doc_id", "key").agg(F.count("*").alias("rows"))
     found = join_hot(each, named, ["key"], "copies", rows)
-    # where two texts have the class's id, one of them is kept: the one with the smaller key
-    chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min(F.hex("key")).alias("own"), F.max("class_size").alias("weight"))
-    found = found.join(chosen.select(F.col("class_id").alias("its_id"), "own"), found["doc_id"].eqNullSafe(F.col("its_id")) & found["class_id"].eqNullSafe(F.col("its_id")), "left")
+    return found.withColumn("own", F.col("own") & F.col("doc_id").eqNullSafe(F.col("class_id"))), alone.select("doc_id")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, class_id (smallest doc_id of its class), class_size (rows), kept."""
+    found, alone = _classes(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), threshold)
     found = found.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    kept = F.coalesce((F.hex("key") == F.col("own")) & (F.col("nth") == 1), F.lit(False))
-    return found.select("doc_id", "class_id", "class_size", kept.alias("kept")).unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept")))
+    return found.select("doc_id", "class_id", "class_size", (F.col("own") & (F.col("nth") == 1)).alias("kept")).unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept")))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each class, all columns as they were. Rows that repeat an id stay or go together."""
-    found = near_duplicates(docs, threshold, id_col, text_col)
-    ids = materialize(found.groupBy(F.col("doc_id").alias("__id")).agg(F.max("kept").alias("__kept")).filter("not __kept").select("__id"), "dropped")
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["__id"]), "left_anti")
+    """docs with one row of each class, all columns as they were. Of rows that repeat id and words, any one stays."""
+    found, _ = _classes(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), threshold)
+    marks = materialize(found.filter("NOT own OR rows > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__of"), "own"), "dropped")
+    # the digest of words that shingles() gives
+    keyed = docs.withColumn("__key", F.unhex(F.md5(F.encode(F.trim(F.regexp_replace(text_col, BLANK, " ")), "UTF-8"))))
+    same = keyed[id_col].eqNullSafe(marks["__id"]) & (keyed["__key"] == marks["__of"])
+    left = keyed.join(marks, same, "left_anti")
+    twice = marks.filter("own")
+    if twice.count():
+        left = left.unionByName(keyed.join(twice, same, "left_semi").dropDuplicates([id_col, "__key"]))
+    return left.drop("__key")

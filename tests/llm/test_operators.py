@@ -325,6 +325,16 @@ def test_family_without_a_middle(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in dartminhash.near_duplicates(texts).collect()} == {i: i - i % 2 for i, _ in rows}
 
 
+def test_kept_of_null_and_repeated_ids(spark):
+    texts = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abc"}
+    rows = [(None, texts["a"]), (None, texts["a"] + " z"), (None, texts["b"]), (7, texts["c"]), (7, texts["c"] + " z"), (7, texts["c"]), (7, "other words"), (8, "")]
+    table = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, key string")
+    found = dartminhash.near_duplicates(table).collect()
+    assert Counter((r["doc_id"], r["class_size"], r["kept"]) for r in found) == Counter({(None, 2, True): 1, (None, 2, False): 1, (None, 1, True): 1, (7, 3, True): 1, (7, 3, False): 2, (7, 1, True): 1, (8, 1, True): 1})
+    left = dartminhash.drop_near_duplicates(table).collect()
+    assert sorted(r["text"][:2] for r in left) == ["", "a0", "b0", "c0", "ot"] and left[0].asDict().keys() == {"doc_id", "text", "key"}
+
+
 def test_linking_pairs():
     rng = np.random.default_rng(8)
     base = rng.choice(2000, 120, replace=False)
