@@ -247,7 +247,10 @@ def search(members: DataFrame, sets: DataFrame, threshold: float, total: int) ->
 
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """node and the smallest node of its component, for all nodes of links (a, b): alternating large and small stars."""
+    """node and the smallest node of its component, for all nodes of links (a, b): alternating large and small stars.
+
+    Raises an error if the edges still change after that many rounds.
+    """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         # each node's smallest neighbour; large: its larger neighbours go there, small: the node and its smaller neighbours do.
@@ -266,6 +269,8 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
             break
         mark = tuple(found)
         edges = materialize(star(star(edges, True), False).distinct(), "edges")
+    else:
+        raise RuntimeError(f"components are not stable after {rounds} rounds")
     return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.col("m").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct().join(edges.select(F.col("u").alias("node")), ["node"], "left_anti"))
 
 

@@ -335,6 +335,12 @@ def test_kept_of_null_and_repeated_ids(spark):
     assert sorted(r["text"][:2] for r in left) == ["", "a0", "b0", "c0", "ot"] and left[0].asDict().keys() == {"doc_id", "text", "key"}
 
 
+def test_components_are_whole_or_an_error(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(20)], "a long, b long")
+    with pytest.raises(RuntimeError, match="not stable after 2 rounds"):
+        dartminhash.components(chain, rounds=2)
+
+
 def test_linking_pairs():
     rng = np.random.default_rng(8)
     base = rng.choice(2000, 120, replace=False)
