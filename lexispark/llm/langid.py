@@ -10,7 +10,7 @@ Letters that no piece covers have a probability of their own, FLOOR. Words are c
 in range; segmentations across a cut aren't summed.
 
 Defined results: a text that is null or has no letter gets "und" with score 1; a null doc_id is never held out, nor learned from;
-rows that repeat an id are rows of their own; an empty table gives no rows; without rows to learn from every text is "und";
+rows that repeat an id are rows of their own; an empty table gives no rows; without rows to learn from every text is "und"; more than MOST_LANGUAGES languages to learn are refused;
 further columns are ignored.
 """
 
@@ -209,8 +209,10 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_model(docs: DataFrame, vocabulary_path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the languages of docs' rows with an id, a text and a language."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
     by = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= FIT_ROWS).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).distinct().limit(FIT_ROWS * MOST_LANGUAGES)
+    chosen = rows.select("doc_id", "lang").withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= FIT_ROWS).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).distinct()
     some = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("lang", "text")
     counted = some.mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = counted.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("nth") <= FIT_WORDS)

@@ -190,6 +190,13 @@ def test_language(spark, odd):
     assert {r["lang_pred"] for r in langid.predict(docs.limit(3), langid.fit_model(docs.limit(0))).collect()} == {"und"}
 
 
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    rows = spark.createDataFrame([(k, "word", f"l{k}") for k in range(3)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        langid.fit_model(rows)
+
+
 # 6
 
 
