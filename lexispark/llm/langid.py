@@ -4,7 +4,7 @@ Each language has a probability for every piece of a fixed public vocabulary. A
 segmentations into pieces of the products of their probabilities, by the forward algorithm; a text's is the product over
 its words, runs of letters in lower case. Words are scored once and remembered. Probabilities are learned by
 expectation maximisation over the same segmentations (forward and backward), on at most FIT_ROWS documents of each
-language, those of smallest hash, and of their words the FIT_WORDS most frequent.
+language, those of smallest hash.
 
 Letters that no piece covers have a probability of their own, FLOOR. Words are cut every LONGEST letters, so that long runs stay
 in range; segmentations across a cut aren't summed.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import batch, chunks, only
 
 VOCABULARY = "piece_bpe_32k.model"
-FIT_ROWS, FIT_WORDS, ROUNDS = 400, 20_000, 3
+FIT_ROWS, ROUNDS = 400, 3
 MOST_LANGUAGES = 500
 LONGEST = 40
 FLOOR = 1e-8
@@ -215,9 +215,8 @@ def fit_model(docs: DataFrame, vocabulary_path: str = VOCABULARY, id_col: str =
     chosen = rows.select("doc_id", "lang").withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= FIT_ROWS).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).distinct()
     some = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("lang", "text")
     counted = some.mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("nth") <= FIT_WORDS)
     found: dict[str, dict[str, int]] = {}
-    for r in top.toLocalIterator():
+    for r in counted.toLocalIterator():
         found.setdefault(r["lang"], {})[r["word"]] = r["n"]
     return fit(found, vocabulary(vocabulary_path))
 

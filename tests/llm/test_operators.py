@@ -197,6 +197,13 @@ def test_too_many_languages_are_refused(spark, monkeypatch):
         langid.fit_model(rows)
 
 
+def test_all_words_of_the_sample_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "fit", lambda counts, pieces: counts)
+    words = ["".join(chr(97 + k // 26**p % 26) for p in range(4)) for k in range(20_050)]
+    rows = spark.createDataFrame([(1, " ".join(words), "a")], "doc_id long, text string, lang string")
+    assert langid.fit_model(rows) == {"a": dict.fromkeys(words, 1)}
+
+
 # 6
 
 
