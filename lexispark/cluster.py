@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -36,3 +38,20 @@ def ship(spark: SparkSession) -> None:
             z.write(path, path.relative_to(root.parent))
     spark.sparkContext.addPyFile(archive)
     spark.conf.set(_SHIPPED, "true")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one if all of Spark
+    is one process (tests); on a cluster that raises, as a folder of one machine would lose data."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not re.fullmatch(r"local(\[[^,\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="lexispark-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own in shared_dir()."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import io
 import lzma
+import re
 import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
+from itertools import islice
+from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,15 +47,29 @@ def read_jsonl(spark: SparkSession, path: str, resource: str, schema: str = "id
 
 
 def read_jsonl_filtered(spark: SparkSession, path: str, resource: str) -> DataFrame:
-    """JSON lines with id, u (URL), text and filter, which is "keep" for good ones."""
-    df = spark.read.schema("id string, u string, text string, filter string").json(path).filter("text IS NOT NULL AND text <> ''")
-    return _candidates(df, resource, doc_id=F.col("id"), url=F.col("u"), domain=X.url_domain(F.col("u")), quality=F.when(F.col("filter") == "keep", "good"), text=F.col("text"))
+    """JSON lines with id, u (URL), crawl_id, text and filter, which is the quality; "keep" is good."""
+    df = spark.read.schema("id string, u string, crawl_id string, text string, filter string").json(path).filter("text IS NOT NULL AND text <> ''")
+    quality = F.when(F.col("filter") == "keep", "good").otherwise(F.col("filter"))
+    return _candidates(df, resource, doc_id=F.col("id"), title=F.col("crawl_id"), url=F.col("u"), domain=X.url_domain(F.col("u")), genre=F.lit("web"), quality=quality, text=F.col("text"))
+
+
+def numbered_lines(df: DataFrame) -> DataFrame:
+    """Lines of text files (value), with their file and their number in it from 1 on, however Spark has split the files.
+
+    Lines are numbered within each split, of which a task reads a few; the lines before a split are a sum over the splits of its file.
+    """
+    rows = df.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    own = rows.withColumn("own", F.row_number().over(Window.partitionBy("file", "block").orderBy("at")))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(before, F.lit(0)).alias("earlier"))
+    return own.join(blocks, ["file", "block"]).select("value", "file", (F.col("earlier") + F.col("own")).alias("line"))
 
 
 def read_text_lines(spark: SparkSession, path: str, resource: str, url: str | None = None, domain: str | None = None) -> DataFrame:
-    """Lines of text files; a line's id is its file and a hash of its text (lines have no number in a split file)."""
-    df = spark.read.text(path).filter(F.trim("value") != "")
-    return _candidates(df, resource, doc_id=F.lower(F.hex(F.xxhash64("value"))), url=F.lit(url), domain=F.lit(domain), text=F.col("value"))
+    """Lines of text files that have more than white space; a line's id is its number in its file."""
+    df = numbered_lines(spark.read.text(path)).filter(F.trim("value") != "")
+    found = {"doc_id": F.col("line"), "url": F.lit(url), "domain": F.lit(domain), "text": F.col("value")}
+    return df.select(F.lit(resource).alias("resource_id"), partition_id(F.lit(resource), F.col("file")).alias("partition_id"), *(found.get(c, F.lit(None)).cast("string").alias(c) for c in FIELDS))
 
 
 def read_conllu(spark: SparkSession, path: str, resource: str) -> DataFrame:
@@ -62,10 +79,20 @@ def read_conllu(spark: SparkSession, path: str, resource: str) -> DataFrame:
     return _candidates(df.filter(field("text") != ""), resource, doc_id=F.nullif(field("sent_id"), F.lit("")), title=F.nullif(field("source"), F.lit("")), text=field("text"))
 
 
-def read_tatoeba(spark: SparkSession, path: str, resource: str, languages: tuple[str, ...] = ("sqi", "sq")) -> DataFrame:
-    """Tab-separated id, language and sentence."""
-    df = spark.read.schema("id string, lang string, text string").option("sep", "\t").option("quote", "").csv(path).filter(F.col("lang").isin(*languages))
-    return _candidates(df, resource, doc_id=F.col("id"), url=F.concat(F.lit("https://tatoeba.org/en/sentences/show/"), "id"), domain=F.lit("tatoeba.org"), text=F.col("text"))
+def read_tatoeba(spark: SparkSession, path: str, resource: str, languages: tuple[str, ...] = ("sqi", "sq"), member: str = "sentences_detailed.csv") -> DataFrame:
+    """Tab-separated id, language and sentence, in tar archives."""
+
+    def members(data: bytes, file: str):
+        with tarfile.open(fileobj=io.BytesIO(data)) as t:
+            for m in t:
+                if m.name.endswith(member):
+                    for line in io.TextIOWrapper(t.extractfile(m), "utf-8", "replace", "\n"):
+                        fields = line.rstrip("\r\n").split("\t", 3)
+                        if len(fields) > 2 and fields[1] in languages:
+                            yield fields[0], fields[2]
+
+    found = _archives(spark, path, resource, members, "parallel")
+    return found.withColumns({"title": F.lit("Tatoeba"), "url": F.concat(F.lit("https://tatoeba.org/en/sentences/show/"), "doc_id"), "domain": F.lit("tatoeba.org")})
 
 
 def _strings(field: T.DataType, at: Column, path: str) -> list[Column]:
@@ -106,16 +133,18 @@ def read_parquet_strings(spark: SparkSession, path: str, resource: str) -> DataF
 
 
 Member = Callable[[bytes, str], Iterator[tuple[str, str]]]
+_BATCH = 2000
 
 
 def _archives(spark: SparkSession, path: str, resource: str, members: Member, genre: str | None = None) -> DataFrame:
-    """(doc_id, text) of archives, each by one task; binaryFile is limited to files of 2 GB, larger ones have to be split beforehand."""
+    """(doc_id, text) of archives, each by one task, which holds the packed file and a batch of rows; binaryFile is limited to files of 2 GB, larger ones have to be split beforehand."""
 
     def run(batches):
         for pdf in batches:
             for file, content in zip(pdf["path"], pdf["content"]):
-                rows = list(members(bytes(content), file))
-                yield pd.DataFrame({"path": [file] * len(rows), "doc_id": [a for a, _ in rows], "text": [b for _, b in rows]})
+                found = members(bytes(content), file)
+                while rows := list(islice(found, _BATCH)):
+                    yield pd.DataFrame({"path": [file] * len(rows), "doc_id": [a for a, _ in rows], "text": [b for _, b in rows]})
 
     df = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, doc_id string, text string")
     none = F.lit(None).cast("string")
@@ -138,9 +167,10 @@ def read_moses_zip(spark: SparkSession, path: str, resource: str, suffix: str =
     def members(data: bytes, file: str):
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for name in sorted(x for x in z.namelist() if x.endswith(suffix)):
-                for n, line in enumerate(z.read(name).decode("utf-8", "replace").split("\n"), 1):
-                    if line.strip():
-                        yield f"{name}:{n}", line.rstrip("\r")
+                with io.TextIOWrapper(z.open(name), "utf-8", "replace", "\n") as lines:
+                    for n, line in enumerate(lines, 1):
+                        if line.strip():
+                            yield f"{name}:{n}", line.rstrip("\r\n")
 
     return _archives(spark, path, resource, members, "parallel")
 
@@ -152,18 +182,136 @@ def read_tar_sentences(spark: SparkSession, path: str, resource: str, suffix: st
         with tarfile.open(fileobj=io.BytesIO(data)) as t:
             for m in t:
                 if m.name.endswith(suffix):
-                    for line in t.extractfile(m).read().decode("utf-8", "replace").split("\n"):
-                        i, tab, text = line.partition("\t")
+                    for line in io.TextIOWrapper(t.extractfile(m), "utf-8", "replace", "\n"):
+                        i, tab, text = line.rstrip("\r\n").partition("\t")
                         if tab and text.strip():
                             yield i, text
 
     return _archives(spark, path, resource, members)
 
 
+def read_xml_zip(spark: SparkSession, path: str, resource: str) -> DataFrame:
+    """Paragraphs (p) of documents (doc) of the first .xml member of zips: the paragraph's id, or else the document's, and its quality; the document's title, URL and domain."""
+    schema = "path string, doc_id string, title string, url string, domain string, quality string, text string"
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def run(batches):
+        for pdf in batches:
+            for file, content in zip(pdf["path"], pdf["content"]):
+                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                    first = next(x for x in z.namelist() if x.endswith(".xml"))
+                    found = _paragraphs(z.open(first))
+                    while rows := list(islice(found, _BATCH)):
+                        yield pd.DataFrame([(file, *r) for r in rows], columns=names)
+
+    df = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    return df.select(F.lit(resource).alias("resource_id"), partition_id(F.lit(resource), F.col("path")).alias("partition_id"), *(F.col(c) if c in names else F.lit(None).cast("string").alias(c) for c in FIELDS))
+
+
+def _paragraphs(source) -> Iterator[tuple]:
+    doc: dict = {}
+    for event, node in ElementTree.iterparse(source, ("start", "end")):
+        if event == "start" and node.tag == "doc":
+            doc = dict(node.attrib)
+        elif event == "end" and node.tag == "p":
+            yield node.get("id") or doc.get("id") or "unknown-paragraph", doc.get("title"), doc.get("url"), doc.get("domain"), node.get("quality"), "".join(node.itertext())
+            node.clear()
+        elif event == "end" and node.tag == "doc":
+            doc = {}
+            node.clear()
+
+
+_WIKI_MARK = re.compile(r"\{\{|\}\}|\[\[|\]\]|\||[\[\]'=]")
+
+
+def plain_wiki(text: str) -> str:
+    """Wiki markup off: templates go, however nested; of a link its last part stays; brackets, quotes and "=" are spaces."""
+    out: list[str] = []
+    link: list[str] = []
+    templates = links = at = 0
+
+    def put(s: str) -> None:
+        if s and not templates:
+            (link if links else out).append(s)
+
+    for m in _WIKI_MARK.finditer(text):
+        put(text[at : m.start()])
+        at, mark = m.end(), m.group()
+        if mark == "{{":
+            templates += 1
+        elif mark == "}}" and templates:
+            templates -= 1
+        elif templates:
+            pass
+        elif mark == "[[":
+            links += 1
+            link.clear()
+        elif mark == "]]" and links:
+            links -= 1
+            out.append("".join(link) + " ")
+            link.clear()
+        elif links:
+            link.clear() if mark == "|" else link.append(mark)
+        else:
+            out.append({"[[": "  ", "]]": "  "}.get(mark, " " if mark in "[]'=" else mark))
+    put(text[at:])
+    return "".join(out)
+
+
+@F.pandas_udf(T.StringType())
+def strip_wiki(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else plain_wiki(t))
+
+
 def read_wiki(spark: SparkSession, path: str, resource: str) -> DataFrame:
-    """Pages of name space 0 of a MediaWiki dump (bzip2 splits), as they are marked up."""
-    df = spark.read.format("xml").option("rowTag", "page").schema("id string, ns int, title string, revision struct<text: struct<_VALUE: string>>").load(path).filter("ns = 0")
-    return _candidates(df, resource, doc_id=F.col("id"), title=F.col("title"), genre=F.lit("encyclopedia"), text=F.col("revision.text._VALUE"))
+    """Pages of name space 0 of a MediaWiki dump (bzip2 splits), without their markup."""
+    df = spark.read.format("xml").option("rowTag", "page").schema("id string, ns int, title string, revision struct<text: struct<_VALUE: string>>").load(path).filter("ns = 0 AND trim(revision.text._VALUE) <> ''")
+    return _candidates(df, resource, doc_id=F.col("id"), title=F.col("title"), domain=F.lit("wikimedia.org"), genre=F.lit("wikimedia"), text=strip_wiki(F.col("revision.text._VALUE")))
+
+
+def read_selection(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a file as selections, trimmed; empty ones and those after "#" go. An empty selection is an error."""
+    rows = spark.read.text(path).select(F.trim("value").alias("selection")).filter("selection <> '' AND NOT startswith(selection, '#')")
+    if not rows.limit(1).count():
+        raise ValueError(f"{path} selects nothing")
+    return rows
+
+
+def read_lexemes(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks of "-lexeme" of text files: lex, tags (of verbs), paradigm, lexref and translation."""
+    blocks = spark.read.option("lineSep", "-lexeme").text(path)
+    field = lambda name: F.nullif(F.regexp_extract("value", rf"(?:^|\n)\s*{name}:\s*(\S+)", 1), F.lit(""))
+    gramm = F.regexp_extract("value", r"(?:^|\n)\s*gramm:\s*([^\n]+)", 1)
+    tags = F.filter(F.transform(F.split(gramm, ","), lambda t: F.trim(t)), lambda t: t != "")
+    trans = F.trim(F.regexp_extract("value", r"(?s)(?:^|\n)\s*trans_en:\s*(.*)$", 1))
+    found = blocks.select(field("lex").alias("lex"), tags.alias("tags"), field("paradigm").alias("paradigm"), field("lexref").alias("lexref"), F.regexp_replace(trans, r"\s+$", "").alias("trans_en"))
+    return found.filter(F.col("lex").isNotNull() & F.array_contains("tags", "V"))
+
+
+#: Forms of an inflection template that are not forms.
+TEMPLATE_TAGS = ("table-tags", "inflection-template", "class")
+
+
+def read_wordforms(spark: SparkSession, path: str) -> DataFrame:
+    """Forms of JSON lines of a dictionary: those of conjugation tables that have tags, without what belongs to the template: word, nth, form, tags."""
+    rows = spark.read.schema("word string, forms array<struct<form:string,tags:array<string>,source:string>>").json(path)
+    found = rows.select("word", F.posexplode("forms").alias("nth", "f")).select("word", "nth", F.col("f.form").alias("form"), F.col("f.tags").alias("tags"), F.col("f.source").alias("source"))
+    return found.filter((F.col("source") == "conjugation") & (F.size("tags") > 0) & ~F.arrays_overlap("tags", F.array(*map(F.lit, TEMPLATE_TAGS)))).drop("source")
+
+
+def read_analyses(spark: SparkSession, path: str, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of an analyzer (JSON lines) for targets (target_id, target_key): those that are valid, the first of each target and
+    mode; and how many rows were refused why: broken, unknown target, key of another target, repeated."""
+    schema = "targetId string, targetKey string, mode string, token string, analyses array<struct<wf:string,lemma:string,gramm:string,tags:array<string>>>, _bad string"
+    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").json(path)
+    known = targets.select(F.col("target_id").alias("targetId"), F.col("target_key").alias("known"))
+    rows = rows.join(known, "targetId", "left")
+    why = F.when(F.col("_bad").isNotNull() | F.col("mode").isNull(), "broken").when(F.col("known").isNull(), "unknown").when(F.col("known") != F.col("targetKey"), "other key")
+    rows = rows.withColumn("why", why)
+    first = Window.partitionBy("targetId", "mode").orderBy("token", F.to_json("analyses"))
+    valid = rows.filter("why IS NULL").withColumn("nth", F.row_number().over(first))
+    refused = rows.filter("why IS NOT NULL").select("why").unionByName(valid.filter("nth > 1").select(F.lit("repeated").alias("why"))).groupBy("why").agg(F.count("*").alias("n"))
+    return valid.filter("nth = 1").select("targetId", "mode", "token", "analyses"), refused
 
 
 def read_targets(spark: SparkSession, path: str) -> DataFrame:
@@ -179,3 +327,17 @@ def ledger(spark: SparkSession, path: str, formats: DataFrame) -> DataFrame:
     schema = "resources array<struct<id:string,status:string,localPath:string,format:string>>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("resources").alias("r")).select("r.*")
     return rows.filter("status = 'downloaded' AND id IS NOT NULL AND localPath IS NOT NULL").join(F.broadcast(formats), "format").select("id", F.col("localPath").alias("path"), "format", "kind")
+
+
+#: Kind of a source to its reader.
+READERS: dict[str, Callable[[SparkSession, str, str], DataFrame]] = {
+    "json lines": read_jsonl, "filtered json lines": read_jsonl_filtered, "xml zip": read_xml_zip, "xz lines": read_xz_lines, "text lines": read_text_lines, "moses zip": read_moses_zip,
+    "tar sentences": read_tar_sentences, "parquet": read_parquet_strings, "wiki": read_wiki, "tatoeba": read_tatoeba, "conllu": read_conllu,
+}
+
+
+def open_resource(spark: SparkSession, resource: str, kind: str, path: str) -> DataFrame:
+    """Candidates of a resource by the reader of its kind."""
+    if kind not in READERS:
+        raise ValueError(f"no reader for {kind}")
+    return READERS[kind](spark, path, resource)

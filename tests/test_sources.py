@@ -36,8 +36,12 @@ def test_readers(spark, tmp_path):
         info.size = len(b"7\tshtate\n")
         t.addfile(info, io.BytesIO(b"7\tshtate\n"))
     assert texts(R.read_tar_sentences(spark, str(tmp_path / "e.tar.gz"), "r")) == [("7", "shtate")]
-    (tmp_path / "f.tsv").write_text("1\tsqi\tPo.\n2\teng\tYes.\n")
-    assert texts(R.read_tatoeba(spark, str(tmp_path / "f.tsv"), "r")) == [("1", "Po.")]
+    line = "1\tsqi\tPo.\tx\n2\teng\tYes.\tx\n".encode()
+    with tarfile.open(tmp_path / "f.tar.bz2", "w:bz2") as t:
+        info = tarfile.TarInfo("sentences_detailed.csv")
+        info.size = len(line)
+        t.addfile(info, io.BytesIO(line))
+    assert texts(R.read_tatoeba(spark, str(tmp_path / "f.tar.bz2"), "r")) == [("1", "Po.")]
     spark.createDataFrame([("a b c", ["x y z", "no"], {"k": "d e f"}, 1)], "s string, l array<string>, m map<string,string>, n int").write.parquet(str(tmp_path / "g"))
     assert sorted(t for _, t in texts(R.read_parquet_strings(spark, str(tmp_path / "g"), "r"))) == ["a b c", "d e f", "x y z"]
     (tmp_path / "h.xml").write_text("<m><page><title>A</title><ns>0</ns><id>1</id><revision><text x='1'>Tekst</text></revision></page><page><title>B</title><ns>1</ns><id>2</id></page></m>")
