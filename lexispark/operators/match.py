@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Patterns up to which the table is sent to every task; it is counted first. Beyond, the join shuffles.
-BROADCAST_PATTERNS = 1_000_000
+#: Bytes of patterns up to which the table is sent to every task, and what a row of it takes besides its text.
+BROADCAST_BYTES, PATTERN_BYTES = 128_000_000, 100
 CLITICS = ("e", "i", "më", "me", "na", "ju", "u", "ia", "ua")
 CONTRACTED = ("ta", "t i", "t ia", "t ua", "t u")
 PARTICLES = ("nuk", "mos", "të", "te", "do", "s")
@@ -70,16 +70,23 @@ def ngrams(tokens: str, lengths: list[int]) -> Column:
 def phrase_match(rows: DataFrame, patterns: DataFrame, norm: str = "norm") -> DataFrame:
     """Every occurrence of every pattern in rows, with the columns of both, and end (number of the last token).
 
-    Overlaps and repeats count; a phrase of several targets gives a row for each.
+    Overlaps and repeats count; a phrase of several targets gives a row for each. Patterns of up to BROADCAST_BYTES, which
+    are counted first, go to every task. Beyond, slices are shuffled to the patterns without their text, as two hashes of it,
+    and what matches comes back to the rows.
     """
-    sizes = patterns.select(F.size(F.split("pattern", " ")).alias("n")).groupBy("n").count().collect()
+    sizes = patterns.select(F.size(F.split("pattern", " ")).alias("n"), F.octet_length("pattern").alias("bytes")).groupBy("n").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).collect()
     lengths = sorted(r["n"] for r in sizes)
     if not lengths:
         return rows.join(patterns.limit(0), F.lit(False)).withColumn("end", F.lit(0))
-    few = sum(r["count"] for r in sizes) <= BROADCAST_PATTERNS
     # tokens are a column of their own, so that they are made once for a row and not once for each slice
-    grams = rows.withColumn("__t", F.split(norm, " ")).withColumn("__g", F.explode(ngrams("__t", lengths))).select(*rows.columns, F.col("__g.end").alias("end"), F.col("__g.gram").alias("pattern"))
-    return grams.join(F.broadcast(patterns) if few else patterns, "pattern")
+    tokens = rows.withColumn("__t", F.split(norm, " "))
+    gram = [F.col("__g.end").alias("end"), F.col("__g.gram").alias("pattern")]
+    if sum(r["bytes"] + PATTERN_BYTES * r["rows"] for r in sizes) <= BROADCAST_BYTES:
+        return tokens.withColumn("__g", F.explode(ngrams("__t", lengths))).select(*rows.columns, *gram).join(F.broadcast(patterns), "pattern")
+    hashes = {"__a": F.xxhash64(norm), "__b": F.xxhash64(F.lit(1), norm)}
+    slices = tokens.withColumns(hashes).select("__a", "__b", F.explode(ngrams("__t", lengths)).alias("__g")).select("__a", "__b", *gram)
+    found = slices.join(patterns, "pattern").distinct()  # rows of one text have the same matches
+    return rows.withColumns(hashes).join(found, ["__a", "__b"]).drop("__a", "__b")
 
 
 def apostrophe_guard(kind: Column, sentence: Column) -> Column:
@@ -127,15 +134,27 @@ def anchor(tokens: Column, but: tuple[str, ...] = ()) -> Column:
     return F.when(F.size(some) > 0, longest(some)).otherwise(longest(tokens))
 
 
+KEY = ("resource_id", "doc_id", "position")
+
+
 def occurrences(rows: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Matches of sentences that pass the guard, with flags and score; of several matches of one target in a sentence the first by (end, longer pattern, pattern) stays."""
+    """Matches of sentences that pass the guard, with flags and score; of several matches of one target in a sentence the first by (end, longer pattern, pattern) stays.
+
+    Flags and scores are made where the text is; what is shuffled, after a first choice in each task, has no text. with_text() fetches it.
+    """
     hits = phrase_match(rows, patterns).filter(apostrophe_guard(F.col("variant_kind"), F.col("sentence")))
-    first = Window.partitionBy("target_id", "resource_id", "doc_id", "position").orderBy("end", F.char_length("pattern").desc(), "pattern", "variant_kind")
-    hits = hits.withColumn("k", F.row_number().over(first)).filter("k = 1").drop("k")
-    flags = T.quality_flags(F.col("sentence"), F.col("norm"), F.col("quality"))
     none = F.lit(None).cast("string")
-    hits = hits.withColumn("flags", flags)
-    return hits.withColumn("score", T.score(F.col("match_kind"), F.col("resource_id"), F.col("quality"), none, none, F.col("flags"), F.col("norm"))).withColumn("keep", T.keep_sentence(F.col("flags")))
+    hits = hits.withColumn("flags", T.quality_flags(F.col("sentence"), F.col("norm"), F.col("quality")))
+    hits = hits.withColumn("score", T.score(F.col("match_kind"), F.col("resource_id"), F.col("quality"), none, none, F.col("flags"), F.col("norm"))).withColumn("keep", T.keep_sentence(F.col("flags")))
+    order = ["end", (-F.char_length("pattern")).alias("shorter"), "pattern", "variant_kind"]
+    kept = ["match_kind", "quality", "flags", "score", "keep", F.char_length("sentence").alias("sentence_chars")]
+    first = hits.groupBy("target_id", *KEY).agg(F.min(F.struct(*order, *kept)).alias("h"))
+    return first.select("target_id", *KEY, "h.*").drop("shorter")
+
+
+def with_text(hits: DataFrame, rows: DataFrame) -> DataFrame:
+    """hits, a few that were retained, with their sentences."""
+    return hits.join(rows.select(*KEY, "sentence"), list(KEY))
 
 
 def retain(hits: DataFrame, most: int = 3) -> DataFrame:
@@ -145,24 +164,26 @@ def retain(hits: DataFrame, most: int = 3) -> DataFrame:
 
 
 def scan_stats(rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """By resource: candidates seen, empty, without a match, rejected, and occurrences kept."""
-    key = ["resource_id", "doc_id", "position"]
-    matched = hits.groupBy(*key).agg(F.max("keep").alias("keep"), F.count_if("keep").alias("kept"))
-    joined = rows.join(matched, key, "left")
-    return joined.groupBy("resource_id").agg(
-        F.count("*").alias("candidates_seen"), F.count_if(F.col("norm") == "").alias("empty_candidates"), F.count_if((F.col("norm") != "") & F.col("keep").isNull()).alias("unmatched_rejected"),
-        F.count_if(~F.col("keep")).alias("quality_rejected"), F.count_if(F.col("keep")).alias("sentences_kept"), F.coalesce(F.sum("kept"), F.lit(0)).alias("occurrences"),
+    """By resource: candidates seen, empty, without a match, rejected, and occurrences kept. Candidates are counted where they are; only hits are grouped by sentence."""
+    seen = rows.groupBy("resource_id").agg(F.count("*").alias("candidates_seen"), F.count_if(F.col("norm") == "").alias("empty_candidates"))
+    matched = hits.groupBy(*KEY).agg(F.max("keep").alias("keep"), F.count_if("keep").alias("kept"))
+    found = matched.groupBy("resource_id").agg(F.count("*").alias("matched"), F.count_if("keep").alias("sentences_kept"), F.sum("kept").alias("occurrences"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return seen.join(found, "resource_id", "left").select(
+        "resource_id", "candidates_seen", "empty_candidates", (F.col("candidates_seen") - F.col("empty_candidates") - zero("matched")).alias("unmatched_rejected"),
+        (zero("matched") - zero("sentences_kept")).alias("quality_rejected"), zero("sentences_kept").alias("sentences_kept"), zero("occurrences").alias("occurrences"),
     )
 
 
 def trace(rows: DataFrame, patterns: DataFrame, most: int = 3) -> DataFrame:
-    """For each target: raw matches, those that the guard, the cap and the quality rules drop in this order, and those emitted."""
-    hits = phrase_match(rows, patterns)
-    hits = hits.withColumn("guarded", apostrophe_guard(F.col("variant_kind"), F.col("sentence"))).withColumn("keep", T.keep_sentence(T.quality_flags(F.col("sentence"), F.col("norm"), F.col("quality"))))
-    order = Window.partitionBy("resource_id", "target_id", "guarded", "keep").orderBy("doc_id", "position", "end", "pattern", "variant_kind")
-    hits = hits.withColumn("nth", F.row_number().over(order))
-    passed = F.col("guarded") & F.col("keep")
-    return hits.groupBy("target_id").agg(
-        F.count("*").alias("raw_pattern_matches"), F.count_if(~F.col("guarded")).alias("variant_rejected_matches"), F.count_if(F.col("guarded") & ~F.col("keep")).alias("quality_rejected_matches"),
-        F.count_if(passed & (F.col("nth") > most)).alias("local_cap_dropped_matches"), F.count_if(passed & (F.col("nth") <= most)).alias("emitted_matches_before_writer_cap"),
+    """For each target: raw matches, those that the guard, the cap and the quality rules drop in this order, and those emitted.
+
+    The cap counts by target and resource, so counts are enough; no match is sorted. Rules look at sentences once, not at each match.
+    """
+    marked = rows.select("resource_id", "norm", apostrophe_guard(F.lit("s_negative"), F.col("sentence")).alias("has_s"), T.keep_sentence(T.quality_flags(F.col("sentence"), F.col("norm"), F.col("quality"))).alias("keep"))
+    guarded = (F.col("variant_kind") != "s_negative") | F.col("has_s")
+    by = phrase_match(marked, patterns).groupBy("target_id", "resource_id").agg(F.count("*").alias("raw"), F.count_if(~guarded).alias("guard"), F.count_if(guarded & ~F.col("keep")).alias("quality"), F.count_if(guarded & F.col("keep")).alias("passed"))
+    return by.groupBy("target_id").agg(
+        F.sum("raw").alias("raw_pattern_matches"), F.sum("guard").alias("variant_rejected_matches"), F.sum("quality").alias("quality_rejected_matches"),
+        F.sum(F.greatest(F.col("passed") - most, F.lit(0))).alias("local_cap_dropped_matches"), F.sum(F.least(F.col("passed"), F.lit(most))).alias("emitted_matches_before_writer_cap"),
     )

@@ -38,6 +38,12 @@ def search_postings(rows: DataFrame) -> DataFrame:
     return rows.select("resource_id", "doc_id", "position", F.posexplode(T.tokens(F.col("norm"))).alias("at", "token"))
 
 
+def search_sentences(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """Sentences that have a word, as a search index reads them; with `most` the first of them by document and position."""
+    found = rows.filter("norm <> ''").select("resource_id", "doc_id", "position", "norm")
+    return found if most is None else found.orderBy("doc_id", "position", "resource_id").limit(most)
+
+
 def search_phrase(postings: DataFrame, phrase: list[str]) -> DataFrame:
     """Sentences with a phrase and its occurrences: the postings of each token are shifted to the phrase's start and counted there."""
     wanted = F.create_map(*(x for i, t in enumerate(phrase) for x in (F.lit(i), F.lit(t))))

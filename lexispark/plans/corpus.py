@@ -30,6 +30,11 @@ TARGETS = (
     ("t13", "v5", "epsilon", "indicative", "imperfect", "active", "affirmative", 1, "singular", "to the of and"),
     ("t14", "v5", "epsilon", "subjunctive", "present", "active", "affirmative", 1, "singular", "të ënd"),
     ("t15", "v5", "epsilon", "indicative", "present", "active", "affirmative", 3, "plural", "is"),
+    # found with a contracted clitic only; with its diacritic folded only; in rejected sentences only (the last two)
+    ("t16", "v6", "zeta", "subjunctive", "present", "active", "affirmative", 1, "singular", "të que"),
+    ("t17", "v6", "zeta", "indicative", "present", "active", "affirmative", 1, "singular", "thë"),
+    ("t18", "v6", "zeta", "indicative", "aorist", "active", "affirmative", 3, "singular", "rerendsh"),
+    ("t19", "v6", "zeta", "indicative", "aorist", "active", "affirmative", 3, "plural", "euxeauoi"),
 )
 _FIELDS = "target_id, verb_id, lemma, mood, tense, voice, polarity, person, number, target_key"
 
@@ -265,7 +270,7 @@ def _(spark, sf):
 @register("fn_highlight", f"{_ALL}, h AS (SELECT *, instr(lower(sentence), lower(pattern)) AS p FROM retained) SELECT target_id, {_KEY}, CASE WHEN p > 0 THEN substr(sentence, 1, p - 1) ELSE sentence END AS before, CASE WHEN p > 0 THEN substr(sentence, p, length(pattern)) ELSE '' END AS hit FROM h")
 def _(spark, sf):
     h = T.highlight(F.col("sentence"), F.col("pattern"))
-    return M.retain(occ(spark, sf)).select("target_id", "resource_id", "doc_id", "position", h["before"].alias("before"), h["hit"].alias("hit"))
+    return M.with_text(M.retain(occ(spark, sf)), rows(spark, sf)).select("target_id", "resource_id", "doc_id", "position", h["before"].alias("before"), h["hit"].alias("hit"))
 
 
 @register("fn_md_escape", "SELECT page_id, replace(replace(url, '|', '\\|'), chr(10), ' ') AS escaped FROM pages")

@@ -208,7 +208,7 @@ def _(spark, sf):
 
 @register("win_static_top3", f"{_ALL} SELECT target_id, {_KEY}, rn FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, length(sentence), doc_id, position) AS rn FROM occ WHERE keep) WHERE rn <= 3")
 def _(spark, sf):
-    return R.first_of(occ(spark, sf).filter("keep"), ["target_id"], [F.desc("score"), F.char_length("sentence"), "doc_id", "position"], 3).select("target_id", "resource_id", "doc_id", "position", "rn")
+    return R.first_of(occ(spark, sf).filter("keep"), ["target_id"], [F.desc("score"), "sentence_chars", "doc_id", "position"], 3).select("target_id", "resource_id", "doc_id", "position", "rn")
 
 
 @register("win_variant_sample", f"{_ALL} SELECT target_id, variant_kind, {_KEY} FROM (SELECT *, row_number() OVER (PARTITION BY target_id, variant_kind ORDER BY score DESC, doc_id, position) AS rn FROM occ) WHERE rn = 1")
@@ -405,10 +405,11 @@ def _(spark, sf):
     return R.histograms(m, "mood", "tense", "voice", "bucket", "shape")
 
 
-@register("agg_primary_details", f"{_COVER}, m AS (SELECT target_id, {_BUCKET} AS bucket FROM cov WHERE NOT hit) SELECT bucket, count(*) AS n, string_agg(target_id, ',' ORDER BY target_id) AS samples FROM m GROUP BY 1")
+@register("agg_primary_details", f"{_COVER}, m AS (SELECT target_id, {_BUCKET} AS bucket FROM cov WHERE NOT hit) SELECT bucket, count(*) AS n, string_agg(target_id, ',' ORDER BY target_id) FILTER (rn <= 5) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY target_id) AS rn FROM m) GROUP BY 1")
 def _(spark, sf):
     m = _cover(spark, sf).filter(~F.col("hit")).withColumn("bucket", R.miss_bucket())
-    return m.groupBy("bucket").agg(F.count("*").alias("n"), F.array_join(F.slice(F.sort_array(F.collect_list("target_id")), 1, 5), ",").alias("samples"))
+    few = R.first_of(m, ["bucket"], ["target_id"], 5).groupBy("bucket").agg(F.array_join(F.sort_array(F.collect_list("target_id")), ",").alias("samples"))
+    return m.groupBy("bucket").agg(F.count("*").alias("n")).join(few, "bucket").select("bucket", "n", "samples")
 
 
 @register("flt_trace_select", f"{_T} SELECT target_id FROM targets WHERE target_id IN ('t01', 't02') OR target_key IN ('que', 'nope')")
@@ -439,14 +440,14 @@ def _(spark, sf):
     return targets(spark).join(R.target_hits(_raw(spark, sf)), "target_id", "left_anti").join(M.retain(occ(spark, sf)), "target_id", "left_anti").select("target_id")
 
 
-@register("sup_load_search", f"{_S} SELECT {_KEY}, norm FROM sentences WHERE norm <> '' ORDER BY doc_id, position LIMIT 50")
+@register("sup_load_search", f"{_S} SELECT {_KEY}, norm FROM sentences WHERE norm <> ''")
 def _(spark, sf):
-    return rows(spark, sf).filter("norm <> ''").orderBy("doc_id", "position").limit(50).select("resource_id", "doc_id", "position", "norm")
+    return R.search_sentences(rows(spark, sf))
 
 
 @register("lookup_blend", f"{_ALL}, b AS (SELECT target_id AS key, 'local' AS origin, 0 AS o, score, sentence AS example FROM retained UNION ALL SELECT target_id, 'parallel', 1, 55, 'p' || target_id FROM targets) SELECT key, origin, example, rn FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY o, score DESC, example) AS rn FROM b) WHERE rn <= 3")
 def _(spark, sf):
-    local = M.retain(occ(spark, sf)).select(F.col("target_id").alias("key"), "score", F.col("sentence").alias("example"))
+    local = M.with_text(M.retain(occ(spark, sf)), rows(spark, sf)).select(F.col("target_id").alias("key"), "score", F.col("sentence").alias("example"))
     parallel = targets(spark).select(F.col("target_id").alias("key"), F.lit(55).cast("long").alias("score"), F.concat(F.lit("p"), "target_id").alias("example"))
     return R.lookup_blend(local, parallel, 3)
 

@@ -37,6 +37,20 @@ def test_against_duckdb(spark, duck, name):
     assert rows(found) == rows(want)
 
 
+def test_matcher_by_shuffle(spark, monkeypatch):
+    """Patterns too large to send to every task: the same matches."""
+    from lexispark.operators import match as M
+    from lexispark.plans import corpus as C
+
+    rows, patterns = C.scanned(spark, SF), C.patterns(spark)
+    rows = rows.unionByName(rows.limit(20))  # sentences that repeat
+    key = ["target_id", "variant_kind", "pattern", "resource_id", "doc_id", "position", "end", "sentence"]
+    want = M.phrase_match(rows, patterns).groupBy(*key).count().collect()
+    monkeypatch.setattr(M, "BROADCAST_BYTES", 0)
+    found = M.phrase_match(rows, patterns)
+    assert sorted(map(str, found.groupBy(*key).count().collect())) == sorted(map(str, want)) and len(want) > 100
+
+
 def test_matcher_literals(spark):
     from pyspark.sql import functions as F
 
