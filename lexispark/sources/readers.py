@@ -341,3 +341,40 @@ def open_resource(spark: SparkSession, resource: str, kind: str, path: str) -> D
     if kind not in READERS:
         raise ValueError(f"no reader for {kind}")
     return READERS[kind](spark, path, resource)
+
+
+#: A lexicon's JSON: one entry for each file, whose name is its id.
+LEXICON_JSON = """id string, lemma string, translationEn string, class int, auxiliary string, principalParts struct<present:string,aorist:string,participle:string>,
+    sources array<struct<source:string,reference:string>>, flags struct<isSuppletive:boolean,hasMutation:boolean,irregularAorist:boolean,noMiddlePassive:boolean,thirdPersonOnly:boolean,middlePassiveThirdPersonOnly:boolean>,
+    dialect string, notes string, cellOverrides map<string,map<string,string>>, englishForms struct<base:string,past:string,participle:string,gerund:string>, _bad string"""
+
+
+def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a folder of JSON files with what is wrong with each (errors, empty if nothing)."""
+    rows = spark.read.schema(LEXICON_JSON).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("file", F.element_at(F.split("_metadata.file_path", "/"), -1))
+    some = lambda test, what: F.when(test, what)
+    empty = lambda c: F.coalesce(c == "", F.lit(True))
+    parts = F.col("principalParts")
+    errors = F.filter(F.array(
+        some(F.col("_bad").isNotNull(), "not readable"), some(~F.coalesce(F.col("id").rlike("^[a-z0-9-]+$"), F.lit(False)), "id"), some(F.col("file") != F.concat("id", F.lit(".json")), "file name"), some(empty(F.col("lemma")), "lemma"),
+        some(empty(F.col("translationEn")), "translation"), some(~F.coalesce(F.col("class").isin(1, 2, 3), F.lit(False)), "class"), some(~F.coalesce(F.col("auxiliary").isin("kam", "jam"), F.lit(False)), "auxiliary"),
+        some(empty(parts["present"]) | empty(parts["aorist"]) | empty(parts["participle"]), "principal parts"), some(F.coalesce(F.size("sources") < 1, F.lit(True)), "sources"), some(F.col("dialect").isNotNull() & ~F.col("dialect").isin("tosk", "geg"), "dialect"),
+        some(F.col("cellOverrides").isNotNull() & F.exists(F.flatten(F.transform(F.map_values("cellOverrides"), F.map_keys)), lambda k: ~k.isin("1sg", "2sg", "3sg", "1pl", "2pl", "3pl")), "cells"),
+    ), lambda e: e.isNotNull())
+    rows = rows.withColumn("errors", errors)
+    for name in ("id", "lemma"):
+        twice = rows.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n")).filter("n > 1").select(name, F.lit(True).alias("twice"))
+        rows = rows.join(twice, name, "left").withColumn("errors", F.when(F.col("twice"), F.concat("errors", F.array(F.lit(f"duplicate {name}")))).otherwise(F.col("errors"))).drop("twice")
+    return rows.drop("_bad")
+
+
+def as_lexicon(entries: DataFrame) -> DataFrame:
+    """Valid entries in the form that inflection takes; overrides are keyed mood.tense[.voice]/cell."""
+    flag = lambda name: F.coalesce(F.col(f"flags.{name}"), F.lit(False))
+    flat = F.flatten(F.transform(F.map_entries("cellOverrides"), lambda e: F.transform(F.map_entries(e["value"]), lambda c: F.struct(F.concat(e["key"], F.lit("/"), c["key"]).alias("key"), c["value"].alias("value")))))
+    overrides = F.coalesce(F.map_from_entries(flat), F.create_map().cast("map<string,string>"))
+    return entries.filter(F.size("errors") == 0).select(
+        F.col("id").alias("verb_id"), "lemma", F.col("translationEn").alias("translation_en"), "class", "auxiliary", F.col("principalParts.present").alias("present"), F.col("principalParts.aorist").alias("aorist"),
+        F.col("principalParts.participle").alias("participle"), flag("isSuppletive").alias("is_suppletive"), flag("noMiddlePassive").alias("no_middle_passive"), flag("thirdPersonOnly").alias("third_person_only"),
+        flag("middlePassiveThirdPersonOnly").alias("mp_third_person_only"), overrides.alias("overrides"),
+    )
