@@ -2,34 +2,26 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import new_path  # noqa: F401  operators take it from here
+from ..sources.writers import filesystem
+
 #: The white space of the contracts: space and U+0009 to U+000D.
 BLANK = r"[\x20\x09-\x0D]+"
 _TO_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
-#: Characters of text that one vectorised step holds at most (a single longer text is a step of its own).
-STEP_CHARS = 500_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="lexispark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: Bytes of text that one vectorised step holds, about (a single longer text is a step of its own).
+STEP_BYTES = 750_000
+#: Rows that count as much as those bytes.
+STEP_ROWS = 2000
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -37,6 +29,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    passing(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,16 +39,122 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def chunks(texts: list[str], most: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges [a, b) of texts with at most `most` characters, or one text."""
-    a = held = 0
-    for b, t in enumerate(texts):
-        if b > a and held + len(t) > most:
-            yield a, b
-            a, held = b, 0
-        held += len(t)
-    if a < len(texts):
-        yield a, len(texts)
+_SCRATCH: list[list[str]] = []
+
+
+def passing(path: str) -> None:
+    """Marks a folder to be deleted with the innermost scratch(), if there is one."""
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What materialize() writes in this context is deleted at its end; a result that reads it has to be written within."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            discard(spark, path)
+
+
+@contextlib.contextmanager
+def noting(paths: list[str]) -> Iterator[None]:
+    """What materialize() writes in this context is noted, for its user to discard later."""
+    _SCRATCH.append(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+
+
+def settled(df: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
+    """A frame that needs many intermediate tables, written to the shared folder; its intermediate tables are deleted."""
+    with scratch(spark):
+        out = df()
+        path = new_path(spark, name)
+        out.write.parquet(path)
+    passing(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
+#: Parts whose lists of rows lie in one file.
+GROUP_PARTS = 16
+
+
+def numbered_copy(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder, with a number for each row, nth, whose upper bits are the part that wrote it."""
+    return materialize(df.withColumn("nth", F.monotonically_increasing_id()), name)
+
+
+class RowLists:
+    """Lists of row numbers of a numbered copy, in files by groups of parts, which tasks that read the copy look up themselves: rows with all their text then need no shuffle to meet what was decided about them."""
+
+    def __init__(self, rows: DataFrame, name: str):
+        """rows: nth, each once."""
+        self.path = new_path(rows.sparkSession, name)
+        group = F.expr(f"shiftright(nth, 33) div {GROUP_PARTS}").alias("group")
+        rows.select("nth", group).repartition("group").write.partitionBy("group").parquet(self.path)
+        passing(self.path)
+
+    def finder(self) -> Callable[[np.ndarray], np.ndarray]:
+        """In a worker: which row numbers are in the lists. The lists of the last group that was asked for are held."""
+        from pyarrow import parquet
+
+        fs, folder = filesystem(self.path)
+        held: dict[int, np.ndarray] = {}
+
+        def numbers(group: int) -> np.ndarray:
+            if group not in held:
+                held.clear()
+                files = fs.get_file_info(_selector(f"{folder}/group={group}"))
+                found = [parquet.ParquetFile(fs.open_input_file(f.path)).read(["nth"]).column(0).to_numpy() for f in files if f.path.endswith(".parquet")]
+                held[group] = np.sort(np.concatenate(found)) if found else np.empty(0, np.int64)
+            return held[group]
+
+        def find(nth: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(nth), bool)
+            groups = (nth >> 33) // GROUP_PARTS
+            for group in np.unique(groups).tolist():
+                at, own = np.flatnonzero(groups == group), numbers(group)
+                if len(own):
+                    place = np.minimum(np.searchsorted(own, nth[at]), len(own) - 1)
+                    out[at] = own[place] == nth[at]
+            return out
+
+        return find
+
+
+def _selector(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSelector(folder, allow_not_found=True)
+
+
+def steps(batches: Iterable[pa.RecordBatch], column: int | str, most: int = STEP_BYTES, rows: int = STEP_ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of batches, before Python makes objects of them, whose texts have about `most` bytes in all (a single longer text is a slice of its own), and of at most about twice `rows` rows."""
+    for b in batches:
+        if b.num_rows:
+            sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy().astype(np.int64) + most // rows
+            step = (np.cumsum(sizes) - sizes) // most
+            cut = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), b.num_rows]
+            for a, z in zip(cut[:-1], cut[1:]):
+                yield b.slice(a, z - a)
+
+
+def strings(column: pa.Array) -> list[str]:
+    """A column of texts as a list; a null is empty."""
+    return pc.fill_null(column, "").to_numpy(zero_copy_only=False).tolist()
+
+
+def binaries(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Rows of bytes that lie one after the other in data; lengths in bytes."""
+    offsets = np.concatenate(([0], np.cumsum(lengths)))
+    if offsets[-1] < 1 << 31:
+        return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+    held = memoryview(np.ascontiguousarray(data)).cast("B")
+    return pa.array([held[a:z] for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())
 
 
 _MEMOS: dict[str, Callable[[], None]] = {}
@@ -134,6 +233,36 @@ def batch(ddl: str, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def place_of(docs: DataFrame, name: str) -> int:
+    """A column's place by its very name, or else by its name in any case."""
+    names = docs.columns
+    if name in names:
+        return names.index(name)
+    return [n.lower() for n in names].index(name.lower())
+
+
+def columns(docs: DataFrame, **wanted: tuple[str, str | None]) -> DataFrame:
+    """Columns of docs, found by their very names whatever others there are, under new names: name=(column, type or None)."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    out = []
+    for name, (column, kind) in wanted.items():
+        found = F.col(f"c{place_of(docs, column)}")
+        out.append((found.cast(kind) if kind else found).alias(name))
+    return plain.select(*out)
+
+
+def in_rows(docs: DataFrame, **wanted: tuple[str, str | None]) -> DataFrame:
+    """The same with all columns of docs as they are in one more column, the struct `row`, so that names never clash."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    found = {name: F.col(f"c{place_of(docs, column)}") for name, (column, _) in wanted.items()}
+    return plain.select(F.struct(*plain.columns).alias("row"), *((c.cast(wanted[n][1]) if wanted[n][1] else c).alias(n) for n, c in found.items()))
+
+
+def out_of_rows(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The columns in `row`, under their own names again."""
+    return rows.select(*(F.col("row")[f"c{i}"].alias(n) for i, n in enumerate(names)))
+
+
 def join_hot(many: DataFrame, one: DataFrame, keys: list[str], size: str, total: int, how: str = "inner", share: int = 1000) -> DataFrame:
     """many JOIN one on keys, where `one` has a row per key and `size` says how many rows of `many` have it.
 
@@ -146,6 +275,14 @@ def join_hot(many: DataFrame, one: DataFrame, keys: list[str], size: str, total:
     return many.join(F.broadcast(hot), keys, "inner").unionByName(many.join(marks, keys, "left_anti").join(rest, keys, how), allowMissingColumns=True)
 
 
+def repeated(rows: DataFrame, times: str, nth: str, most: int = 10_000) -> DataFrame:
+    """Each row as often as `times` says (1 at least), with its number from 0 on in `nth`. What is repeated more than `most` times is dealt over many tasks."""
+    few = rows.filter(F.col(times) <= most).withColumn(nth, F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1)))
+    begin = rows.filter(F.col(times) > most).withColumn(nth, F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(most).cast("long"))))
+    dealt = begin.repartition(F.xxhash64(nth))
+    return few.unionByName(dealt.withColumn(nth, F.explode(F.sequence(F.col(nth), F.least(F.col(nth) + most, F.col(times)) - 1))))
+
+
 def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     """Null-safe equality of keys."""
     out = F.lit(True)

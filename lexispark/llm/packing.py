@@ -13,9 +13,11 @@ same files agrees.
 from __future__ import annotations
 
 import heapq
+import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch, chunks, materialize, only
-from .tokens import BYTE_BPE, encoder
+from .common import arrow_schema, batch, binaries, columns, materialize, new_path, only, passing, ragged, steps
+from .tokens import BYTE_BPE, STEP_BYTES, encoder, with_end
 
 SEQUENCE = 2048
 END_ID = 1
+#: Buckets that Spark allows a table by default.
+MOST_BUCKETS = 100_000
 
 
 def pack_histogram(histogram: dict[int, int], most: int = SEQUENCE) -> list[tuple[list[int], int]]:
@@ -74,33 +78,37 @@ def _new_packs(length: int, n: int, fit: int) -> list[tuple[int, tuple[int, ...]
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, part long, local long"
 
 
-def cuts(n: int, most: int = SEQUENCE) -> list[int]:
-    """Lengths of a document's pieces."""
-    return [most] * (n // most) + [n % most] * (n % most > 0)
+def cuts(sizes: np.ndarray, most: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents of these sizes (1 at least) in pieces: the number of each piece's document, its start in it, its length."""
+    pieces = -(-sizes // most)
+    doc = np.repeat(np.arange(len(sizes)), pieces)
+    start = ragged(np.zeros(len(sizes), np.int64), pieces) * most
+    return doc, start, np.minimum(most, sizes[doc] - start)
+
+
+def ranks(lengths: np.ndarray) -> np.ndarray:
+    """Of each piece, how many before it have its length."""
+    order = np.argsort(lengths, kind="stable")
+    out = np.empty(len(lengths), np.int64)
+    counts = np.bincount(lengths)
+    out[order] = np.arange(len(lengths)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return out
 
 
 def _tokenise(path: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("tokens")
         tokens, seen, part = encoder(path, True), np.zeros(SEQUENCE + 1, np.int64), TaskContext.get().partitionId()
-        for b in batches:
-            docs, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for x, y in chunks(texts):
-                ids, lengths = tokens.encode(texts[x:y])
-                flat = ids.astype("<u4")
-                rows: list[list] = [[] for _ in range(8)]
-                end = 0
-                for doc, n in zip(docs[x:y], lengths.tolist()):
-                    own = np.append(flat[end : end + n], np.uint32(END_ID)).tobytes()
-                    end += n
-                    start = 0
-                    for length in cuts(n + 1):
-                        data = own[4 * start : 4 * (start + length)]
-                        for column, value in zip(rows, (doc, start, length, zlib.crc32(data), n + 1, data if keep_ids else None, part, int(seen[length]))):
-                            column.append(value)
-                        seen[length] += 1
-                        start += length
-                yield batch(_PIECES, rows)
+        for b in steps(batches, 1, STEP_BYTES):
+            flat, sizes = with_end(*tokens.encode(b.column(1)), END_ID)
+            doc, start, length = cuts(sizes)
+            data = memoryview(flat).cast("B")
+            ends = np.cumsum(4 * length)
+            crc = [zlib.crc32(data[a:z]) for a, z in zip((ends - 4 * length).tolist(), ends.tolist())]
+            local = seen[length] + ranks(length)
+            seen += np.bincount(length, minlength=SEQUENCE + 1)
+            ids = binaries(flat, 4 * length) if keep_ids else pa.nulls(len(doc), pa.binary())
+            yield batch(_PIECES, [b.column(0).take(pa.array(doc)), start, length, crc, sizes[doc], ids, np.full(len(doc), part), local])
 
     return run
 
@@ -108,41 +116,61 @@ def _tokenise(path: str, keep_ids: bool):
 _PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, offset long"
 
 
-def _place(patterns: list[tuple[list[int], int]]):
-    """Rank within the length to sequence and offset. The table has a row for each place of each pattern, bounded by SEQUENCE."""
-    slots, taken, first = [], defaultdict(int), 0
+def slots(patterns: list[tuple[list[int], int]]) -> np.ndarray:
+    """Places of the patterns, sorted by length and rank: length, first rank, first sequence, offset, times in a pattern.
+
+    Their number is bounded at any input: a length that is packed splits at most one pattern and opens at most two, so
+    there are at most 3 * SEQUENCE patterns; and a pattern has at most 63 distinct lengths, as 1 + ... + 64 > SEQUENCE.
+    """
+    out, taken, first = [], defaultdict(int), 0
     for pattern, n in patterns:
         offset = 0
-        for length in pattern:
-            slots.append((length, taken[length], first, offset))
-            taken[length] += n
-            offset += length
+        for length, same in groupby(pattern):
+            times = len(list(same))
+            out.append((length, taken[length], first, offset, times))
+            taken[length] += n * times
+            offset += length * times
         first += n
-    slots.sort()
-    length_of, rank_of, first_of, offset_of = (np.array(x, np.int64) for x in zip(*slots)) if slots else (np.empty(0, np.int64),) * 4
+    return np.array(sorted(out), np.int64).reshape(-1, 5)
+
+
+def _place(patterns: list[tuple[list[int], int]]):
+    """Rank within the length to sequence and offset."""
+    length_of, rank_of, first_of, offset_of, times_of = slots(patterns).T
     scale = 1 << 48
     keys = length_of * scale + rank_of
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rank = b.column("rank").to_numpy()
-            at = np.searchsorted(keys, b.column("length").to_numpy() * scale + rank, side="right") - 1
+            rank, length = b.column("rank").to_numpy(), b.column("length").to_numpy()
+            at = np.searchsorted(keys, length * scale + rank, side="right") - 1
+            pack, nth = np.divmod(rank - rank_of[at], times_of[at])
             same = [b.column(k) for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(first_of[at] + rank - rank_of[at]), pa.array(offset_of[at])], schema=arrow_schema(_PLACED))
+            yield pa.RecordBatch.from_arrays([*same, pa.array(first_of[at] + pack), pa.array(offset_of[at] + nth * length)], schema=arrow_schema(_PLACED))
 
     return run
 
 
 def pack(docs: DataFrame, tokenizer: str = BYTE_BPE, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, ids (little-endian unsigned 32-bit; null without
-    keep_ids), sequence_id, offset. tokenizer: a file, or the name of a public one."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = materialize(docs.mapInArrow(_tokenise(tokenizer, keep_ids), _PIECES), "pieces")
+    keep_ids), sequence_id, offset. tokenizer: a file, or the name of a public one.
+
+    Pieces are written in buckets by the task that made them. So they stay where they are when they are joined with the
+    ranks before each task, one row of counts per task, which is shuffled to them whatever its size.
+    """
+    spark = docs.sparkSession
+    docs = columns(docs, doc_id=(id_col, "long"), text=(text_col, None))
+    # with fewer buckets than shuffle partitions Spark would shuffle the pieces after all
+    buckets = min(MOST_BUCKETS, max(1, docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    path, name = new_path(spark, "pieces"), f"lexispark_pieces_{uuid.uuid4().hex}"
+    docs.mapInArrow(_tokenise(tokenizer, keep_ids), _PIECES).write.bucketBy(buckets, "part").option("path", path).format("parquet").saveAsTable(name)
+    pieces = spark.table(name)
+    passing(path)
     by_part = materialize(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    bases = by_part.select("part", "length", F.coalesce(before, F.lit(0)).alias("base"))
-    ranked = pieces.join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.col("local"))
+    bases = by_part.select("part", "length", F.coalesce(before, F.lit(0)).alias("base")).groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "base"))).alias("bases"))
+    ranked = pieces.join(bases.hint("shuffle_hash"), ["part"]).withColumn("rank", F.element_at("bases", F.col("length")) + F.col("local")).drop("bases")
     return ranked.mapInArrow(_place(pack_histogram(histogram)), _PLACED)
 
 
