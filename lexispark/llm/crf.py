@@ -3,19 +3,20 @@
 A text's lines are a sequence. Features of each line, and weights of pairs of neighbouring labels, give the likeliest
 labels by Viterbi decoding; a text whose content lines hold at least CONTENT_SHARE of its words is kept, unless a base rule
 rejects it. The field is fitted here, by gradient ascent on the exact likelihood (forward-backward), on the lines of at
-most FIT_ROWS documents of each label, each line with its document's label; those are the documents of smallest hash.
+most FIT_ROWS documents of each label, those of smallest hash. Labels are of documents; lines get theirs from texts with
+runs of bad documents' lines spliced into them, see learn().
 
 Base rules reject texts of fewer than MIN_WORDS words, or with over MAX_REPEAT % of words in five-word windows that occur
 twice or more.
 
 Defined results: a null text has no words and is not kept; rows that repeat an id are rows of their own; an empty table gives
 no rows; further columns, whatever their names, are kept by keep_content() and ignored elsewhere. Without labels of both
-kinds every line counts as content.
+kinds every line counts as content. Of labellings that tie, a line before another is rather boilerplate, and the last line
+too. A text of any length is decoded whole.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, chunks, only, split_words, utf8
+from .common import batch, columns, only, place_of, split_words, steps, strings, utf8
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 10, 20, 5
 CONTENT_SHARE = 0.5
@@ -34,8 +35,7 @@ CONTENT_WEIGHT = 0.7
 #: Lines of a sequence that training looks at in one go; longer texts are several sequences there, decoding takes them whole.
 FIT_LINES = 64
 SYMBOLS = "#*$%&|<>"
-_NOTICE = re.compile(r"licen[sc]ed? under|all rights reserved|copyright|cookie|privacy policy|terms of (?:use|service)|subscribe|click here|sign up|log ?in", re.IGNORECASE)
-FEATURES = ("one", "length", "letters", "capitals", "symbols", "calls", "digits", "distinct", "commonest", "closed", "word length", "opens", "repeated", "notice", "first", "last")
+FEATURES = ("one", "length", "letters", "capitals", "symbols", "calls", "digits", "distinct", "commonest", "closed", "word length", "opens", "repeated", "first", "last")
 
 
 def _classes() -> np.ndarray:
@@ -80,7 +80,7 @@ def read_lines(texts: list[str]) -> Lines:
             n_words.append(len(w))
             top = max(Counter(w).values())
             by_words.append((min(1.0, len(set(w)) / min(len(w), 30)), top / len(w) if len(w) > 1 else 0.0))
-            flags.append((line.rstrip()[-1:] in ".?!:;\"”»…", line.lstrip()[:1].isupper(), again, bool(_NOTICE.search(line)), k == 0, k == len(own) - 1))
+            flags.append((line.rstrip()[-1:] in ".?!:;\"”»…", line.lstrip()[:1].isupper(), again, k == 0, k == len(own) - 1))
     code = np.frombuffer("\n".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32) if lines else np.empty(0, np.uint32)
     kind = _CLASSES[0][np.minimum(code, 0xFFFF)]
     starts = np.concatenate(([0], np.cumsum([len(x) + 1 for x in lines[:-1]]))).astype(np.int64) if lines else np.empty(0, np.int64)
@@ -93,10 +93,10 @@ def read_lines(texts: list[str]) -> Lines:
     solid = np.maximum(1, size - blank)
     letters, symbols = count(1), count(8)
     ratio = np.array(by_words, float).reshape(-1, 2)
-    flag = np.array(flags, float).reshape(-1, 6)
+    flag = np.array(flags, float).reshape(-1, 5)
     features = np.column_stack((
         np.ones(len(lines)), np.minimum(1, words / 20), letters / solid, count(2) / np.maximum(1, letters), np.minimum(1, 5 * symbols / solid), np.minimum(1, 5 * count(16) / solid), count(4) / solid,
-        ratio[:, 0], ratio[:, 1], flag[:, 0], np.minimum(1, solid / np.maximum(1, words) / 12), flag[:, 1], flag[:, 2], flag[:, 3], flag[:, 4], flag[:, 5],
+        ratio[:, 0], ratio[:, 1], flag[:, 0], np.minimum(1, solid / np.maximum(1, words) / 12), flag[:, 1], flag[:, 2], flag[:, 3], flag[:, 4],
     ))
     n = len(texts)
     # lines without a word have neither words nor, as they are white space, symbols
@@ -156,17 +156,19 @@ def viterbi(scores: list[float], pairs) -> list[int]:
     return out[::-1]
 
 
-def fit(sequences: list[tuple[np.ndarray, int]], steps: int = 300, rate: float = 0.1, ridge: float = 1e-4) -> Field:
-    """sequences: features (lines x FEATURES) with the label of all their lines. Exact likelihood, Adam."""
-    cut = [(f[a : a + FIT_LINES], y) for f, y in sequences for a in range(0, len(f), FIT_LINES)]
-    if len({y for _, y in cut}) < 2:
+def fit(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 200, rate: float = 0.1, ridge: float = 1e-4) -> Field:
+    """sequences: features (lines x FEATURES) with each line's label. Exact likelihood, Adam."""
+    cut = [(f[a : a + FIT_LINES], y[a : a + FIT_LINES]) for f, y in sequences for a in range(0, len(f), FIT_LINES)]
+    if len({k for _, y in cut for k in set(y.tolist())}) < 2:
         return ALL_CONTENT
     n, m, width = len(cut), max(len(f) for f, _ in cut), len(FEATURES)
-    x, mask, label = np.zeros((n, m, width)), np.zeros((n, m), bool), np.array([y for _, y in cut])
-    for i, (f, _) in enumerate(cut):
-        x[i, : len(f)], mask[i, : len(f)] = f, True
-    # a label's lines weigh the same in all, however many there are, but for CONTENT_WEIGHT: losing a clean text costs more
-    share = np.where(label == 1, CONTENT_WEIGHT / mask[label == 1].sum(), (1 - CONTENT_WEIGHT) / mask[label == 0].sum())
+    x, mask, label = np.zeros((n, m, width)), np.zeros((n, m), bool), np.zeros((n, m), np.int64)
+    for i, (f, y) in enumerate(cut):
+        x[i, : len(f)], mask[i, : len(f)], label[i, : len(f)] = f, True, y
+    # a label's lines weigh the same in all, however many there are, but for CONTENT_WEIGHT: losing a clean text costs more;
+    # a sequence has the mean weight of its lines
+    each = np.where(label == 1, CONTENT_WEIGHT / mask[label == 1].sum(), (1 - CONTENT_WEIGHT) / max(1, (mask & (label == 0)).sum()))
+    share = (each * mask).sum(axis=1) / mask.sum(axis=1)
     theta, first, second = np.zeros(width + 4), np.zeros(width + 4), np.zeros(width + 4)
     for step in range(1, steps + 1):
         pairs = theta[width:].reshape(2, 2)
@@ -184,25 +186,60 @@ def fit(sequences: list[tuple[np.ndarray, int]], steps: int = 300, rate: float =
             backward[:, t] = np.where(mask[:, t + 1, None], now, 0.0)
         single = np.exp(np.minimum(0, forward[..., 1] + backward[..., 1] - whole[:, None])) * mask
         gradient = np.zeros(width + 4)
-        gradient[:width] = np.einsum("i,it,itf->f", share, (label[:, None] - single) * mask, x)
+        gradient[:width] = np.einsum("i,it,itf->f", share, (label - single) * mask, x)
         both = mask[:, 1:] * share[:, None]
         for a in (0, 1):
             for b in (0, 1):
                 expected = np.exp(np.minimum(0, forward[:, :-1, a] + pairs[a, b] + node[:, 1:, b] + backward[:, 1:, b] - whole[:, None]))
-                gradient[width + 2 * a + b] = (both * ((label == a)[:, None] * (a == b) - expected)).sum()
+                found = (label[:, :-1] == a) & (label[:, 1:] == b)
+                gradient[width + 2 * a + b] = (both * (found - expected)).sum()
         gradient -= ridge * theta
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         theta += rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
     return Field(tuple(theta[:width].tolist()), tuple(map(tuple, theta[width:].reshape(2, 2).tolist())))
 
 
+def splice(good: list[np.ndarray], bad: list[np.ndarray], seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Texts with a run of other lines put into them: features with labels. Each of good gets a run of one of bad."""
+    rng, out = np.random.default_rng(seed), []
+    for f in good if bad else []:
+        other = bad[int(rng.integers(len(bad)))]
+        size = int(rng.integers(1, min(len(other), max(2, len(f))) + 1))
+        begin, at = int(rng.integers(len(other) - size + 1)), int(rng.integers(len(f) + 1))
+        lines = np.concatenate((f[:at], other[begin : begin + size], f[at:]))
+        lines[:, FEATURES.index("first")] = np.arange(len(lines)) == 0
+        lines[:, FEATURES.index("last")] = np.arange(len(lines)) == len(lines) - 1
+        label = np.ones(len(lines), np.int64)
+        label[at : at + size] = 0
+        out.append((lines, label))
+    return out
+
+
+def learn(good: list[np.ndarray], bad: list[np.ndarray]) -> Field:
+    """A field from features of the lines of good and of bad texts.
+
+    Lines of good texts are content. A bad text may have content lines too: a first field, fitted on texts with runs of bad
+    texts' lines put into them, says which; but each bad text keeps a boilerplate line at least, its least likely content.
+    The final field learns from good texts, bad texts and spliced texts, and so from changes within a text.
+    """
+    if not good or not bad:
+        return ALL_CONTENT
+    whole = [(f, np.ones(len(f), np.int64)) for f in good]
+    first = fit(whole + [(f, np.zeros(len(f), np.int64)) for f in bad] + splice(good, bad))
+    marked = []
+    for f in bad:
+        scores = f @ np.array(first.weights)
+        label = np.array(viterbi(scores.tolist(), ((0.0, 0.0), (0.0, 0.0))), np.int64)
+        label[int(np.argmin(scores))] = 0
+        marked.append((f, label))
+    return fit(whole + marked + splice(good, [f[y == 0] for f, y in marked], seed=1))
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts, labels = [t or "" for t in b.column("text").to_pylist()], b.column("quality").to_pylist()
-        for x, y in chunks(texts):
-            found = read_lines(texts[x:y])
-            ends = np.searchsorted(found.doc, np.arange(y - x + 1))
-            yield batch("quality int, features binary", [labels[x:y], [found.features[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:])]])
+    for b in steps(batches, "text"):
+        found = read_lines(strings(b.column("text")))
+        ends = np.searchsorted(found.doc, np.arange(b.num_rows + 1))
+        yield batch("quality int, features binary", [b.column("quality"), [found.features[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:])]])
 
 
 def fit_field(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
@@ -211,9 +248,9 @@ def fit_field(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     some = [labels.filter(F.col("quality") == q).select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("quality")).dropDuplicates(["__id"]).orderBy(F.xxhash64(F.lit(11), "__id"), "__id").limit(FIT_ROWS) for q in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # at most 2 * FIT_ROWS rows
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, F.col("doc_id") == F.col("__id")).orderBy(order, "doc_id", F.xxhash64("text")).limit(2 * FIT_ROWS).select("quality", "text")
-    found = rows.mapInArrow(_features, "quality int, features binary").collect()
-    width = len(FEATURES)
-    return fit(sorted(((np.frombuffer(r["features"]).reshape(-1, width), int(r["quality"])) for r in found if r["features"]), key=lambda s: (s[1], len(s[0]), s[0].tobytes())))
+    found = sorted((int(r["quality"]), bytes(r["features"])) for r in rows.mapInArrow(_features, "quality int, features binary").collect() if r["features"])
+    good, bad = ([np.frombuffer(f).reshape(-1, len(FEATURES)) for q, f in found if q == k] for k in (1, 0))
+    return learn(good, bad)
 
 
 def judge(texts: list[str], field: Field) -> list[dict]:
@@ -245,24 +282,21 @@ def judge_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for x, y in chunks(texts):
-                found = judge(texts[x:y], field)
-                yield batch(_JUDGED, [ids[x:y], *([f[k] for f in found] for k in [c.split(" ")[0] for c in _JUDGED.split(", ")][1:])])
+        for b in steps(batches, 1):
+            found = judge(strings(b.column(1)), field)
+            yield batch(_JUDGED, [b.column(0), *([f[k] for f in found] for k in [c.split(" ")[0] for c in _JUDGED.split(", ")][1:])])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, _JUDGED)
+    return columns(docs, doc_id=(id_col, "long"), text=(text_col, None)).mapInArrow(run, _JUDGED)
 
 
 def keep_content(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
-    at = docs.columns.index(text_col)
+    at = place_of(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
-        for b in batches:
-            texts = [t or "" for t in b.column(at).to_pylist()]
-            for x, y in chunks(texts):
-                yield b.slice(x, y - x).filter(pa.array([f["kept"] for f in judge(texts[x:y], field)], pa.bool_()))
+        for b in steps(batches, at):
+            yield b.filter(pa.array([f["kept"] for f in judge(strings(b.column(at)), field)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
