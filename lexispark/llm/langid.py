@@ -3,15 +3,16 @@
 Each language has a probability for every piece of a fixed public vocabulary. A word's probability is the sum over all its
 segmentations into pieces of the products of their probabilities, by the forward algorithm; a text's is the product over
 its words, runs of letters in lower case. Words are scored once and remembered. Probabilities are learned by
-expectation maximisation over the same segmentations (forward and backward), on at most FIT_ROWS documents of each
-language, those of smallest hash.
+expectation maximisation over the same segmentations (forward and backward), on at most FIT_ROWS rows of each language,
+those of smallest hash; each language is fitted in a task of its own.
 
-Letters that no piece covers have a probability of their own, FLOOR. Words are cut every LONGEST letters, so that long runs stay
-in range; segmentations across a cut aren't summed.
+Letters that no piece covers have a probability of their own, FLOOR. The sum of a word of over LINEAR letters is taken of
+logarithms, as its probability leaves the range of numbers; it is the same sum.
 
 Defined results: a text that is null or has no letter gets "und" with score 1; a null doc_id is never held out, nor learned from;
-rows that repeat an id are rows of their own; an empty table gives no rows; without rows to learn from every text is "und"; more than MOST_LANGUAGES languages to learn are refused;
-further columns are ignored.
+rows that repeat an id are rows of their own; of languages that tie, the first by code point is predicted; a word or text of any
+length is scored whole; an empty table gives no rows; without rows to learn from every text is "und"; more than
+MOST_LANGUAGES languages to learn are refused; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, chunks, only
+from .common import batch, columns, only, steps, strings
 
 VOCABULARY = "piece_bpe_32k.model"
 FIT_ROWS, ROUNDS = 400, 3
 MOST_LANGUAGES = 500
-LONGEST = 40
+LINEAR = 30
 FLOOR = 1e-8
 _MEMO_WORDS = 400_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -90,6 +91,19 @@ class Lattice:
             out.append((places, found))
         return out
 
+    def ends(self, word: str) -> np.ndarray:
+        """Of one word, letters x sizes: the piece of size k + 1 that ends with each letter of mark + word, -1 for a letter that is no piece, _NONE for nothing."""
+        code = np.frombuffer((_MARK + word).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        n = len(code)
+        out = np.full((n, min(n, self.most)), _NONE, np.int64)
+        for size in range(1, out.shape[1] + 1):
+            h = np.full(n - size + 1, size, np.uint64)
+            for k in range(size):
+                h = h * _BASE + code[k : n - size + 1 + k]
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            out[size - 1 :, size - 1] = np.where(self.keys[at] == h, self.order[at], -1 if size == 1 else _NONE)
+        return out
+
 
 def _forward(found: dict, n: int, probability: np.ndarray, words: int) -> np.ndarray:
     """Sums over segmentations of each word's first letters: (n + 1, words, languages). probability's last row is the floor's."""
@@ -103,6 +117,20 @@ def _forward(found: dict, n: int, probability: np.ndarray, words: int) -> np.nda
     return alpha
 
 
+_NONE = -2
+
+
+def _log_forward(ends: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums over segmentations of a word's first letters: (letters + 1, languages). ends: Lattice.ends(word)."""
+    out = np.zeros((len(ends) + 1, logs.shape[1]))
+    for b, row in enumerate(ends, 1):
+        size = np.flatnonzero(row != _NONE)
+        each = out[b - 1 - size] + logs[row[size]]
+        top = each.max(axis=0)
+        out[b] = top + np.log(np.exp(each - top).sum(axis=0))
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     """languages; pieces; probability (pieces + 1 x languages), whose last row is the floor's."""
@@ -112,59 +140,83 @@ class Model:
     probability: np.ndarray
 
 
-def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUNDS) -> Model:
-    """counts: for each language its words with their numbers."""
-    languages = tuple(sorted(counts))
-    words = sorted(set().union(*counts.values())) if counts else []
-    weight = np.array([[counts[x].get(w, 0) for x in languages] for w in words], float).reshape(len(words), len(languages))
+def fit_language(counts: dict[str, int], pieces: list[str], rounds: int = ROUNDS) -> np.ndarray:
+    """Probabilities of pieces, and of the floor, from a language's words with their numbers."""
     lattice = Lattice(pieces)
-    groups = lattice.edges(words)
-    probability = np.zeros((len(pieces) + 1, len(languages)))
+    short, long_ = (sorted(w for w in counts if (len(w) > LINEAR) == far) for far in (False, True))
+    weight = np.array([counts[w] for w in short], float)
+    groups = lattice.edges(short)
+    far = [(float(counts[w]), lattice.ends(w)) for w in long_]
+    probability = np.zeros(len(pieces) + 1)
     for places, found in groups:  # to begin with: every place of a piece counts
         for piece in found.values():
-            np.add.at(probability, piece, weight[places] * (piece >= 0)[:, None])
+            np.add.at(probability, piece, weight[places] * (piece >= 0))
+    for n, ends in far:
+        np.add.at(probability, ends[ends >= 0], n)
     for step in range(rounds + 1):
         probability[-1] = 0
         probability[:-1] += 0.01  # a piece that a language doesn't show stays possible
-        probability /= probability.sum(axis=0, keepdims=True)
+        probability /= probability.sum()
         probability[-1] = FLOOR
         if step == rounds:
-            return Model(languages, pieces, probability)
-        expected = np.zeros_like(probability)
+            return probability
+        expected, column = np.zeros_like(probability), probability[:, None]
         for places, found in groups:
             n = max(b for _, b in found)
-            alpha = _forward(found, n, probability, len(places))
+            alpha = _forward(found, n, column, len(places))[..., 0]
             beta = np.zeros_like(alpha)
             beta[n] = weight[places] / alpha[n]
             for (a, b), piece in sorted(found.items(), key=lambda x: -x[0][0]):
-                own = probability[piece] * ((piece >= 0) | (b == a + 1))[:, None]
+                own = probability[piece] * ((piece >= 0) | (b == a + 1))
                 beta[a] += own * beta[b]
                 np.add.at(expected, piece, alpha[a] * own * beta[b])
+        logs = np.log(column)
+        for n, ends in far:
+            alpha = _log_forward(ends, logs)[:, 0]
+            beta = np.full(len(ends) + 1, -np.inf)
+            beta[-1] = 0
+            for b in range(len(ends), 0, -1):
+                size = np.flatnonzero(ends[b - 1] != _NONE)
+                piece, at = ends[b - 1][size], b - 1 - size
+                beta[at] = np.logaddexp(beta[at], logs[piece, 0] + beta[b])
+                np.add.at(expected, piece, n * np.exp(alpha[at] + logs[piece, 0] + beta[b] - alpha[-1]))
         probability = expected
     raise AssertionError
 
 
+def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUNDS) -> Model:
+    """counts: for each language its words with their numbers."""
+    languages = tuple(sorted(counts))
+    found = [fit_language(counts[x], pieces, rounds) for x in languages]
+    return Model(languages, pieces, np.stack(found, axis=1) if found else np.zeros((len(pieces) + 1, 0)))
+
+
 class Scorer:
     """Scores texts, remembering words."""
 
     def __init__(self, model: Model):
         self.model, self.lattice = model, Lattice(model.pieces)
+        self.log_probability = np.log(np.maximum(model.probability, 1e-300))
         self._forget()
 
     def _forget(self) -> None:
         self.words: dict[str, int] = {}
-        self.logs = np.zeros((0, len(self.model.languages)))
-        self.alpha = np.zeros(0, bool)
+        self.logs = np.zeros((1024, len(self.model.languages)))
 
     def _learn(self, new: list[str]) -> None:
-        parts = [(i, w[a : a + LONGEST]) for i, w in enumerate(new) for a in range(0, len(w), LONGEST)]
-        logs = np.zeros((len(new), len(self.model.languages)))
-        owner = np.array([i for i, _ in parts])
-        for places, found in self.lattice.edges([p for _, p in parts]):
+        base = len(self.words) - len(new)
+        if len(self.words) > len(self.logs):
+            grown = np.zeros((max(len(self.words), 2 * len(self.logs)), self.logs.shape[1]))
+            grown[:base] = self.logs[:base]
+            self.logs = grown
+        short = [i for i, w in enumerate(new) if len(w) <= LINEAR]
+        place = base + np.array(short, np.int64)
+        for places, found in self.lattice.edges([new[i] for i in short]):
             n = max(b for _, b in found)
-            np.add.at(logs, owner[places], np.log(_forward(found, n, self.model.probability, len(places))[n]))
-        self.logs = np.concatenate((self.logs, logs))
-        self.alpha = np.concatenate((self.alpha, np.array([any(map(str.isalpha, w)) for w in new], bool)))
+            self.logs[place[places]] = np.log(_forward(found, n, self.model.probability, len(places))[n])
+        for i, w in enumerate(new):
+            if len(w) > LINEAR:
+                self.logs[base + i] = _log_forward(self.lattice.ends(w), self.log_probability)[-1]
 
     def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """The likeliest language of each text, and its share of the probability."""
@@ -175,7 +227,7 @@ class Scorer:
         known, new = self.words, []
         for t in texts:
             before = len(flat)
-            for w in _LETTERS.findall(t.lower()):
+            for w in words_of(t):
                 n = known.get(w)
                 if n is None:
                     n = known[w] = len(known)
@@ -185,40 +237,67 @@ class Scorer:
         if new:
             self._learn(new)
         at, owner = np.array(flat, np.int64), np.repeat(np.arange(len(texts)), counts)
-        letters = np.bincount(owner, self.alpha[at], len(texts)) > 0
+        letters = np.bincount(owner, minlength=len(texts)) > 0
         names = self.model.languages
         if not names:
             return ["und"] * len(texts), [1.0] * len(texts)
-        total = np.stack([np.bincount(owner, np.where(self.alpha[at], self.logs[at, k], 0), len(texts)) for k in range(len(names))], axis=1)
+        total = np.stack([np.bincount(owner, self.logs[at, k], len(texts)) for k in range(len(names))], axis=1)
         share = np.exp(total - total.max(axis=1, keepdims=True))
         share /= share.sum(axis=1, keepdims=True)
         best = share.argmax(axis=1)
         return [names[k] if ok else "und" for k, ok in zip(best.tolist(), letters.tolist())], [float(share[i, k]) if letters[i] else 1.0 for i, k in enumerate(best.tolist())]
 
 
+_WORDS = "lang string, word string, n long"
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case, that have a letter (marks that count as such to the expression aren't)."""
+    return [w for w in _LETTERS.findall(text.lower()) if any(map(str.isalpha, w))]
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in steps(batches, "text"):
         counts: Counter = Counter()
-        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-            for w in _LETTERS.findall((text or "").lower()):
-                for a in range(0, len(w), LONGEST):
-                    counts[lang, w[a : a + LONGEST]] += 1
-        yield batch("lang string, word string, n long", [[k[0] for k in counts], [k[1] for k in counts], list(counts.values())])
+        for lang, text in zip(b.column("lang").to_pylist(), strings(b.column("text"))):
+            for w in words_of(text):
+                counts[lang, w] += 1
+        yield batch(_WORDS, [[k[0] for k in counts], [k[1] for k in counts], list(counts.values())])
 
 
-def fit_model(docs: DataFrame, vocabulary_path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model of the languages of docs' rows with an id, a text and a language."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+def sample(rows: DataFrame) -> DataFrame:
+    """Of rows (doc_id, text, lang) without nulls, the FIT_ROWS of smallest hash in each language.
+
+    Rows are first cut by the power of two below their hash, at the power that leaves enough of a language's rows, a few
+    times FIT_ROWS; so no task gets all rows of a language.
+    """
+    key = F.xxhash64(F.lit(5), "doc_id").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
+    rows = rows.withColumn("key", key).withColumn("level", F.floor(F.log2(F.col("key") + 1.0)))
     if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
-    by = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= FIT_ROWS).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).distinct()
-    some = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("lang", "text")
-    counted = some.mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    found: dict[str, dict[str, int]] = {}
-    for r in counted.toLocalIterator():
-        found.setdefault(r["lang"], {})[r["word"]] = r["n"]
-    return fit(found, vocabulary(vocabulary_path))
+    levels = sorted(map(tuple, rows.groupBy("lang", "level").agg(F.count("*")).collect()))
+    cut, seen = {}, Counter()
+    for lang, level, n in levels:
+        if seen[lang] < FIT_ROWS:
+            cut[lang] = level
+        seen[lang] += n
+    few = rows.join(F.broadcast(rows.sparkSession.createDataFrame([*cut.items()], "lang string, most long")), "lang").filter("level <= most")
+    by = Window.partitionBy("lang").orderBy("key", "doc_id", F.xxhash64("text"), "text")
+    return few.withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= FIT_ROWS).select("doc_id", "lang", "text")
+
+
+def fit_model(docs: DataFrame, vocabulary_path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """A model of the languages of docs' rows with an id, a text and a language."""
+    rows = columns(docs, doc_id=(id_col, None), text=(text_col, None), lang=(lang_col, "string")).filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+    counted = sample(rows).mapInArrow(_words, _WORDS).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    pieces = vocabulary(vocabulary_path)
+
+    def run(table: pa.Table) -> pa.Table:
+        counts = dict(zip(table.column("word").to_pylist(), table.column("n").to_pylist()))
+        return pa.table({"lang": table.column("lang").slice(0, 1), "probability": pa.array([fit_language(counts, pieces).tobytes()], pa.binary())})
+
+    found = sorted((r["lang"], bytes(r["probability"])) for r in counted.groupBy("lang").applyInArrow(run, "lang string, probability binary").collect())
+    return Model(tuple(x for x, _ in found), pieces, np.stack([np.frombuffer(p) for _, p in found], axis=1) if found else np.zeros((len(pieces) + 1, 0)))
 
 
 _PREDICTED = "doc_id long, lang_pred string, score double"
@@ -230,9 +309,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
         scorer = Scorer(model)
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for x, y in chunks(texts):
-                yield batch(_PREDICTED, [ids[x:y], *scorer.score(texts[x:y])])
+        for b in steps(batches, 1):
+            yield batch(_PREDICTED, [b.column(0), *scorer.score(strings(b.column(1)))])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, _PREDICTED)
+    return columns(docs, doc_id=(id_col, "long"), text=(text_col, None)).mapInArrow(run, _PREDICTED)
