@@ -17,7 +17,10 @@ probability (1 - s ** ROWS) ** BANDS, 5e-5 at 0.8.
 
 Defined results: texts of one to four words have one shingle, all their words; texts without words, and null texts,
 stay alone; a class's id is its smallest doc_id, and one row of it is kept: of several texts with that id, the one whose words
-have the smallest digest; of a class without ids, whose id is null, likewise one row; null doc_ids are kept as members; an empty table gives no rows; further columns are ignored.
+have the smallest digest; of a class without ids, whose id is null, likewise one row; null doc_ids are kept as members; a
+text of any length is compared whole; an empty table gives no rows; further columns, whatever their names, are ignored or
+kept as they are. Verification compares 64-bit hashes of shingles with their weights, and equal texts are told by the MD5
+digest of their words; neither is byte for byte.
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, arrow_schema, batch, chunks, join_hot, materialize, memo, mix64, only, ragged, split_words, utf8
+from .common import BLANK, arrow_schema, batch, binaries, columns, in_rows, join_hot, materialize, memo, mix64, only, out_of_rows, ragged, repeated, settled, split_words, steps, strings, utf8
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -135,16 +138,13 @@ _SIGNED = "doc_id long, key binary, bands array<long>"
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     only("words")
     salt = np.arange(1, BANDS + 1, dtype=np.uint64) * _STEP[3]
-    for b in batches:
-        ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-        for x, y in chunks(texts):
-            doc, h, n, keys = shingles([utf8(t) for t in texts[x:y]])
-            signature = dart_signatures(doc, h, n, y - x).reshape(y - x, BANDS, ROWS)
-            band = salt[None, :] + np.zeros((y - x, 1), np.uint64)
-            for k in range(ROWS):
-                band = mix64(band ^ signature[:, :, k])
-            some = [bool(k) for k in keys]
-            yield batch(_SIGNED, [ids[x:y], keys, [v if s else [] for v, s in zip(band.view(np.int64).tolist(), some)]])
+    for b in steps(batches, 1):
+        doc, h, n, keys = shingles([utf8(t) for t in strings(b.column(1))])
+        signature = dart_signatures(doc, h, n, b.num_rows).reshape(b.num_rows, BANDS, ROWS)
+        band = salt[None, :] + np.zeros((b.num_rows, 1), np.uint64)
+        for k in range(ROWS):
+            band = mix64(band ^ signature[:, :, k])
+        yield batch(_SIGNED, [b.column(0), keys, [v if k else [] for v, k in zip(band.view(np.int64).tolist(), keys)]])
 
 
 _SETS = "key binary, elements binary, weights binary"
@@ -152,13 +152,10 @@ _SETS = "key binary, elements binary, weights binary"
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     only("words")
-    for b in batches:
-        texts = [t or "" for t in b.column(0).to_pylist()]
-        for x, y in chunks(texts):
-            doc, h, n, keys = shingles([utf8(t) for t in texts[x:y]])
-            ends = np.searchsorted(doc, np.arange(y - x + 1))
-            own = [(h[a:z].tobytes(), n[a:z].astype("<u4").tobytes()) for a, z in zip(ends[:-1], ends[1:])]
-            yield batch(_SETS, [keys, [e for e, _ in own], [w for _, w in own]])
+    for b in steps(batches, 0):
+        doc, h, n, keys = shingles([utf8(t) for t in strings(b.column(0))])
+        sizes = np.bincount(doc, minlength=b.num_rows)
+        yield batch(_SETS, [keys, binaries(h, 8 * sizes), binaries(n.astype("<u4"), 4 * sizes)])
 
 
 _COMPARED = "a long, b long, similarity double"
@@ -249,31 +246,51 @@ def search(members: DataFrame, sets: DataFrame, threshold: float, total: int) ->
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """node and the smallest node of its component, for all nodes of links (a, b): alternating large and small stars.
 
-    Raises an error if the edges still change after that many rounds.
+    Raises an error if the edges aren't stable after that many rounds.
     """
 
-    def star(edges: DataFrame, large: bool) -> DataFrame:
+    def star(edges: DataFrame, large: bool, total: int) -> DataFrame:
         # each node's smallest neighbour; large: its larger neighbours go there, small: the node and its smaller neighbours do.
-        # A node with very many neighbours is one row of mins, so Spark can split its edges in the join.
+        # A node with very many neighbours goes to its edges by broadcast, so that they don't meet in one task.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-        mins = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = both.join(mins, "u")
+        mins = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
+        joined = join_hot(both, mins, ["u"], "degree", total)
         moved = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) if large else joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(mins.select("u", F.col("m").alias("v")))
         return moved.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
-    mark = None
-    for _ in range(rounds):
-        found = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if tuple(found) == mark:
+    for turn in range(rounds + 1):
+        # stable: every node has one edge at most, and it leads to a node that has none
+        ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if not ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up = 1 AND down = 1)").limit(1).count():
             break
-        mark = tuple(found)
-        edges = materialize(star(star(edges, True), False).distinct(), "edges")
+        if turn == rounds:
+            continue
+        total = edges.count()
+        grown = materialize(star(edges, True, 2 * total), "grown")
+        edges = materialize(star(grown, False, total).distinct(), "edges")
     else:
         raise RuntimeError(f"components are not stable after {rounds} rounds")
     return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.col("m").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct().join(edges.select(F.col("u").alias("node")), ["node"], "left_anti"))
 
 
+def joined_components(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, root) with further links (a, b), which are looked at between components only."""
+    of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).filter("a <> b").distinct()
+    between = materialize(between, "between")
+    if not between.limit(1).count():
+        return roots
+    top = materialize(components(between), "top")
+    moved = roots.join(top.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return materialize(moved.unionByName(top.join(roots.select("node"), "node", "left_anti")), "roots")
+
+
+def _words_key(text: Column) -> Column:
+    """The digest of a text's words that shingles() gives."""
+    return F.unhex(F.md5(F.encode(F.trim(F.regexp_replace(text, BLANK, " ")), "UTF-8")))
+
+
 def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Of documents (doc_id, text): those with words, a row per doc_id and key with class_id, class_size, rows and own (whether one of them is kept); and the rest's doc_ids."""
     signed = materialize(docs.mapInArrow(_sign, _SIGNED), "signed")
@@ -300,8 +317,10 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     # sets of the nodes in buckets: their texts are fetched by the id of one of their documents, then told apart by key
     wanted = members.select("node").distinct().join(nodes.select("node", "key", "first_id"), ["node"])
     wanted = materialize(wanted, "wanted")
-    ids = wanted.select(F.col("first_id").alias("id")).distinct()
-    sets = docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi").select("text").mapInArrow(_sets, _SETS)
+    # by the key of their words where they have no id, so that rows without one don't meet in one task
+    fetch = lambda i, key: F.coalesce(F.col(i).cast("string"), F.concat(F.lit("="), F.hex(key))).alias("fetch")
+    texts_of = docs.withColumn("fetch", fetch("doc_id", _words_key(F.col("text")))).join(wanted.select(fetch("first_id", F.col("key"))).distinct(), "fetch", "left_semi")
+    sets = texts_of.select("text").mapInArrow(_sets, _SETS)
     sets = materialize(sets.join(wanted.select("key", "node"), ["key"]).dropDuplicates(["key"]).select("node", "elements", "weights"), "sets")
 
     pairs = lambda d: d.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
@@ -327,13 +346,10 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     y = marked.filter("away > 0").select("bucket", F.col("node").alias("b"), F.col("node_root").alias("b_root"), F.col("away").alias("b_away"), (F.col("node_root") != F.col("leader_root")).alias("b_apart"))
     left = x.join(y, ["bucket"]).filter((F.col("a_root") != F.col("b_root")) & (F.abs(F.col("a_away") - F.col("b_away")) <= 1 - threshold + 1e-9) & (~F.col("b_apart") | (F.col("a") < F.col("b"))))
     again = compare(among.union(left.select("a", "b")).distinct(), sets)
-    links = links.select("a", "b").unionByName(again.filter(F.col("similarity") >= threshold).select("a", "b"))
-    roots = materialize(components(links), "roots")
+    roots = joined_components(roots, again.filter(F.col("similarity") >= threshold).select("a", "b"))
     # larger buckets are searched for what still links their components
     large = shared.filter(F.col("size") > SMALL).join(roots, ["node"], "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    more = search(large, sets, threshold, n * BANDS)
-    if more.count():
-        roots = materialize(components(links.unionByName(more)), "roots")
+    roots = joined_components(roots, search(large, sets, threshold, n * BANDS))
 
     classed = nodes.select("node", "key", "first_id", "copies").join(roots, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
     classed = materialize(classed, "classed")
@@ -348,21 +364,28 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, class_id (smallest doc_id of its class), class_size (rows), kept."""
-    found, alone = _classes(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), threshold)
-    found = found.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return found.select("doc_id", "class_id", "class_size", (F.col("own") & (F.col("nth") == 1)).alias("kept")).unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept")))
+    """One row per row of docs: doc_id, class_id (smallest doc_id of its class), class_size (rows), kept; written, with its intermediate tables deleted."""
+
+    def classed() -> DataFrame:
+        found, alone = _classes(columns(docs, doc_id=(id_col, "long"), text=(text_col, None)), threshold)
+        kept = (F.col("own") & (F.col("nth") == 0)).alias("kept")
+        return repeated(found, "rows", "nth").select("doc_id", "class_id", "class_size", kept).unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept")))
+
+    return settled(classed, docs.sparkSession, "classes")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class, all columns as they were. Of rows that repeat id and words, any one stays."""
-    found, _ = _classes(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), threshold)
-    marks = materialize(found.filter("NOT own OR rows > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__of"), "own"), "dropped")
-    # the digest of words that shingles() gives
-    keyed = docs.withColumn("__key", F.unhex(F.md5(F.encode(F.trim(F.regexp_replace(text_col, BLANK, " ")), "UTF-8"))))
-    same = keyed[id_col].eqNullSafe(marks["__id"]) & (keyed["__key"] == marks["__of"])
-    left = keyed.join(marks, same, "left_anti")
+
+    def dropped() -> DataFrame:
+        found, _ = _classes(columns(docs, doc_id=(id_col, "long"), text=(text_col, None)), threshold)
+        return found.filter("NOT own OR rows > 1").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone"), "own")
+
+    marks = settled(dropped, docs.sparkSession, "dropped")
+    rows = in_rows(docs, doc_id=(id_col, "long"), text=(text_col, None)).withColumn("key", _words_key(F.col("text"))).drop("text")
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone"))
+    left = rows.join(marks, same, "left_anti")
     twice = marks.filter("own")
     if twice.count():
-        left = left.unionByName(keyed.join(twice, same, "left_semi").dropDuplicates([id_col, "__key"]))
-    return left.drop("__key")
+        left = left.unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["doc_id", "key"]))
+    return out_of_rows(left, docs.columns)
