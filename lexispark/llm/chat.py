@@ -9,7 +9,8 @@ Inside roles and texts a backslash becomes \\0 and "<" becomes \\1, so that mark
 The loss mask is an array of [start, end) in characters of the formatted text, one for each assistant text.
 
 Defined results: a null text or role counts as empty; turns that tie are in order of role and text; a null conv_id is a
-conversation of its own; an empty table gives no rows; further columns are ignored.
+conversation of its own; a conversation of any length is one row, as the method collects its turns; a very long text is
+formatted whole; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,16 +29,29 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\1"), F.lit("<")), F.lit("\\0"), F.lit("\\"))
 
 
+#: Pieces whose places are added up together: an array grows by copying, so long conversations are dealt with in blocks.
+BLOCK = 256
+
+
 def format_conversations(turns: DataFrame, learn_role: str = "assistant", id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_mask (array of start and end)."""
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = turns.groupBy(F.col(id_col).alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    at = lambda i: F.get(F.col("turns"), i)["role"]
-    # a turn's text with the marks around it; the runs of one role are merged where the marks are PART
-    opens = lambda x, i: F.when((i == 0) | (at(i - 1) != x["role"]), F.concat(F.lit(TURN), escape(x["role"]), F.lit(TEXT))).otherwise(F.lit(PART))
-    closes = lambda x, i: F.when((i == F.size("turns") - 1) | (at(i + 1) != x["role"]), F.lit(END)).otherwise(F.lit(""))
-    pieces = F.transform("turns", lambda x, i: F.struct(opens(x, i).alias("before"), escape(x["text"]).alias("text"), closes(x, i).alias("after"), (x["role"] == learn_role).alias("learn")))
-    found = found.select("conv_id", pieces.alias("pieces"))
+    n = F.size("turns")
+    # runs of one role: where each begins, and where the next does
+    begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("turns", i - 1)["role"] != F.get("turns", i)["role"]))
+    found = found.withColumn("begins", begins)
+    runs = F.arrays_zip(F.col("begins").alias("a"), F.concat(F.slice("begins", F.lit(2), F.greatest(F.size("begins") - 1, F.lit(0))), F.array(n)).alias("z"))
+
+    def merged(run: Column) -> Column:
+        """A run as one turn: its role, and its texts, each with the mark before it and the last with the mark after it."""
+        role = F.get("turns", run["a"])["role"]
+        own = F.slice("turns", run["a"] + 1, run["z"] - run["a"])
+        before = lambda i: F.when(i == 0, F.concat(F.lit(TURN), escape(role), F.lit(TEXT))).otherwise(F.lit(PART))
+        after = lambda i: F.when(i == run["z"] - run["a"] - 1, F.lit(END)).otherwise(F.lit(""))
+        return F.transform(own, lambda x, i: F.struct(before(i).alias("before"), escape(x["text"]).alias("text"), after(i).alias("after"), (role == learn_role).alias("learn")))
+
+    found = found.select("conv_id", F.flatten(F.transform(runs, merged)).alias("pieces"))
     size = lambda x: F.char_length(x).cast("long")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
 
@@ -46,11 +60,12 @@ def format_conversations(turns: DataFrame, learn_role: str = "assistant", id_col
         b = a + size(x["text"])
         return F.struct((b + size(x["after"])).alias("at"), F.when(x["learn"], F.array_append(done["spans"], F.struct(a.alias("start"), b.alias("end")))).otherwise(done["spans"]).alias("spans"))
 
-    return found.select(
-        "conv_id",
-        F.array_join(F.transform("pieces", lambda x: F.concat(x["before"], x["text"], x["after"])), "").alias("formatted"),
-        F.aggregate("pieces", start, step, lambda x: x["spans"]).alias("loss_mask"),
-    )
+    blocks = F.transform(F.sequence(F.lit(0), F.expr(f"(size(pieces) - 1) div {BLOCK}").cast("int")), lambda k: F.aggregate(F.slice("pieces", k * BLOCK + 1, F.lit(BLOCK)), start, step))
+    found = found.select("conv_id", F.array_join(F.transform("pieces", lambda x: F.concat(x["before"], x["text"], x["after"])), "").alias("formatted"), blocks.alias("blocks"))
+    begin = F.aggregate("blocks", F.array(F.lit(0).cast("long")), lambda done, x: F.array_append(done, F.element_at(done, -1) + x["at"]))
+    moved = lambda z: F.transform(z["spans"], lambda s: F.struct((s["start"] + z["begin"]).alias("start"), (s["end"] + z["begin"]).alias("end")))
+    zipped = F.zip_with(F.col("blocks"), F.slice(begin, F.lit(1), F.size("blocks")), lambda x, at: F.struct(x["spans"].alias("spans"), at.alias("begin")))
+    return found.select("conv_id", "formatted", F.flatten(F.transform(zipped, moved)).alias("loss_mask"))
 
 
 def read_turns(formatted: Column) -> Column:

@@ -7,8 +7,9 @@ every text. Trigrams are of UTF-8 bytes with ASCII letters in lower case, for in
 
 A segment's index lives as long as the task that made it: index, query and verification are one pass, without a shuffle.
 
-Defined results: a null text counts as empty; a null doc_id is kept; rows that repeat an id are rows of their own; an empty
-table gives no rows; further columns are ignored. Spans are in code points, end exclusive, of whole matches.
+Defined results: a null text counts as empty; a null doc_id is kept; rows that repeat an id are rows of their own; a text of
+any length is searched whole; spans that begin together are in the order of the rules; an empty table gives no rows; further
+columns are ignored. Spans are in code points, end exclusive, of whole matches.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, chunks, only, utf8
+from .common import batch, columns, only, steps, strings, utf8
 
 try:
     from re import _constants as sre, _parser as sre_parse
@@ -60,7 +61,7 @@ MORE_RULES = (
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("service_key", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("payment_key", r"[rs]k_live_[A-Za-z0-9]{24,}"),
-    Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s:/@]{1,64}:[^\s:/@]{1,64}@"),
+    Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s:/@]+:[^\s:/@]+@"),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -245,13 +246,11 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for x, y in chunks(texts):
-                found = scan(texts[x:y], rules)
-                yield batch(_FOUND, [ids[x:y], [[rules[k].kind for _, k, _ in f] for f in found], [[a for a, _, _ in f] for f in found], [[z for _, _, z in f] for f in found]])
+        for b in steps(batches, 1):
+            found = scan(strings(b.column(1)), rules)
+            yield batch(_FOUND, [b.column(0), [[rules[k].kind for _, k, _ in f] for f in found], [[a for a, _, _ in f] for f in found], [[z for _, _, z in f] for f in found]])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, _FOUND)
+    return columns(docs, doc_id=(id_col, "long"), text=(text_col, None)).mapInArrow(run, _FOUND)
 
 
 def joined_spans(only: tuple[str, ...] | None = None) -> Column:
