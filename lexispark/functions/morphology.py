@@ -175,3 +175,74 @@ def search_targets(lexicon: DataFrame) -> DataFrame:
     forms = conjugate(lexicon, ("affirmative", "negative")).filter("form IS NOT NULL").withColumn("tokens", search_tokens(F.col("form"))).filter(F.size("tokens") > 0)
     rows = forms.select("verb_id", "lemma", F.array_join("tokens", " ").alias("target_key"), "tokens", signature().alias("signature"), cell_label().alias("cell_label"))
     return rows.withColumn("target_id", target_id(F.col("verb_id"), F.col("signature"), F.col("target_key"))).dropDuplicates(["target_id"])
+
+
+PARTICLES = ("të", "do", "mos", "nuk", "a", "për", "duke", "pa", "me")
+
+
+def segments(form, mood, tense, cell):
+    """A form in segments (surface, role): particles, the middle-passive marker, an auxiliary, and the verb, whose stem and
+    ending the rule tables tell apart where the ending of the cell is at the end of it; a form without a rule is one stem.
+
+    Needs the columns aux_forms (the auxiliary's forms in the cell) and endings (the endings of the cell, longest first).
+    """
+    words = F.split(form, " ")
+    n = F.size(words)
+    role = lambda w, i: F.when((w == "u") & (i < n - 1), "voice-marker").when(w.isin(*PARTICLES) & (i < n - 1), "particle").when(i < n - 1, "auxiliary").otherwise("stem")
+    parts = F.transform(words, lambda w, i: F.struct(w.alias("surface"), role(w, i).alias("role")))
+    last = F.element_at(parts, -1)["surface"]
+    simple = (mood != "non-finite") & ~F.exists(parts, lambda p: p["role"] == "auxiliary")
+    ending = F.when(simple, F.get(F.filter("endings", lambda e: (e != "") & last.endswith(e) & (F.char_length(last) > F.char_length(e))), 0))
+    split = F.array(F.struct(F.substr(last, F.lit(1), F.char_length(last) - F.char_length(ending)).alias("surface"), F.lit("stem").alias("role")), F.struct(ending.alias("surface"), F.lit("ending").alias("role")))
+    return F.when(ending.isNull(), parts).otherwise(F.concat(F.slice(parts, F.lit(1), n - 1), split))
+
+
+def joined_segments(parts):
+    """The form that segments make: an ending follows its stem without a space."""
+    return F.ltrim(F.aggregate(parts, F.lit(""), lambda done, p: F.concat(done, F.when(p["role"] == "ending", F.lit("")).otherwise(F.lit(" ")), p["surface"])))
+
+
+def with_segments(forms: DataFrame) -> DataFrame:
+    """Forms of conjugate() with their segments. The rule tables are small and go to every task."""
+    rows = [(r, c, e) for _, r, c, _, e in rule_rows()]
+    by_rule = forms.sparkSession.createDataFrame(sorted(set(rows)), "rule string, cell string, ending string")
+    cells = forms.sparkSession.createDataFrame(grid_rows(), GRID).filter("rule IS NOT NULL").select("mood", "tense", "voice", "cell", "rule")
+    endings = cells.join(by_rule, ["rule", "cell"]).groupBy("mood", "tense", "voice", "cell").agg(F.transform(F.sort_array(F.collect_set(F.struct((-F.char_length("ending")).alias("n"), "ending"))), lambda s: s["ending"]).alias("endings"))
+    found = forms.join(F.broadcast(endings), ["mood", "tense", "voice", "cell"], "left").withColumn("endings", F.coalesce("endings", F.array().cast("array<string>")))
+    return found.withColumn("segments", segments(F.col("form"), F.col("mood"), F.col("tense"), F.col("cell"))).drop("endings")
+
+
+#: Fixed values of glosses and of CoNLL-U features.
+TENSE_GLOSS = {"present": "PRS", "imperfect": "IPF", "aorist": "AOR", "perfect": "PRF", "pluperfect": "PLUP", "past-anterior": "PST.ANT", "future": "FUT", "future-perfect": "FUT.PRF", "future-in-past": "FUT.PST", "future-perfect-in-past": "FUT.PRF.PST"}
+MOOD_FEATURE = {"indicative": "Ind", "subjunctive": "Sub", "conditional": "Cnd", "admirative": "Adm", "optative": "Opt", "imperative": "Imp"}
+TENSE_FEATURE = {
+    "present": "Tense=Pres", "imperfect": "Tense=Imp", "aorist": "Tense=Past|Aspect=Perf", "perfect": "Tense=Pres|Aspect=Perf", "pluperfect": "Tense=Past|Aspect=Perf", "past-anterior": "Tense=Pqp|Aspect=Perf",
+    "future": "Tense=Fut", "future-perfect": "Tense=Fut|Aspect=Perf", "future-in-past": "Tense=Fut|Aspect=Imp", "future-perfect-in-past": "Tense=Fut|Aspect=Perf",
+}
+
+
+def _map(values: dict[str, str], key):
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), key)
+
+
+def interlinear(parts, tense, cell):
+    """Two aligned lines of segments and their glosses; columns are as wide as the wider of the two."""
+    number = F.when(cell.endswith("sg"), "SG").otherwise("PL")
+    name = lambda p: F.when(p["role"] == "auxiliary", "AUX").when(p["role"] == "stem", "STEM").when(p["role"] == "voice-marker", "MID.PASS").when(p["role"] == "ending", F.concat_ws(".", F.substring(cell, 1, 1), number, _map(TENSE_GLOSS, tense))).otherwise("PRT")
+    pairs = F.transform(parts, lambda p: F.struct(p["surface"].alias("a"), name(p).alias("b")))
+    wide = F.transform(pairs, lambda p: F.struct(F.greatest(F.char_length(p["a"]), F.char_length(p["b"])).alias("n"), p["a"].alias("a"), p["b"].alias("b")))
+    line = lambda k: F.rtrim(F.array_join(F.transform(wide, lambda p: F.rpad(p[k], p["n"], F.lit(" "))), "  "))
+    return F.concat(line("a"), F.lit("\n"), line("b"))
+
+
+def conllu(lemma, form, mood, tense, cell, nth):
+    """A row of CoNLL-U for a form of an active, affirmative cell."""
+    person = F.when(cell.isNotNull(), F.concat(F.lit("Person="), F.substring(cell, 1, 1), F.lit("|Number="), F.when(cell.endswith("sg"), "Sing").otherwise("Plur")))
+    features = F.concat_ws("|", F.lit("VerbForm=Fin"), F.concat(F.lit("Mood="), _map(MOOD_FEATURE, mood)), F.coalesce(_map(TENSE_FEATURE, tense), F.concat(F.lit("Tense="), tense)), person, F.lit("Voice=Act"), F.lit("Polarity=Pos"))
+    return F.concat_ws("\t", nth.cast("string"), form, lemma, F.lit("VERB"), F.lit("_"), features, F.lit("_"), F.lit("_"), F.lit("_"), F.concat(F.lit("Cell="), F.concat_ws("-", mood, tense, cell)))
+
+
+def citation(verb, lemma, translation, url, year: int):
+    """BibTeX of an entry; "ë" and "ć" as LaTeX."""
+    latex = lambda c: F.replace(F.replace(c, F.lit("ć"), F.lit("{\\'c}")), F.lit("ë"), F.lit('{\\"e}'))
+    return F.concat(F.lit("@misc{"), verb, F.lit(f"-{year},\n  title = {{"), latex(lemma), F.lit(" — "), latex(translation), F.lit(f"}},\n  year = {{{year}}},\n  url = {{"), url, F.lit("}\n}"))
