@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import new_path
 from ..functions import text as T
 
 
@@ -184,9 +185,26 @@ def first_of(df: DataFrame, by: list[str], order: list, k: int = 1) -> DataFrame
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rn") <= k)
 
 
+def placed(df: DataFrame, order: list, name: str = "nth") -> DataFrame:
+    """Rows with their places, from 1 on, in a total order of all of them.
+
+    Ranges of the order go to tasks and are written with their numbers; a row's place is its place in its range and the rows
+    of the ranges before, of which there are as many as tasks.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, "ranges")
+    keys = [F.col(o).alias(f"__{i}") if isinstance(o, str) else o.alias(f"__{i}") for i, o in enumerate(order)]
+    names = [F.col(f"__{i}") for i in range(len(order))]
+    df.select("*", *keys).repartitionByRange(*names).withColumn("__range", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    before = F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = rows.groupBy("__range").agg(F.count("*").alias("n")).select("__range", F.coalesce(before, F.lit(0)).alias("__earlier"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*names))
+    return rows.withColumn("__own", own).join(earlier, "__range").select(*df.columns, (F.col("__earlier") + F.col("__own")).alias(name))
+
+
 def chunk(df: DataFrame, order: list, size: int, index: int) -> DataFrame:
     """Slice number `index` of `size` rows in an order; an empty slice is an error at index > 0."""
-    found = df.withColumn("nth", F.row_number().over(Window.orderBy(*order))).filter((F.col("nth") > index * size) & (F.col("nth") <= (index + 1) * size))
+    found = placed(df, order).filter((F.col("nth") > index * size) & (F.col("nth") <= (index + 1) * size))
     if index and not found.limit(1).count():
         raise ValueError(f"chunk {index} is out of range")
     return found

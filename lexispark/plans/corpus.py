@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import new_path
 from ..functions import text as T
 from ..operators import match as M
 from ..operators import reports as R
@@ -49,10 +50,12 @@ _STORE: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def stored(spark: SparkSession, sf: str, name: str, make) -> DataFrame:
-    """The session's store of sentences and occurrences, which reports read instead of scanning texts anew; it spills to disk."""
+    """A table of sentences, matches or occurrences, written once and read by the reports, each its own columns; no executor holds it."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _STORE:
-        _STORE[key] = make().persist()
+        path, made = new_path(spark, name), make()
+        made.write.parquet(path)
+        _STORE[key] = spark.read.schema(made.schema).parquet(path)
     return _STORE[key]
 
 
@@ -73,7 +76,8 @@ def occ(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def raw(spark: SparkSession, sf: str) -> DataFrame:
-    return stored(spark, sf, "matches", lambda: M.phrase_match(rows(spark, sf), patterns(spark)))
+    """Matches before any rule, without texts; has_s is what the guard wants to know of them."""
+    return stored(spark, sf, "matches", lambda: M.phrase_match(rows(spark, sf).select(*M.KEY, "norm", M.apostrophe_guard(F.lit("s_negative"), F.col("sentence")).alias("has_s")), patterns(spark)).drop("norm"))
 
 
 # --- the same in DuckDB ---------------------------------------------------------------------------------------------
@@ -315,7 +319,7 @@ def _(spark, sf):
 
 @register("flt_variant_guard", f"{_with(SENTENCES, TARGETS_SQL, MATCHES)} SELECT target_id, variant_kind, {_KEY}, {_GUARD} AS passes FROM matches")
 def _(spark, sf):
-    g = M.apostrophe_guard(F.col("variant_kind"), F.col("sentence"))
+    g = (F.col("variant_kind") != "s_negative") | F.col("has_s")
     return raw(spark, sf).select("target_id", "variant_kind", "resource_id", "doc_id", "position", g.alias("passes"))
 
 

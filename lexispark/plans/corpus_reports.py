@@ -258,18 +258,14 @@ def _(spark, sf):
 
 @register("limit_per_verb", f"{_T} SELECT target_id, row_number() OVER (ORDER BY (rn > 2)::INT, target_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY verb_id ORDER BY target_id) AS rn FROM targets)")
 def _(spark, sf):
-    from pyspark.sql import Window
-
     ranked = R.first_of(targets(spark), ["verb_id"], ["target_id"], 1 << 30)
-    return ranked.select("target_id", F.row_number().over(Window.orderBy((F.col("rn") > 2).cast("int"), "target_id")).alias("place"))
+    return R.placed(ranked, [(F.col("rn") > 2).cast("int"), "target_id"], "place").select("target_id", "place")
 
 
 @register("sort_request_key", f"{_T} SELECT target_id, row_number() OVER (ORDER BY CASE voice WHEN 'middle-passive' THEN 0 ELSE 1 END, CASE mood WHEN 'indicative' THEN 0 WHEN 'subjunctive' THEN 1 ELSE 2 END, lemma, target_key, target_id) AS place FROM targets")
 def _(spark, sf):
-    from pyspark.sql import Window
-
     voice, mood = F.when(F.col("voice") == "middle-passive", 0).otherwise(1), F.when(F.col("mood") == "indicative", 0).when(F.col("mood") == "subjunctive", 1).otherwise(2)
-    return targets(spark).select("target_id", F.row_number().over(Window.orderBy(voice, mood, "lemma", "target_key", "target_id")).alias("place"))
+    return R.placed(targets(spark), [voice, mood, "lemma", "target_key", "target_id"], "place").select("target_id", "place")
 
 
 @register("chunk_targets", f"{_T} SELECT target_id, nth FROM (SELECT target_id, row_number() OVER (ORDER BY target_key, target_id) AS nth FROM targets) WHERE nth BETWEEN 5 AND 8")
