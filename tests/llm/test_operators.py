@@ -577,3 +577,94 @@ def test_pipeline(spark):
         if name == "near dedup":
             assert dartminhash.near_duplicates(current).filter("class_size > 1").count() == 0
     assert seen[0] > seen[1] > seen[2] >= seen[3] and seen[-1] > 0
+
+
+def brute_near(texts):
+    """Keys of texts that stay: of each class of texts linked by weighted Jaccard over five words, all pairs compared, the least."""
+    sets = {}
+    for k, t in texts.items():
+        w = WORDS.findall(t)
+        sets[k] = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or Counter([tuple(w)] if w else [])
+    root = {k: k for k in texts}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in texts:
+        for b in texts:
+            if a < b and sets[a] and sets[b] and sum((sets[a] & sets[b]).values()) >= 0.8 * sum((sets[a] | sets[b]).values()):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {k for k in texts if find(k) == k}
+
+
+def test_pipeline_against_brute_force(spark):
+    """run()'s rows: every stage but the mix's choice of words by brute force, and that choice by its bounds."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    field = crf.fit_field(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    kept = {}
+    for r in docs.collect():
+        t = r["text"] or ""
+        lines = crf.read_lines([t])
+        labels = crf.viterbi((lines.features @ np.array(field.weights)).tolist(), field.pairs) if len(lines.doc) else []
+        content = sum(n for n, y in zip([len(WORDS.findall(x)) for x in t.split("\n") if WORDS.search(x)], labels) if y)
+        n = len(WORDS.findall(t))
+        if not brute_quality(t)[-1] and content >= crf.CONTENT_SHARE * n:
+            kept[r["doc_id"]] = t
+    first = {}
+    for i in sorted(kept):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", kept[i]), i)
+    exact_ids = set(first.values())
+    near_ids = brute_near({i: kept[i] for i in exact_ids})
+    left = docs.filter(F.col("doc_id").isin(list(near_ids)))
+    mixed = mixing.mixed_documents(left).select("doc_id", "text", "source").collect()
+    sizes, words, total = Counter(), Counter(), Counter()
+    for r in left.collect():
+        sizes[r["doc_id"]] = len(WORDS.findall(r["text"]))
+        total[r["source"]] += sizes[r["doc_id"]]
+    taken = Counter()
+    for r in mixed:
+        n = len(WORDS.findall(r["text"]))
+        words[r["doc_id"]] += n
+        taken[r["source"]] += n
+    names = sorted(total, key=lambda x: (x is None, x or ""))
+    aims = dict(zip(names, mixing.targets([total[x] for x in names], [float((5, 2, 1)[k % 3]) for k in range(len(names))])))
+    assert all(abs(taken[x] - aims[x]) <= 2 * mixing.BLOCK_WORDS for x in names) and all(words[i] <= 3 * sizes[i] for i in words)
+    e = Tokenizer.from_file(public_tokenizers.path(BYTE_BPE))
+    want = Counter()
+    for r in mixed:
+        ids = np.array(e.encode(r["text"], add_special_tokens=False).ids + [1], "<u4")
+        want += Counter((r["doc_id"], a, zlib.crc32(ids[a : a + 2048].tobytes()), len(ids)) for a in range(0, len(ids), 2048))
+    found = p.run(spark, SF).collect()
+    assert Counter((r["doc_id"], r["start"], r["ids_crc32"], r["doc_tokens"]) for r in found) == want
+    by = {}
+    for r in found:
+        assert zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"]
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in by.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 2048
+    assert sorted(by) == list(range(len(by)))
+
+
+def test_pipeline_of_awkward_documents(spark, tmp_path):
+    """Null ids and texts, repeated rows, empty tables: every stage runs and returns the columns of documents."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long_ = " ".join(f"w{k % 977}x{k // 7}" for k in range(30_000))
+    odd_rows = docs.limit(3).unionByName(docs.limit(3)).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string")))
+    odd_rows = odd_rows.unionByName(docs.limit(1).withColumns({"doc_id": F.lit(99_999).cast("long"), "text": F.lit(long_)}))
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, table in (("odd", odd_rows), ("none", docs.limit(0))):
+        current = table
+        for stage, f in p.STAGES:
+            out = f"{tmp_path}/{name}-{stage.replace(' ', '-')}"
+            f(spark, current, str(tmp_path)).write.parquet(out)
+            current = spark.read.parquet(out)
+            assert stage == "packing" or current.columns == docs.columns
+        assert (current.count() > 0) == (name == "odd")
