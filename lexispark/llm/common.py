@@ -92,35 +92,38 @@ class RowLists:
     """Lists of row numbers of a numbered copy, in files by groups of parts, which tasks that read the copy look up themselves: rows with all their text then need no shuffle to meet what was decided about them."""
 
     def __init__(self, rows: DataFrame, name: str):
-        """rows: nth, each once."""
+        """rows: nth, each once, and a mask (long, not 0) if there is more to say than that it is listed."""
         self.path = new_path(rows.sparkSession, name)
         group = F.expr(f"shiftright(nth, 33) div {GROUP_PARTS}").alias("group")
-        rows.select("nth", group).repartition("group").write.partitionBy("group").parquet(self.path)
+        mask = F.col("mask") if "mask" in rows.columns else F.lit(1).cast("long").alias("mask")
+        rows.select("nth", mask, group).repartition("group").write.partitionBy("group").parquet(self.path)
         passing(self.path)
 
     def finder(self) -> Callable[[np.ndarray], np.ndarray]:
-        """In a worker: which row numbers are in the lists. The lists of the last group that was asked for are held."""
+        """In a worker: the masks of row numbers, 0 for those that aren't listed. The lists of the last group that was asked for are held."""
         from pyarrow import parquet
 
         fs, folder = filesystem(self.path)
-        held: dict[int, np.ndarray] = {}
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-        def numbers(group: int) -> np.ndarray:
+        def listed(group: int) -> tuple[np.ndarray, np.ndarray]:
             if group not in held:
                 held.clear()
                 files = fs.get_file_info(_selector(f"{folder}/group={group}"))
-                found = [parquet.ParquetFile(fs.open_input_file(f.path)).read(["nth"]).column(0).to_numpy() for f in files if f.path.endswith(".parquet")]
-                held[group] = np.sort(np.concatenate(found)) if found else np.empty(0, np.int64)
+                found = [parquet.ParquetFile(fs.open_input_file(f.path)).read(["nth", "mask"]) for f in files if f.path.endswith(".parquet")]
+                nth, mask = (np.concatenate([np.empty(0, np.int64), *(t.column(k).to_numpy() for t in found)]) for k in ("nth", "mask"))
+                order = np.argsort(nth)
+                held[group] = nth[order], mask[order]
             return held[group]
 
         def find(nth: np.ndarray) -> np.ndarray:
-            out = np.zeros(len(nth), bool)
+            out = np.zeros(len(nth), np.int64)
             groups = (nth >> 33) // GROUP_PARTS
             for group in np.unique(groups).tolist():
-                at, own = np.flatnonzero(groups == group), numbers(group)
+                at, (own, mask) = np.flatnonzero(groups == group), listed(group)
                 if len(own):
                     place = np.minimum(np.searchsorted(own, nth[at]), len(own) - 1)
-                    out[at] = own[place] == nth[at]
+                    out[at] = np.where(own[place] == nth[at], mask[place], 0)
             return out
 
         return find

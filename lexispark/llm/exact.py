@@ -147,7 +147,7 @@ def _chosen(lists: RowLists, at: int, listed: bool):
         only()
         find = lists.finder()
         for b in batches:
-            yield b.filter(pa.array(find(b.column(at).to_numpy()) == listed))
+            yield b.filter(pa.array((find(b.column(at).to_numpy()) != 0) == listed))
 
     return run
 

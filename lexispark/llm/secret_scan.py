@@ -5,7 +5,9 @@ are indexed in segments: for each trigram that a query names, a postings list of
 and unite postings; only the texts they leave are searched with the expression. Rules without mandatory trigrams search
 every text. Trigrams are of UTF-8 bytes with ASCII letters in lower case, for index and queries alike.
 
-A segment's index lives as long as the task that made it: index, query and verification are one pass, without a shuffle.
+The index is stored: a numbered copy of the texts, and for each segment of them its postings as row numbers. Postings are
+small and are shuffled by segment; the texts aren't: tasks that read them look up which of their rows are candidates.
+One index serves many runs, also of fewer rules; find_secrets() makes one and searches it.
 
 Defined results: a null text counts as empty; a null doc_id is kept; rows that repeat an id are rows of their own; a text of
 any length is searched whole; spans that begin together are in the order of the rules; an empty table gives no rows; further
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, columns, only, steps, strings, utf8
+from .common import RowLists, batch, columns, materialize, numbered_copy, only, steps, strings, utf8
 
 try:
     from re import _constants as sre, _parser as sre_parse
@@ -222,35 +224,106 @@ def _prepared(rules: tuple[Rule, ...]):
     return queries, trigrams, table, [r.compiled() for r in rules]
 
 
+def spans_of(text: str, rules: tuple[Rule, ...], compiled: list[re.Pattern], mask: int) -> list[tuple[int, int, int]]:
+    """Spans of a text by the rules of a mask, as (start, number of the rule, end), in this order."""
+    out = []
+    for k, (rule, pattern) in enumerate(zip(rules, compiled)):
+        if mask >> k & 1:
+            for m in pattern.finditer(text):
+                a, b = m.span(rule.group)
+                if b - a >= rule.least:
+                    out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
 def scan(texts: list[str], rules: tuple[Rule, ...] = RULES) -> list[list[tuple[int, int, int]]]:
-    """Spans of each text as (start, number of the rule, end), in this order."""
+    """Spans of each text of one segment, whose index lives as long as the call."""
     queries, trigrams, table, compiled = _prepared(rules)
     index = SegmentIndex(texts, trigrams, table)
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for k, (rule, query, pattern) in enumerate(zip(rules, queries, compiled)):
-        for i in index.select(query).tolist():
-            for m in pattern.finditer(texts[i]):
-                a, b = m.span(rule.group)
-                if b - a >= rule.least:
-                    out[i].append((m.start(), k, m.end()))
-    for spans in out:
-        spans.sort()
+    masks = np.zeros(len(texts), np.int64)
+    for k, query in enumerate(queries):
+        masks[index.select(query)] |= 1 << k
+    return [spans_of(t, rules, compiled, m) for t, m in zip(texts, masks.tolist())]
+
+
+@dataclass(frozen=True)
+class StoredIndex:
+    """An index that outlives the run that made it: a numbered copy of the texts (doc_id, text, nth), and postings (segment, trigram, rows) of trigrams."""
+
+    copy: DataFrame
+    postings: DataFrame
+    trigrams: frozenset
+
+
+_POSTINGS = "segment long, trigram binary, rows binary"
+
+
+def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> StoredIndex:
+    """Indexes docs for the trigrams of rules; the index serves any rules whose trigrams are among these. A segment's postings are the numbers of its rows."""
+    copy = numbered_copy(columns(docs, doc_id=(id_col, "long"), text=(text_col, None)), "texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
+        _, trigrams, table, _ = _prepared(rules)
+        for b in steps(batches, 1):
+            nth = b.column(2).to_numpy()
+            found = [(t, nth[rows].astype("<i8").tobytes()) for t, rows in SegmentIndex(strings(b.column(1)), trigrams, table).postings.items() if len(rows)]
+            yield batch(_POSTINGS, [[int(nth[0])] * len(found), [t for t, _ in found], [rows for _, rows in found]])
+
+    return StoredIndex(copy, materialize(copy.mapInArrow(run, _POSTINGS), "postings"), frozenset(_prepared(rules)[1]))
+
+
+def select_rows(query, postings: dict[bytes, np.ndarray]) -> np.ndarray:
+    """Row numbers of a segment that satisfy a query, which is not None."""
+    if isinstance(query, bytes):
+        return postings.get(query, np.empty(0, np.int64))
+    parts = sorted((select_rows(q, postings) for q in query[1]), key=len)
+    out = parts[0]
+    for p in parts[1:]:
+        out = np.intersect1d(out, p, assume_unique=True) if query[0] == "and" else np.union1d(out, p)
     return out
 
 
+def candidates(index: StoredIndex, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """nth and mask (a bit for each rule) of the rows that rules with trigrams leave: postings are intersected segment by segment."""
+    queries = [trigram_query(r) for r in rules]
+    if not set().union(*map(trigrams_of, queries)) <= index.trigrams:
+        raise ValueError("the index doesn't have all trigrams of the rules")
+
+    def run(table: pa.Table) -> pa.Table:
+        postings = dict(zip(table.column("trigram").to_pylist(), (np.frombuffer(r, "<i8") for r in table.column("rows").to_pylist())))
+        found = [(k, select_rows(q, postings)) for k, q in enumerate(queries) if q is not None]
+        nth = np.unique(np.concatenate([np.empty(0, np.int64), *(rows for _, rows in found)]))
+        mask = np.zeros(len(nth), np.int64)
+        for k, rows in found:
+            mask[np.searchsorted(nth, rows)] |= 1 << k
+        return pa.table({"nth": nth, "mask": mask})
+
+    return index.postings.groupBy("segment").applyInArrow(run, "nth long, mask long")
+
+
 _FOUND = "doc_id long, kinds array<string>, starts array<long>, ends array<long>"
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, and the kinds, starts and ends of its spans, in order of start, then rule."""
+def search_index(index: StoredIndex, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """One row per row of the index: doc_id, and the kinds, starts and ends of its spans, in order of start, then rule. Expressions search candidates only, but for rules without mandatory trigrams."""
+    lists = RowLists(candidates(index, rules), "candidates")
+    everywhere = sum(1 << k for k, r in enumerate(rules) if trigram_query(r) is None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
+        find, compiled = lists.finder(), _prepared(rules)[3]
         for b in steps(batches, 1):
-            found = scan(strings(b.column(1)), rules)
+            texts, masks = strings(b.column(1)), (find(b.column(2).to_numpy()) | everywhere).tolist()
+            found = [spans_of(t, rules, compiled, m) for t, m in zip(texts, masks)]
             yield batch(_FOUND, [b.column(0), [[rules[k].kind for _, k, _ in f] for f in found], [[a for a, _, _ in f] for f in found], [[z for _, _, z in f] for f in found]])
 
-    return columns(docs, doc_id=(id_col, "long"), text=(text_col, None)).mapInArrow(run, _FOUND)
+    return index.copy.mapInArrow(run, _FOUND)
+
+
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """build_index() and search_index() in one: a row per row of docs with its spans."""
+    return search_index(build_index(docs, rules, id_col, text_col), rules)
 
 
 def joined_spans(only: tuple[str, ...] | None = None) -> Column:

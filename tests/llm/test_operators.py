@@ -370,6 +370,15 @@ def test_secrets(docs, odd):
         want = [(m.start(), k, m.end()) for k, r in enumerate(secret_scan.RULES) for m in r.compiled().finditer(t) if m.end(r.group) - m.start(r.group) >= r.least]
         assert spans == sorted(want)
     assert secret_scan.trigram_query(secret_scan.BASE_RULES[2]) is None and secret_scan.trigrams_of(secret_scan.trigram_query(secret_scan.BASE_RULES[1])) == {b"aki", b"kia"}
+    table = docs.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = secret_scan.build_index(table.repartition(3))
+    fewer = (secret_scan.RULES[0], secret_scan.RULES[4], secret_scan.RULES[2])  # the same index for other rules
+    for rules in (secret_scan.RULES, fewer):
+        for r in secret_scan.search_index(index, rules).collect():
+            want = sorted((m.start(), k, m.end()) for k, x in enumerate(rules) for m in x.compiled().finditer(texts[r["doc_id"]]) if m.end(x.group) - m.start(x.group) >= x.least)
+            assert list(zip(r["starts"], r["kinds"], r["ends"])) == [(a, rules[k].kind, z) for a, k, z in want]
+    with pytest.raises(ValueError, match="all trigrams"):
+        secret_scan.candidates(index, (secret_scan.Rule("other", "zzqqxx"),))
     assert secret_scan.find_secrets(odd).count() == len(ODD) and secret_scan.find_secrets(odd.limit(0)).count() == 0
 
 
