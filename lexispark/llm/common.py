@@ -173,6 +173,12 @@ def only(name: str = "") -> None:
     for other, clear in _MEMOS.items():
         if other != name:
             clear()
+    release()
+
+
+def release() -> None:
+    """Gives unused memory back: a worker may be idle for long once its task is done."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, columns, only, place_of, split_words, steps, strings, utf8
+from .common import batch, columns, only, place_of, release, split_words, steps, strings, utf8
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 10, 20, 5
 CONTENT_SHARE = 0.5
@@ -285,6 +285,7 @@ def judge_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_
         for b in steps(batches, 1):
             found = judge(strings(b.column(1)), field)
             yield batch(_JUDGED, [b.column(0), *([f[k] for f in found] for k in [c.split(" ")[0] for c in _JUDGED.split(", ")][1:])])
+        release()
 
     return columns(docs, doc_id=(id_col, "long"), text=(text_col, None)).mapInArrow(run, _JUDGED)
 
@@ -297,6 +298,7 @@ def keep_content(docs: DataFrame, field: Field, text_col: str = "text") -> DataF
         only()
         for b in steps(batches, at):
             yield b.filter(pa.array([f["kept"] for f in judge(strings(b.column(at)), field)], pa.bool_()))
+        release()
 
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, arrow_schema, batch, binaries, columns, in_rows, join_hot, materialize, memo, mix64, only, out_of_rows, ragged, repeated, settled, split_words, steps, strings, utf8
+from .common import BLANK, arrow_schema, batch, binaries, columns, in_rows, join_hot, materialize, memo, mix64, only, out_of_rows, ragged, release, repeated, settled, split_words, steps, strings, utf8
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -145,6 +145,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(ROWS):
             band = mix64(band ^ signature[:, :, k])
         yield batch(_SIGNED, [b.column(0), keys, [v if k else [] for v, k in zip(band.view(np.int64).tolist(), keys)]])
+    only()  # words are hashed again sooner than remembered in every idle worker
 
 
 _SETS = "key binary, elements binary, weights binary"
@@ -156,6 +157,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, h, n, keys = shingles([utf8(t) for t in strings(b.column(0))])
         sizes = np.bincount(doc, minlength=b.num_rows)
         yield batch(_SETS, [keys, binaries(h, 8 * sizes), binaries(n.astype("<u4"), 4 * sizes)])
+    only()
 
 
 _COMPARED = "a long, b long, similarity double"
@@ -172,6 +174,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [b.column(k).to_pylist() for k in ("elements_a", "weights_a", "elements_b", "weights_b")]
         found = [weighted_jaccard(*(np.frombuffer(v, "<u8" if k % 2 == 0 else "<u4") for k, v in enumerate(row))) for row in zip(*columns)]
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(found, pa.float64())], schema=arrow_schema(_COMPARED))
+    release()
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:

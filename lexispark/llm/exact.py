@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, RowLists, batch, columns, join_hot, materialize, numbered_copy, one_space, only, place_of, settled, steps, strings, utf8
+from .common import BLANK, RowLists, batch, columns, join_hot, materialize, numbered_copy, one_space, only, place_of, release, settled, steps, strings, utf8
 
 #: Rows of a partition that one message set covers at most.
 PART_ROWS = 200_000
@@ -110,6 +110,8 @@ def _send(owners: int, bits: int):
                 ids, rows, digests, flushed = [], [], [], flushed + 1
         if ids:
             yield messages()
+        del ids, rows, digests
+        release()
 
     return run
 
@@ -148,6 +150,7 @@ def _chosen(lists: RowLists, at: int, listed: bool):
         find = lists.finder()
         for b in batches:
             yield b.filter(pa.array((find(b.column(at).to_numpy()) != 0) == listed))
+        release()
 
     return run
 

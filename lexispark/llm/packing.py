@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch, binaries, columns, materialize, new_path, only, passing, ragged, steps
+from .common import arrow_schema, batch, binaries, columns, materialize, new_path, only, passing, ragged, release, steps
 from .tokens import BYTE_BPE, STEP_BYTES, encoder, with_end
 
 SEQUENCE = 2048
@@ -109,6 +109,7 @@ def _tokenise(path: str, keep_ids: bool):
             seen += np.bincount(length, minlength=SEQUENCE + 1)
             ids = binaries(flat, 4 * length) if keep_ids else pa.nulls(len(doc), pa.binary())
             yield batch(_PIECES, [b.column(0).take(pa.array(doc)), start, length, crc, sizes[doc], ids, np.full(len(doc), part), local])
+        release()
 
     return run
 
