@@ -102,6 +102,11 @@ def grid(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(grid_rows(), GRID)
 
 
+def normalized_form(form):
+    """A form with single spaces, none at its ends."""
+    return F.trim(F.regexp_replace(form, r"\s+", " "))
+
+
 def admirative_trim(participle):
     """How many letters of the participle the admirative drops."""
     ends = lambda *x: participle.rlike("(" + "|".join(x) + ")$")
@@ -155,7 +160,7 @@ def conjugate(lexicon: DataFrame, polarities: tuple[str, ...] = ("affirmative",)
     negated = F.when((c("mood") == "subjunctive") & c("base").startswith("të "), F.concat(F.lit("të "), word, F.lit(" "), F.substr("base", F.lit(4)))).otherwise(F.concat(word, F.lit(" "), c("base")))
     said = F.when(c("polarity") == "negative", negated).otherwise(c("base"))
     said = F.when(c("modality") == "interrogative", F.concat(F.lit("a "), said)).otherwise(said)
-    tidy = F.trim(F.regexp_replace(said, r"\s+", " "))
+    tidy = normalized_form(said)
     return cells.select("verb_id", "lemma", "translation_en", "class", "mood", "tense", "voice", "cell", "person", "polarity", "modality", F.when(c("reason").isNull(), tidy).alias("form"), "reason")
 
 

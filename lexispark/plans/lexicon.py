@@ -94,12 +94,17 @@ _form_query("mor_negate", "polarity = 'negative' AND modality = 'declarative'")
 _form_query("mor_interrogative", "modality = 'interrogative'")
 _form_query("mor_override_exact", f"{_PLAIN} AND verb_id IN ('laj', 'ngjet')")
 _form_query("mor_feasible", "polarity IS NULL OR (polarity = 'affirmative' AND modality = 'declarative')", (*_KEY, "reason"))
-_form_query("mor_normalize", "form <> trim(form)", ("verb_id", "form"))
 _form_query("join_override_chain", f"{_PLAIN} AND verb_id IN ('laj', 'jap') AND voice = 'active'")
 _form_query("sup_igt_enumerate", f"{_PLAIN} AND voice = 'active' AND form IS NOT NULL", _KEY)
 _form_query("mor_questions", f"{_PLAIN} AND voice = 'active' AND mood = 'indicative' AND form IS NOT NULL", ("verb_id", "tense", "cell", "form"))
 
 
+@register("mor_normalize", f"WITH {_PARADIGM}, w AS (SELECT verb_id, mood, '  ' || replace(form, ' ', '   ') || chr(9) AS wide FROM forms WHERE form IS NOT NULL) SELECT verb_id, mood, length(wide) AS wide, trim(regexp_replace(replace(wide, chr(9), ' '), ' +', ' ', 'g')) AS form FROM w")
+def _(spark, sf):
+    wide = F.concat(F.lit("  "), F.replace("form", F.lit(" "), F.lit("   ")), F.lit("\t"))
+    return forms(spark).filter("form IS NOT NULL").select("verb_id", "mood", F.char_length(wide).alias("wide"), M.normalized_form(wide).alias("form"))
+
+
 @register("mor_grid", f"WITH {_PARADIGM} SELECT * FROM grid")
 def _(spark, sf):
     return M.grid(spark)
