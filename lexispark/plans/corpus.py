@@ -314,7 +314,7 @@ def _(spark, sf):
 def _(spark, sf):
     anchors = patterns(spark).select(M.anchor(F.split("pattern", " ")).alias("a")).distinct()
     r = rows(spark, sf)
-    return r.withColumn("t", F.explode(F.array_distinct(T.tokens(F.col("norm"))))).join(F.broadcast(anchors), F.col("t") == F.col("a"), "left_semi").select("resource_id", "doc_id", "position").distinct()
+    return r.withColumn("t", F.explode(F.array_distinct(T.tokens(F.col("norm"))))).join(anchors, F.col("t") == F.col("a"), "left_semi").select("resource_id", "doc_id", "position").distinct()
 
 
 @register("flt_variant_guard", f"{_with(SENTENCES, TARGETS_SQL, MATCHES)} SELECT target_id, variant_kind, {_KEY}, {_GUARD} AS passes FROM matches")

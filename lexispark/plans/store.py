@@ -96,7 +96,7 @@ def _(spark, sf):
 def _(spark, sf):
     wanted = patterns(spark).select(F.explode(F.split("pattern", " ")).alias("t")).distinct()
     path = new_path(spark, "anchored")
-    hit = rows(spark, sf).select("resource_id", "doc_id", "position", F.explode(F.array_distinct(F.split("norm", " "))).alias("t")).join(F.broadcast(wanted), "t", "left_semi").select(*MA.KEY).distinct()
+    hit = rows(spark, sf).select("resource_id", "doc_id", "position", F.explode(F.array_distinct(F.split("norm", " "))).alias("t")).join(wanted, "t", "left_semi").select(*MA.KEY).distinct()
     hit.write.parquet(path)  # the subset is kept for the next scan
     return spark.read.parquet(path).groupBy("resource_id").agg(F.count("*").alias("n"))
 
