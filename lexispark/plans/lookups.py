@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..cluster import new_path
 from ..functions import english, phonology
 from ..operators import lookups as L
 from ..registry import register
-from ..sources import readers
-from .lexicon import forms
+from ..sources import readers, writers
+from .lexicon import _PARADIGM, forms, lexicon
 
 
 def _data(columns: str, *rows):
@@ -25,45 +26,63 @@ def _data(columns: str, *rows):
     return frame, cte
 
 
-_res, _res_sql = _data("id string, status string, format string, file string", ("a", "downloaded", "jsonl", "x.gz"), ("a", "downloaded", "jsonl", "y z.gz"), ("b", "planned", "jsonl", "q"), ("c", "downloaded", "zip", "d-en-sq-12.zip"), ("d", "downloaded", "odd", "e"), ("e", "downloaded", "xz", "f.xz"))
+def _res(spark, sf):
+    """A ledger of resources' files, made of the parts table: written as JSON and read as a ledger is."""
+    k = F.col("p_partkey")
+    name = F.concat(F.regexp_replace("p_name", " ", "."), F.lit("_"), k.cast("string"), F.when(k % 7 == 0, "-en-sq-12.zip").otherwise(".dat"))
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    return p.select(F.concat(F.lit("r"), (k % 50).cast("string")).alias("id"), F.when(k % 3 == 0, "planned").otherwise("downloaded").alias("status"), F.element_at(F.array(*map(F.lit, ("jsonl", "zip", "xz", "odd"))), (k % 4 + 1).cast("int")).alias("format"), name.alias("file"))
+
+
+def _res_sql(name: str) -> str:
+    return f"""{name} AS (SELECT 'r' || (p_partkey % 50) AS id, CASE WHEN p_partkey % 3 = 0 THEN 'planned' ELSE 'downloaded' END AS status, ['jsonl', 'zip', 'xz', 'odd'][p_partkey % 4 + 1] AS format,
+        replace(p_name, ' ', '.') || '_' || p_partkey || CASE WHEN p_partkey % 7 = 0 THEN '-en-sq-12.zip' ELSE '.dat' END AS file FROM part)"""
+
+
 _fmt, _fmt_sql = _data("format string, kind string", ("jsonl", "json lines"), ("zip", "moses"), ("xz", "lines"))
-_want, _want_sql = _data("name string", ("a",), ("cee",), ("nope",))
-_alias, _alias_sql = _data("alias string, target string", ("cee", "c"), ("ay", "a"))
+_want, _want_sql = _data("name string", ("r1",), ("cee",), ("nope",), ("r30",))
+_alias, _alias_sql = _data("alias string, target string", ("cee", "r9"), ("ay", "r2"))
 
 
 @register("src_ledger", f"WITH {_res_sql('r')}, {_fmt_sql('f')} SELECT id, file, kind FROM r JOIN f USING (format) WHERE status = 'downloaded'")
 def _(spark, sf):
-    return _res(spark).filter("status = 'downloaded'").join(F.broadcast(_fmt(spark)), "format").select("id", "file", "kind")
+    path = new_path(spark, "ledger")
+    entry = F.struct("id", "status", "format", F.col("file").alias("localPath"))
+    books = _res(spark, sf).groupBy("id").agg(F.to_json(F.struct(F.collect_list(entry).alias("resources"))).alias("book"))
+    writers.write_files(books.select(F.col("id").alias("name"), F.encode("book", "UTF-8").alias("data")), path, "plain", ".json", each=True)
+    return readers.ledger(spark, path, _fmt(spark)).select("id", F.col("path").alias("file"), "kind")
 
 
 @register("src_kind", f"WITH {_res_sql('r')}, {_fmt_sql('f')} SELECT id, format, kind FROM r LEFT JOIN f USING (format)")
 def _(spark, sf):
-    return _res(spark).join(F.broadcast(_fmt(spark)), "format", "left").select("id", "format", "kind")
+    return _res(spark, sf).join(F.broadcast(_fmt(spark)), "format", "left").select("id", "format", "kind")
 
 
 @register("src_select", f"WITH {_res_sql('r')}, {_want_sql('w')}, {_alias_sql('al')} SELECT id, file FROM r WHERE id IN (SELECT coalesce(target, name) FROM w LEFT JOIN al ON name = alias)")
 def _(spark, sf):
-    return L.select_resources(_res(spark), _want(spark), _alias(spark)).select("id", "file")
+    return L.select_resources(_res(spark, sf), _want(spark), _alias(spark)).select("id", "file")
 
 
 @register("src_partitions", f"WITH {_res_sql('r')} SELECT id, file, CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN id || '#' || regexp_replace(file, '[^A-Za-z0-9_-]', '_', 'g') ELSE id END AS partition_id FROM r")
 def _(spark, sf):
-    return L.partitions(_res(spark)).select("id", "file", "partition_id")
+    return L.partitions(_res(spark, sf)).select("id", "file", "partition_id")
 
 
 @register("src_dedupe_partition", rf"WITH {_res_sql('r')} SELECT id, file FROM r WHERE NOT regexp_matches(file, '-en-sq-[0-9]+\.zip$')")
 def _(spark, sf):
-    return L.without_duplicated_zips(_res(spark)).select("id", "file")
+    return L.without_duplicated_zips(_res(spark, sf)).select("id", "file")
 
 
-_cells, _cells_sql = _data("key string, form string", ("k1", "punoj"), ("k2", "hap"), ("k3", None), ("k4", "pi"), ("k5", "laj"))
-_one, _one_sql = _data("key string, ref string", ("k1", "punoj"), ("k2", "hapi"), ("k3", "x"))
-_two, _two_sql = _data("key string, ref string", ("k2", "hap"), ("k4", "pi"))
-_STATUS = f"WITH {_cells_sql('c')}, {_one_sql('o')}, {_two_sql('t')}, v AS (SELECT c.key, form, coalesce(o.ref, t.ref) AS ref, CASE WHEN o.ref IS NOT NULL THEN 'first' WHEN t.ref IS NOT NULL THEN 'second' END AS match_source FROM c LEFT JOIN o USING (key) LEFT JOIN t USING (key)), s AS (SELECT *, CASE WHEN form IS NULL THEN 'error' WHEN ref IS NULL THEN 'missing' WHEN ref = form THEN 'match' ELSE 'mismatch' END AS status FROM v)"
+#: Reference forms of two sources: of a digest's first digit 0 to 2 neither has the cell, of 3 and 4 the form differs; the second digit says which source has it.
+_STATUS = f"""WITH {_PARADIGM}, c AS (SELECT concat_ws(':', verb_id, mood, tense, cell, voice) AS key, form FROM forms WHERE polarity = 'affirmative' AND modality = 'declarative'), h AS (SELECT *, md5(key) AS h FROM c),
+    s AS (SELECT key, form, CASE WHEN form IS NOT NULL AND h[1] >= '3' THEN form || CASE WHEN h[1] < '5' THEN 'x' ELSE '' END END AS ref, CASE WHEN form IS NOT NULL AND h[1] >= '3' THEN CASE WHEN h[2] < '8' THEN 'first' ELSE 'second' END END AS match_source,
+        CASE WHEN form IS NULL THEN 'error' WHEN h[1] < '3' THEN 'missing' WHEN h[1] < '5' THEN 'mismatch' ELSE 'match' END AS status FROM h)"""
 
 
 def _checked(spark):
-    return L.source_priority(_cells(spark), _one(spark), _two(spark))
+    f = forms(spark).filter("polarity = 'affirmative' AND modality = 'declarative'").select(F.concat_ws(":", "verb_id", "mood", "tense", "cell", "voice").alias("key"), "form").withColumn("h", F.md5("key"))
+    known = f.filter("form IS NOT NULL AND substring(h, 1, 1) >= '3'").select("key", F.when(F.substring("h", 1, 1) < "5", F.concat("form", F.lit("x"))).otherwise(F.col("form")).alias("ref"), "h")
+    return L.source_priority(f.select("key", "form"), known.filter("substring(h, 2, 1) < '8'").select("key", "ref"), known.filter("substring(h, 2, 1) >= '8'").select("key", "ref"))
 
 
 @register("join_source_priority", f"{_STATUS} SELECT key, ref, match_source FROM s")
@@ -158,17 +177,20 @@ def _(spark, sf):
     return english.english_forms(_english(spark), _irregular(spark)).select("base", "past", "participle", "gerund")
 
 
-@register("rd_parquet_strings", r"WITH s AS (SELECT unnest([url, html]) AS t FROM pages) SELECT count(*) AS n, sum(length(t))::BIGINT AS chars FROM s WHERE regexp_matches(t, '\p{L}') AND len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '')) >= 3")
+@register("rd_parquet_strings", r"WITH s AS (SELECT unnest([url, html]) AS t FROM pages) SELECT md5(t) AS digest, length(t) AS chars, count(*) AS n FROM s WHERE regexp_matches(t, '\p{L}') AND len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '')) >= 3 GROUP BY 1, 2")
 def _(spark, sf):
-    return readers.read_parquet_strings(spark, f"{sf}/pages.parquet", "pages").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars"))
+    return readers.read_parquet_strings(spark, f"{sf}/pages.parquet", "pages").groupBy(F.md5("text").alias("digest"), F.char_length("text").alias("chars")).agg(F.count("*").alias("n"))
 
 
-@register("agg_source_counts", "SELECT source, count(DISTINCT lang) AS langs, count(*) AS n FROM documents GROUP BY 1")
+@register("agg_source_counts", f"WITH {_PARADIGM}, v AS (SELECT verb_id, CASE WHEN is_suppletive THEN ['manual'] WHEN class = 1 THEN ['kaikki', 'husic'] ELSE ['kaikki'] END AS sources FROM lexicon) SELECT source, count(DISTINCT verb_id) AS verbs FROM (SELECT verb_id, unnest(sources) AS source FROM v) GROUP BY 1")
 def _(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet").groupBy("source").agg(F.countDistinct("lang").alias("langs"), F.count("*").alias("n"))
+    words = lambda *xs: F.array(*map(F.lit, xs))
+    sources = F.when(F.col("is_suppletive"), words("manual")).when(F.col("class") == 1, words("kaikki", "husic")).otherwise(words("kaikki"))
+    return lexicon(spark).select("verb_id", F.explode(sources).alias("source")).groupBy("source").agg(F.countDistinct("verb_id").alias("verbs"))
 
 
-@register("sup_quiz_grade", "SELECT * FROM (VALUES ('punoj', ' punoj ', true), ('hap', 'Hap', false)) v(form, answer, correct)")
+@register("sup_quiz_grade", f"WITH {_PARADIGM}, q AS (SELECT verb_id, mood, tense, cell, form, CASE WHEN md5(form)[1] < '8' THEN ' ' || form || ' ' ELSE upper(form) END AS answer FROM forms WHERE form IS NOT NULL AND modality = 'declarative' AND polarity = 'affirmative') SELECT verb_id, mood, tense, cell, answer, trim(answer) = trim(form) AS correct FROM q")
 def _(spark, sf):
-    d = spark.createDataFrame([("punoj", " punoj "), ("hap", "Hap")], "form string, answer string")
-    return d.select("form", "answer", (F.trim("answer") == F.trim("form")).alias("correct"))
+    q = forms(spark).filter("form IS NOT NULL AND modality = 'declarative' AND polarity = 'affirmative'")
+    answer = F.when(F.substring(F.md5("form"), 1, 1) < "8", F.concat(F.lit(" "), "form", F.lit(" "))).otherwise(F.upper("form"))
+    return q.withColumn("answer", answer).select("verb_id", "mood", "tense", "cell", "answer", (F.trim("answer") == F.trim("form")).alias("correct"))
