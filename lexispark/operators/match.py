@@ -2,13 +2,20 @@
 
 In normalised text (tokens joined by one space) an occurrence of a phrase with a space or an edge on both sides is a slice of
 tokens that equals the phrase. So all overlapping occurrences of all phrases are an equi-join of token n-grams, of the lengths that
-phrases have, with the table of phrases.
+phrases have, with the table of phrases; where that table may go to every task, a tree of tokens gives the same without n-grams.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from ..functions import text as T
 
@@ -67,22 +74,99 @@ def ngrams(tokens: str, lengths: list[int]) -> Column:
     return F.concat(*map(of, lengths))
 
 
+class Trie:
+    """Phrases as a tree of their tokens, one sorted array of (node, token) for each depth, in which numpy looks up all places of a batch at once."""
+
+    def __init__(self, phrases: list[str]):
+        self.phrases = phrases
+        split = [p.split(" ") for p in phrases]
+        self.tokens = sorted({t for p in split for t in p})
+        code = {t: k for k, t in enumerate(self.tokens)}
+        self.keys: list[np.ndarray] = []
+        self.phrase: list[np.ndarray] = []  # by node: the phrase that ends there, or -1
+        node = np.zeros(len(phrases), np.int64)
+        depth, left = 0, np.arange(len(phrases))
+        while len(left):
+            key = node[left] * len(self.tokens) + np.array([code[split[i][depth]] for i in left.tolist()], np.int64)
+            keys, node[left] = np.unique(key, return_inverse=True)
+            ends = np.full(len(keys), -1, np.int64)
+            done = np.array([len(split[i]) == depth + 1 for i in left.tolist()], bool)
+            ends[node[left[done]]] = left[done]
+            self.keys.append(keys)
+            self.phrase.append(ends)
+            depth, left = depth + 1, left[~done]
+
+    def find(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, number of the last token, and phrase of every occurrence in texts whose tokens one space keeps apart."""
+        split = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        offsets = split.offsets.to_numpy()
+        flat, offsets = split.flatten(), offsets - offsets[0]
+        code = pc.fill_null(pc.index_in(flat, value_set=pa.array(self.tokens, pa.string())), -1).to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(texts)), np.diff(offsets))
+        at = np.flatnonzero(code >= 0)
+        node = np.zeros(len(at), np.int64)
+        out = []
+        for depth, (keys, phrase) in enumerate(zip(self.keys, self.phrase)):
+            last = at + depth
+            here = last < len(code)
+            here[here] = (row[last[here]] == row[at[here]]) & (code[last[here]] >= 0)
+            at, node = at[here], node[here]
+            key = node * len(self.tokens) + code[at + depth]
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            here = keys[place] == key
+            at, node = at[here], place[here]
+            found = phrase[node]
+            hit = found >= 0
+            out.append((row[at[hit]], at[hit] + depth + 1 - offsets[row[at[hit]]], found[hit]))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
+
+
+def _search(phrases: Broadcast, norm: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, texts = phrases.value, pa.array(phrases.value.phrases, pa.string())
+        for b in batches:
+            row, end, phrase = trie.find(b.column(norm))
+            if len(row):
+                order = np.argsort(row, kind="stable")
+                hit, counts = np.unique(row, return_counts=True)
+                places = pa.StructArray.from_arrays([pa.array(end[order].astype(np.int32)), texts.take(pa.array(phrase[order]))], names=["end", "pattern"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), places)
+                found = b.take(pa.array(hit))
+                yield pa.RecordBatch.from_arrays([*found.columns, lists], names=[*found.schema.names, "__m"])
+
+    return run
+
+
 def phrase_match(rows: DataFrame, patterns: DataFrame, norm: str = "norm") -> DataFrame:
     """Every occurrence of every pattern in rows, with the columns of both, and end (number of the last token).
 
-    Overlaps and repeats count; a phrase of several targets gives a row for each. Patterns of up to BROADCAST_BYTES, which
-    are counted first, go to every task. Beyond, slices are shuffled to the patterns without their text, as two hashes of it,
-    and what matches comes back to the rows.
+    Overlaps and repeats count; a phrase of several targets gives a row for each. The bytes of the patterns are counted
+    first. Up to BROADCAST_BYTES their texts go to every task as a tree of tokens, which numpy looks up for Arrow batches of
+    rows: an exact match, without an n-gram for each place, and no shuffle. Beyond, slices are shuffled to the patterns
+    without their text, as two hashes of it, and what matches comes back to the rows.
     """
+    found = matched_rows(rows, patterns, norm)
+    if found is None:
+        return _by_shuffle(rows, patterns, norm)
+    return found.select(*rows.columns, F.explode("__m").alias("__m")).select(*rows.columns, "__m.*").join(F.broadcast(patterns), "pattern")
+
+
+def matched_rows(rows: DataFrame, patterns: DataFrame, norm: str = "norm") -> DataFrame | None:
+    """Rows that have a pattern, each once, with its occurrences (__m: array of end and pattern); None if the patterns are too large to go to every task."""
+    spark = rows.sparkSession
     sizes = patterns.select(F.size(F.split("pattern", " ")).alias("n"), F.octet_length("pattern").alias("bytes")).groupBy("n").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).collect()
-    lengths = sorted(r["n"] for r in sizes)
-    if not lengths:
-        return rows.join(patterns.limit(0), F.lit(False)).withColumn("end", F.lit(0))
-    # tokens are a column of their own, so that they are made once for a row and not once for each slice
+    if sum(r["bytes"] + PATTERN_BYTES * r["rows"] for r in sizes) > BROADCAST_BYTES:
+        return None
+    trie = Trie(sorted(r["pattern"] for r in patterns.select("pattern").distinct().collect()))
+    place = T_.StructType([T_.StructField("end", T_.IntegerType()), T_.StructField("pattern", T_.StringType())])
+    schema = T_.StructType([*rows.schema.fields, T_.StructField("__m", T_.ArrayType(place))])
+    return rows.mapInArrow(_search(spark.sparkContext.broadcast(trie), rows.columns.index(norm)), schema)
+
+
+def _by_shuffle(rows: DataFrame, patterns: DataFrame, norm: str) -> DataFrame:
+    lengths = sorted(r["n"] for r in patterns.select(F.size(F.split("pattern", " ")).alias("n")).distinct().collect())
     tokens = rows.withColumn("__t", F.split(norm, " "))
     gram = [F.col("__g.end").alias("end"), F.col("__g.gram").alias("pattern")]
-    if sum(r["bytes"] + PATTERN_BYTES * r["rows"] for r in sizes) <= BROADCAST_BYTES:
-        return tokens.withColumn("__g", F.explode(ngrams("__t", lengths))).select(*rows.columns, *gram).join(F.broadcast(patterns), "pattern")
     hashes = {"__a": F.xxhash64(norm), "__b": F.xxhash64(F.lit(1), norm)}
     slices = tokens.withColumns(hashes).select("__a", "__b", F.explode(ngrams("__t", lengths)).alias("__g")).select("__a", "__b", *gram)
     found = slices.join(patterns, "pattern").distinct()  # rows of one text have the same matches
@@ -142,12 +226,22 @@ def occurrences(rows: DataFrame, patterns: DataFrame) -> DataFrame:
 
     Flags and scores are made where the text is; what is shuffled, after a first choice in each task, has no text. with_text() fetches it.
     """
-    hits = phrase_match(rows, patterns).filter(apostrophe_guard(F.col("variant_kind"), F.col("sentence")))
     none = F.lit(None).cast("string")
-    hits = hits.withColumn("flags", T.quality_flags(F.col("sentence"), F.col("norm"), F.col("quality")))
-    hits = hits.withColumn("score", T.score(F.col("match_kind"), F.col("resource_id"), F.col("quality"), none, none, F.col("flags"), F.col("norm"))).withColumn("keep", T.keep_sentence(F.col("flags")))
+    score = lambda kind: T.score(F.lit(kind), F.col("resource_id"), F.col("quality"), none, none, F.col("flags"), F.col("norm"))
+
+    def judged(d: DataFrame) -> DataFrame:
+        """What rules say of a sentence, for any match in it; its texts go."""
+        d = d.withColumns({"flags": T.quality_flags(F.col("sentence"), F.col("norm"), F.col("quality")), "has_s": apostrophe_guard(F.lit("s_negative"), F.col("sentence"))})
+        return d.withColumns({"keep": T.keep_sentence(F.col("flags")), "of_token": score("exact_token"), "of_phrase": score("exact_phrase"), "sentence_chars": F.char_length("sentence")}).drop("sentence", "norm")
+
+    found = matched_rows(rows, patterns)
+    if found is None:
+        hits = judged(_by_shuffle(rows, patterns, "norm"))
+    else:
+        hits = judged(found).withColumn("__m", F.explode("__m")).select("*", "__m.*").drop("__m").join(F.broadcast(patterns), "pattern")
+    hits = hits.filter((F.col("variant_kind") != "s_negative") | F.col("has_s")).withColumn("score", F.when(F.col("match_kind") == "exact_phrase", F.col("of_phrase")).otherwise(F.col("of_token")))
     order = ["end", (-F.char_length("pattern")).alias("shorter"), "pattern", "variant_kind"]
-    kept = ["match_kind", "quality", "flags", "score", "keep", F.char_length("sentence").alias("sentence_chars")]
+    kept = ["match_kind", "quality", "flags", "score", "keep", "sentence_chars"]
     first = hits.groupBy("target_id", *KEY).agg(F.min(F.struct(*order, *kept)).alias("h"))
     return first.select("target_id", *KEY, "h.*").drop("shorter")
 
@@ -180,9 +274,14 @@ def trace(rows: DataFrame, patterns: DataFrame, most: int = 3) -> DataFrame:
 
     The cap counts by target and resource, so counts are enough; no match is sorted. Rules look at sentences once, not at each match.
     """
-    marked = rows.select("resource_id", "norm", apostrophe_guard(F.lit("s_negative"), F.col("sentence")).alias("has_s"), T.keep_sentence(T.quality_flags(F.col("sentence"), F.col("norm"), F.col("quality"))).alias("keep"))
+    judged = [apostrophe_guard(F.lit("s_negative"), F.col("sentence")).alias("has_s"), T.keep_sentence(T.quality_flags(F.col("sentence"), F.col("norm"), F.col("quality"))).alias("keep")]
+    found = matched_rows(rows, patterns)
+    if found is None:
+        hits = _by_shuffle(rows, patterns, "norm").select("target_id", "variant_kind", "resource_id", *judged)
+    else:
+        hits = found.select("resource_id", "__m", *judged).select("resource_id", "has_s", "keep", F.explode("__m.pattern").alias("pattern")).join(F.broadcast(patterns), "pattern")
     guarded = (F.col("variant_kind") != "s_negative") | F.col("has_s")
-    by = phrase_match(marked, patterns).groupBy("target_id", "resource_id").agg(F.count("*").alias("raw"), F.count_if(~guarded).alias("guard"), F.count_if(guarded & ~F.col("keep")).alias("quality"), F.count_if(guarded & F.col("keep")).alias("passed"))
+    by = hits.groupBy("target_id", "resource_id").agg(F.count("*").alias("raw"), F.count_if(~guarded).alias("guard"), F.count_if(guarded & ~F.col("keep")).alias("quality"), F.count_if(guarded & F.col("keep")).alias("passed"))
     return by.groupBy("target_id").agg(
         F.sum("raw").alias("raw_pattern_matches"), F.sum("guard").alias("variant_rejected_matches"), F.sum("quality").alias("quality_rejected_matches"),
         F.sum(F.greatest(F.col("passed") - most, F.lit(0))).alias("local_cap_dropped_matches"), F.sum(F.least(F.col("passed"), F.lit(most))).alias("emitted_matches_before_writer_cap"),
