@@ -182,6 +182,7 @@ def search_targets(lexicon: DataFrame) -> DataFrame:
     return rows.withColumn("target_id", target_id(F.col("verb_id"), F.col("signature"), F.col("target_key"))).dropDuplicates(["target_id"])
 
 
+#: Words before a verb that are no auxiliary.
 PARTICLES = ("të", "do", "mos", "nuk", "a", "për", "duke", "pa", "me")
 
 

@@ -179,6 +179,7 @@ def classify_voice() -> Column:
     return F.struct(found.alias("verdict"), reasons.alias("reasons"))
 
 
+#: Forms of the auxiliary before a participle.
 _JAM_ADMIRATIVE = "^qenk(am|e|a|emi|eni|an|ësha|ëshe|ësh|ëshim|ëshit|ëshin)[ ]+[^ ]"
 _JAM_INDICATIVE = "^(jam|je|është|jemi|jeni|janë|isha|ishe|ishte|ishim|ishit|ishin|qe(shë)?|qemë|qetë|qenë)[ ]+[^ ]"
 
