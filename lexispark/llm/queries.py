@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, crf, dartminhash, exact, langid, mixing, packing, rans, secret_scan, warc
+from . import chat, crf, dartminhash, exact, langid, mixing, packing, rans, secret_scan, spelling, warc, whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,11 +70,20 @@ def op10_relational_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.format_conversations(turns.unionByName(added)))
 
 
+def op11_symmetric_delete_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_crf_line_quality, op2_shortest_pack_first, op3_content_addressed_warc, op4_golomb_exact_dedup, op5_segmentation_language_id,
         op6_rans_token_files, op7_sainte_lague_mix, op8_trigram_secret_scan, op9_dart_minhash_near_dedup, op10_relational_chat,
+        op11_symmetric_delete_spelling, op12_tsqr_whitening,
     )
 }
 
@@ -112,4 +121,42 @@ QUERY_SQL: dict[str, str | None] = {
                sum(length(escaped) + CASE WHEN opens THEN 12 + length(role) ELSE 6 END + CASE WHEN closes THEN 7 ELSE 0 END)::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id
     """,
+    "op11_symmetric_delete_spelling": """
+        WITH RECURSIVE t AS (
+            SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+        ),
+        r AS (
+            SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k FROM t WHERE length(run) >= 5 GROUP BY ALL
+        ),
+        b AS (
+            -- UTF-8 bytes, each as eight steps of the checksum: the byte, then seven zeros
+            SELECT run, k, flatten(list_transform(string_split(concat(doc_id, ':', run), ''), lambda c:
+                CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]
+                ELSE [(192 + (unicode(c) >> 6))::BIGINT, 0, 0, 0, 0, 0, 0, 0, (128 + (unicode(c) & 63))::BIGINT, 0, 0, 0, 0, 0, 0, 0] END)) AS bits
+            FROM r
+        ),
+        h AS (
+            SELECT run, k, xor(list_reduce(bits, lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1)), 4294967295::BIGINT), 4294967295) AS h FROM b
+        ),
+        w AS MATERIALIZED (
+            SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substring(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(k)::BIGINT AS n
+            FROM h GROUP BY 1 HAVING length(word) >= 5 AND sum(k) >= 3
+        ),
+        -- deletions of one letter of words of one letter more: insertions; the same place blanked in words of one length: replacements
+        d AS (SELECT DISTINCT word, n, left(word, i::INT) || substring(word, i::INT + 2) AS cut FROM (SELECT *, unnest(range(length(word))) AS i FROM w)),
+        g AS (SELECT word, n, i, left(word, i::INT) || '?' || substring(word, i::INT + 2) AS cut FROM (SELECT *, unnest(range(length(word))) AS i FROM w)),
+        p AS (
+            SELECT d.word, w.word AS other, w.n AS other_n FROM d JOIN w ON d.cut = w.word
+            UNION ALL SELECT w.word, d.word, d.n FROM d JOIN w ON d.cut = w.word
+            UNION ALL SELECT x.word, y.word, y.n FROM g x JOIN g y ON x.cut = y.cut AND x.word <> y.word
+        ),
+        s AS (SELECT word, count(*) AS n_near, max(other_n) AS best_n, (min((-other_n, other))) AS best FROM p GROUP BY word),
+        f AS MATERIALIZED (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * w.n THEN best[2] END AS form, CASE WHEN best_n >= 2 * w.n THEN best_n END AS form_n
+            FROM w LEFT JOIN s USING (word)
+        ),
+        c AS (SELECT word, word AS at FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.at WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
+        FROM c JOIN f e ON e.word = c.at AND e.form IS NULL JOIN f ON f.word = c.word
+    """,
 }
