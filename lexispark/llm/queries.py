@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, crf, dartminhash, exact, langid, mixing, packing, rans, secret_scan, spelling, warc, whiten
+from . import chat, crf, dartminhash, exact, jaccard_join, langid, mixing, packing, rans, secret_scan, spelling, warc, whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,12 +78,16 @@ def op12_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_multiple_order_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_crf_line_quality, op2_shortest_pack_first, op3_content_addressed_warc, op4_golomb_exact_dedup, op5_segmentation_language_id,
         op6_rans_token_files, op7_sainte_lague_mix, op8_trigram_secret_scan, op9_dart_minhash_near_dedup, op10_relational_chat,
-        op11_symmetric_delete_spelling, op12_tsqr_whitening,
+        op11_symmetric_delete_spelling, op12_tsqr_whitening, op13_multiple_order_jaccard_join,
     )
 }
 
@@ -159,4 +163,25 @@ QUERY_SQL: dict[str, str | None] = {
         SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
         FROM c JOIN f e ON e.word = c.at AND e.form IS NULL JOIN f ON f.word = c.word
     """,
+    "op13_multiple_order_jaccard_join": r"""
+        WITH RECURSIVE t AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                           ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))) END AS g
+            FROM t
+        ),
+        n AS MATERIALIZED (SELECT min(doc_id) AS id, g, len(g) AS size FROM s WHERE len(g) > 0 GROUP BY g),
+        e AS MATERIALIZED (SELECT id, size, unnest(g) AS shingle FROM n),
+        p AS MATERIALIZED (
+            SELECT x.id AS a, y.id AS b FROM e x JOIN e y ON x.shingle = y.shingle AND x.id < y.id
+            GROUP BY x.id, y.id, x.size, y.size HAVING 100 * count(*) >= 80 * (x.size + y.size - count(*))
+        ),
+        l AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+        r AS (SELECT id, id AS reached FROM n UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.reached),
+        c AS (SELECT id, min(reached) AS component_id FROM r GROUP BY id)
+        SELECT s.doc_id, len(s.g) AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id
+        FROM s LEFT JOIN n ON n.g = s.g LEFT JOIN c ON c.id = n.id
+    """,
 }
