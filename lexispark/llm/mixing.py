@@ -2,14 +2,17 @@
 
 Sizes are numbers of words. Sources in code-point order (null last) get weights 5, 2, 1, 5, 2, 1, ... of all words; a
 target stops at three times its source's size, and what is over goes to the others by weight. All words are dealt out as
-blocks of BLOCK_WORDS: to sources by highest quotients of their targets, then within each source to its shards by highest
-quotients of the shards' sizes. A shard lays its documents in a seeded order on a ring of words and takes its quota of
-consecutive blocks from a seeded place on, whole rounds first; so few documents are cut.
+equal blocks: to sources by highest quotients of their targets, then within each source to its shards by highest quotients
+of the shards' sizes. A block has BLOCK_WORDS words, or fewer where the smallest target is small: LEAST_BLOCKS of them fit
+in it, down to blocks of one word. The last block of a source or shard ends where three times its size does. A shard lays
+its documents in a seeded order on a ring of words and takes its quota of consecutive blocks from a seeded place on, whole
+rounds first; so few documents are cut.
 
 Defined results: a null text has size 0; a null source is a source of its own; rows that repeat an id are rows of their
 own; rows that repeat id, text and source lie side by side on the ring; places that tie are in order of size; a text of any
 length is one document, cut at any word; an empty table gives no rows; further columns, whatever their names, are ignored
-by mix() and kept by mixed_documents(). A source ends within one block of its target for each of its shards.
+by mix() and kept by mixed_documents(). A source ends within a block of its target, and a block for each shard that the bound
+of three times its size cuts.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, columns, in_rows, materialize, out_of_rows, place_of, repeated
 
-BLOCK_WORDS = 32
+BLOCK_WORDS, LEAST_BLOCKS = 32, 16
 #: Documents of a shard, about: what one task holds as two numbers each.
 SHARD_ROWS = 2_000
 #: Shards of a source that get their blocks together.
@@ -51,6 +54,11 @@ def targets(sizes: list[int], weights: list[float], most: int = MOST_TIMES) -> l
     return out
 
 
+def block_words(aims: list[float]) -> int:
+    """Words of a block, the same for all sources: the smallest target that isn't 0 has LEAST_BLOCKS of them, if words go so far."""
+    return min(BLOCK_WORDS, max(1, int(min((t for t in aims if t > 0), default=0) // LEAST_BLOCKS)))
+
+
 def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
     """Seats by highest quotients votes / (2 k + 1), ties to the earlier, none above `most`.
 
@@ -105,7 +113,7 @@ def _take(table: pa.Table) -> pa.Table:
     order = np.lexsort((size, table.column("place").to_numpy()))
     ends = np.cumsum(size[order])
     words = int(ends[-1])
-    rounds, rest = divmod(int(table.column("quota")[0].as_py()) * BLOCK_WORDS, max(1, words))
+    rounds, rest = divmod(min(int(table.column("quota")[0].as_py()) * int(table.column("block")[0].as_py()), MOST_TIMES * words), max(1, words))
     start = int(table.column("turn")[0].as_py()) % max(1, words)
     a, b = ends - size[order], ends
     # the rest is [start, start + rest) on a ring: in a document one stretch, or its head too where the ring closes
@@ -136,20 +144,21 @@ def _plan(docs: DataFrame, seed: int) -> DataFrame:
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["words"] for r in found]
     aims = targets(sizes, [float(WEIGHTS[i % len(WEIGHTS)]) for i in range(len(found))])
-    blocks = sainte_lague(np.array(aims), round(sum(sizes) / BLOCK_WORDS), np.array([MOST_TIMES * s // BLOCK_WORDS for s in sizes], np.int64)) if found else []
+    block = block_words(aims)
+    blocks = sainte_lague(np.array(aims), round(sum(sizes) / block), np.array([-(-MOST_TIMES * s // block) for s in sizes], np.int64)) if found else []
     rows = [(i, r["source"], r["words"], float(t), int(b), max(1, -(-r["items"] // SHARD_ROWS))) for i, (r, t, b) in enumerate(zip(found, aims, blocks))]
     plan = spark.createDataFrame(rows, "at long, its_source string, source_size long, target double, blocks long, shards long")
     placed = ledger.join(F.broadcast(plan), ledger["source"].eqNullSafe(plan["its_source"])).select(
         "doc_id", "hash", "its_source", "size", "rows", "at", "source_size", "target", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "hash"), F.col("shards")).alias("shard"), F.xxhash64(F.lit(seed + 1), "doc_id", "hash").alias("place")
     )
     # blocks go to groups of shards, then to the shards of each: no task gets all shards of a source
-    shards = materialize(placed.groupBy("at", "shard").agg(F.sum(F.col("size") * F.col("rows")).alias("words")).select("at", "shard", F.expr(f"shard div {GROUP_SHARDS}").alias("part"), "words", F.expr(f"{MOST_TIMES} * words div {BLOCK_WORDS}").alias("most")), "shards")
+    shards = materialize(placed.groupBy("at", "shard").agg(F.sum(F.col("size") * F.col("rows")).alias("words")).select("at", "shard", F.expr(f"shard div {GROUP_SHARDS}").alias("part"), "words", F.expr(f"({MOST_TIMES} * words + {block - 1}) div {block}").alias("most")), "shards")
     of_source = F.broadcast(plan.select("at", "blocks"))
     groups = shards.groupBy("at", "part").agg(F.sum("words").alias("words"), F.sum("most").alias("most")).join(of_source, "at").groupBy("at").applyInArrow(_quotas, _QUOTAS)
     own = shards.join(groups, ["at", "part"]).select("at", F.col("part").alias("group"), F.col("shard").alias("part"), "words", "most", F.col("quota").alias("blocks"))
     quotas = materialize(own.groupBy("at", "group").applyInArrow(_quotas, _QUOTAS).withColumnRenamed("part", "shard"), "quotas")
     turn = F.abs(F.xxhash64(F.lit(seed + 2), "at", "shard") % (1 << 40)).alias("turn")
-    return placed.join(quotas, ["at", "shard"]).select("*", turn).groupBy("at", "shard").applyInArrow(_take, _TAKEN)
+    return placed.join(quotas, ["at", "shard"]).select("*", turn, F.lit(block).alias("block")).groupBy("at", "shard").applyInArrow(_take, _TAKEN)
 
 
 def _of_row(nth: Column) -> list[Column]:
