@@ -218,7 +218,7 @@ class SegmentIndex:
 def _prepared(rules: tuple[Rule, ...]):
     queries = [trigram_query(r) for r in rules]
     trigrams = sorted(set().union(*map(trigrams_of, queries)))
-    table = np.zeros(1 << 24, np.uint16)
+    table = np.zeros(1 << 24, np.uint16 if len(trigrams) < 1 << 16 else np.uint32)
     for i, t in enumerate(trigrams):
         table[t[0] << 16 | t[1] << 8 | t[2]] = i + 1
     return queries, trigrams, table, [r.compiled() for r in rules]
@@ -240,10 +240,11 @@ def scan(texts: list[str], rules: tuple[Rule, ...] = RULES) -> list[list[tuple[i
     """Spans of each text of one segment, whose index lives as long as the call."""
     queries, trigrams, table, compiled = _prepared(rules)
     index = SegmentIndex(texts, trigrams, table)
-    masks = np.zeros(len(texts), np.int64)
+    masks = [0] * len(texts)
     for k, query in enumerate(queries):
-        masks[index.select(query)] |= 1 << k
-    return [spans_of(t, rules, compiled, m) for t, m in zip(texts, masks.tolist())]
+        for i in index.select(query).tolist():
+            masks[i] |= 1 << k
+    return [spans_of(t, rules, compiled, m) for t, m in zip(texts, masks)]
 
 
 @dataclass(frozen=True)
@@ -284,8 +285,12 @@ def select_rows(query, postings: dict[bytes, np.ndarray]) -> np.ndarray:
     return out
 
 
+#: Rules whose candidates share one number as their mask.
+MASK_RULES = 60
+
+
 def candidates(index: StoredIndex, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """nth and mask (a bit for each rule) of the rows that rules with trigrams leave: postings are intersected segment by segment."""
+    """nth and mask (a bit for each rule, of which there are MASK_RULES at most) of the rows that rules with trigrams leave: postings are intersected segment by segment."""
     queries = [trigram_query(r) for r in rules]
     if not set().union(*map(trigrams_of, queries)) <= index.trigrams:
         raise ValueError("the index doesn't have all trigrams of the rules")
@@ -307,14 +312,16 @@ _FOUND = "doc_id long, kinds array<string>, starts array<long>, ends array<long>
 
 def search_index(index: StoredIndex, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per row of the index: doc_id, and the kinds, starts and ends of its spans, in order of start, then rule. Expressions search candidates only, but for rules without mandatory trigrams."""
-    lists = RowLists(candidates(index, rules), "candidates")
+    lists = [RowLists(candidates(index, rules[k : k + MASK_RULES]), "candidates") for k in range(0, len(rules), MASK_RULES)]
     everywhere = sum(1 << k for k, r in enumerate(rules) if trigram_query(r) is None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
-        find, compiled = lists.finder(), _prepared(rules)[3]
+        finders, compiled = [x.finder() for x in lists], _prepared(rules)[3]
         for b in steps(batches, 1):
-            texts, masks = strings(b.column(1)), (find(b.column(2).to_numpy()) | everywhere).tolist()
+            texts, masks = strings(b.column(1)), [everywhere] * b.num_rows
+            for c, find in enumerate(finders):
+                masks = [m | own << MASK_RULES * c for m, own in zip(masks, find(b.column(2).to_numpy()).tolist())]
             found = [spans_of(t, rules, compiled, m) for t, m in zip(texts, masks)]
             yield batch(_FOUND, [b.column(0), [[rules[k].kind for _, k, _ in f] for f in found], [[a for a, _, _ in f] for f in found], [[z for _, _, z in f] for f in found]])
 
