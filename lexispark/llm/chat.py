@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import columns
+
 TURN, TEXT, PART, END = "<turn>", "<text>", "<part>", "</turn>"
 
 
@@ -35,8 +37,9 @@ BLOCK = 256
 
 def format_conversations(turns: DataFrame, learn_role: str = "assistant", id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_mask (array of start and end)."""
-    turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = turns.groupBy(F.col(id_col).alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    turns = columns(turns, conv_id=(id_col, None), turn=(turn_col, None), role=(role_col, None), text=(text_col, None))
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    found = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     n = F.size("turns")
     # runs of one role: where each begins, and where the next does
     begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("turns", i - 1)["role"] != F.get("turns", i)["role"]))

@@ -245,9 +245,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_field(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
     """A field fitted on at most FIT_ROWS documents of each quality (0 or 1), those whose ids have the smallest hashes."""
     order = F.xxhash64(F.lit(11), "doc_id")
-    some = [labels.filter(F.col("quality") == q).select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("quality")).dropDuplicates(["__id"]).orderBy(F.xxhash64(F.lit(11), "__id"), "__id").limit(FIT_ROWS) for q in (0, 1)]
+    labels = columns(labels, doc_id=("doc_id", None), quality=("quality", "int"))
+    some = [labels.filter(F.col("quality") == q).select(F.col("doc_id").alias("__id"), "quality").dropDuplicates(["__id"]).orderBy(F.xxhash64(F.lit(11), "__id"), "__id").limit(FIT_ROWS) for q in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # at most 2 * FIT_ROWS rows
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, F.col("doc_id") == F.col("__id")).orderBy(order, "doc_id", F.xxhash64("text")).limit(2 * FIT_ROWS).select("quality", "text")
+    rows = columns(docs, doc_id=(id_col, None), text=(text_col, None)).join(chosen, F.col("doc_id") == F.col("__id")).orderBy(order, "doc_id", F.xxhash64("text")).limit(2 * FIT_ROWS).select("quality", "text")
     found = sorted((int(r["quality"]), bytes(r["features"])) for r in rows.mapInArrow(_features, "quality int, features binary").collect() if r["features"])
     good, bad = ([np.frombuffer(f).reshape(-1, len(FEATURES)) for q, f in found if q == k] for k in (1, 0))
     return learn(good, bad)

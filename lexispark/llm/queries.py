@@ -35,10 +35,7 @@ def op3_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_segmentation_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    model = langid.fit_model(docs.filter(~held_out))
-    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return langid.predict_held_out(_table(spark, sf_dir, "documents"))
 
 
 def op6_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
