@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import reports as R
+from . import snapshots as S
 
 #: Changes to how sentences are normalised make older caches stale.
 NORMALIZER = 1
@@ -34,13 +35,21 @@ def append_new(rows: DataFrame, path: str, key: list[str]) -> int:
     return spark.read.parquet(path).count() - (0 if there is None else there.count())
 
 
-def write_examples(path: str, resources: DataFrame, targets: DataFrame, occurrences: DataFrame, append: bool = False) -> None:
-    """Resources, targets and occurrences as tables under a path; what is there stays when appending, and a key is written once."""
-    for name, rows, key in (("resources", resources, ["resource_id"]), ("targets", targets, ["target_id"]), ("occurrences", occurrences, ["target_id", *KEY])):
-        if append:
-            append_new(rows, f"{path}/{name}", key)
-        else:
-            rows.dropDuplicates(key).write.mode("overwrite").parquet(f"{path}/{name}")
+EXAMPLE_KEYS = {"resources": ["resource_id"], "targets": ["target_id"], "occurrences": ["target_id", *KEY]}
+
+
+def write_examples(path: str, resources: DataFrame, targets: DataFrame, occurrences: DataFrame, append: bool = False) -> S.Snapshot:
+    """Resources, targets and occurrences as tables of a store, committed together; what is there stays when appending, and a key is written once."""
+    spark = resources.sparkSession
+    before, done = S.snapshot(spark, path), {}
+    batch = f"batch {before.version + 1}"
+    for name, rows in (("resources", resources), ("targets", targets), ("occurrences", occurrences)):
+        key, new = EXAMPLE_KEYS[name], rows.dropDuplicates(EXAMPLE_KEYS[name])
+        if append and name in before.tables:
+            new = new.join(before.read(spark, name).select(*key), key, "left_anti").select(*before.tables[name].schema.names)
+        table = S.write_table(before, name, new, {batch: batch}, whole=True)
+        done[name] = table if append else S.Table(table.schema, True, {batch: table.parts[batch]})
+    return S.commit(spark, before, done)
 
 
 def fingerprints(files: DataFrame) -> DataFrame:
@@ -50,51 +59,53 @@ def fingerprints(files: DataFrame) -> DataFrame:
     return by.select("resource_id", "files", "bytes", F.md5(F.concat_ws("|", F.lit(str(NORMALIZER)), "resource_id", F.array_join("each", "|"))).alias("fingerprint"))
 
 
-def write_cache(path: str, rows: DataFrame, marks: DataFrame) -> None:
-    """Sentences by resource with their inventory of tokens, and the fingerprints that they were made from."""
-    rows.write.mode("overwrite").partitionBy("resource_id").parquet(f"{path}/rows")
-    R.token_inventory(rows).write.mode("overwrite").parquet(f"{path}/tokens")
-    marks.write.mode("overwrite").parquet(f"{path}/marks")
+def _marks(marks: DataFrame) -> dict[str | None, str]:
+    """A row per resource, of which there are as many as folders."""
+    return {r["resource_id"]: r["fingerprint"] for r in marks.select("resource_id", "fingerprint").collect()}
+
+
+def write_cache(path: str, rows: DataFrame, marks: DataFrame) -> S.Snapshot:
+    """Sentences by resource with their inventory of tokens, and the fingerprints that they were made from: one commit of both tables. Resources whose fingerprint the cache has aren't written again; those that marks doesn't have go."""
+    own = _marks(marks)
+    return S.update(rows.sparkSession, path, {"rows": (rows, own), "tokens": (R.token_inventory(rows), own)}, replace_all=True)
+
+
+def _state(known: str | None, mark: str) -> str:
+    return "missing" if known is None else "fresh" if known == mark else "stale"
 
 
 def freshness(path: str, marks: DataFrame) -> DataFrame:
     """By resource of marks: fresh, stale, or missing in the cache."""
-    known = marks.sparkSession.read.parquet(f"{path}/marks").select("resource_id", F.col("fingerprint").alias("known"))
-    state = F.when(F.col("known").isNull(), "missing").when(F.col("known") == F.col("fingerprint"), "fresh").otherwise("stale")
-    return marks.join(known, "resource_id", "left").select("resource_id", state.alias("state"))
+    spark = marks.sparkSession
+    known = S.snapshot(spark, path).fingerprints("rows")
+    return spark.createDataFrame([(r, _state(known.get(r), mark)) for r, mark in _marks(marks).items()], "resource_id string, state string")
 
 
 def read_cache(path: str, marks: DataFrame, raw: DataFrame, require: bool = False) -> DataFrame:
-    """Sentences of fresh resources from the cache, of others from raw; with `require` a resource that isn't fresh is an error.
+    """Sentences of fresh resources from the newest snapshot of the cache, of others from raw; with `require` a resource that isn't fresh is an error.
 
     Resources are few: the fresh ones go by name to the scan, which then reads their folders only.
     """
     spark = marks.sparkSession
-    states = {r["resource_id"]: r["state"] for r in freshness(path, marks).collect()}
-    fresh = [k for k, v in states.items() if v == "fresh"]
-    if require and len(fresh) < len(states):
-        raise ValueError(f"not in the cache: {sorted(set(states) - set(fresh))}")
-    cached = spark.read.parquet(f"{path}/rows").filter(F.col("resource_id").isin(fresh)) if fresh else spark.read.parquet(f"{path}/rows").limit(0)
-    return cached.select(*raw.columns).unionByName(raw.filter(~F.col("resource_id").isin(fresh)) if fresh else raw)
+    now = S.snapshot(spark, path)
+    known = now.fingerprints("rows")
+    own = _marks(marks)
+    fresh = [r for r, mark in own.items() if _state(known.get(r), mark) == "fresh"]
+    if require and len(fresh) < len(own):
+        raise ValueError(f"not in the cache: {sorted(set(own) - set(fresh), key=str)}")
+    if not fresh:
+        return raw
+    cached = now.read(spark, "rows").filter(S.of_resources(F.col("resource_id"), fresh))
+    return cached.select(*raw.columns).unionByName(raw.filter(~S.of_resources(F.col("resource_id"), fresh)))
 
 
 def ensure_hits(path: str, marks: DataFrame, matches: DataFrame) -> list[str]:
-    """Brings the inventory of target hits up to date: only resources whose hits are missing or stale are written anew. Their names.
-
-    Marks are appended with a number; of a resource's marks the newest counts.
-    """
-    spark = marks.sparkSession
-    there = _read(spark, f"{path}/hit_marks")
-    turn, done = 0, []
-    if there is not None:
-        turn = there.agg(F.max("turn")).first()[0] + 1
-        newest = there.groupBy("resource_id").agg(F.max_by("fingerprint", "turn").alias("fingerprint"))
-        done = [r["resource_id"] for r in newest.join(marks, ["resource_id", "fingerprint"], "left_semi").collect()]
-    todo = sorted(r["resource_id"] for r in marks.select("resource_id").collect() if r["resource_id"] not in done)
+    """Brings the inventory of target hits up to date: only resources whose hits are missing or stale are written anew. Their names."""
+    spark, own = marks.sparkSession, _marks(marks)
+    known = S.snapshot(spark, path).fingerprints("hits")
+    todo = sorted(r for r, mark in own.items() if known.get(r) != mark)
     if todo:
-        hits = R.target_hits(matches.filter(F.col("resource_id").isin(todo)))
-        hits.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("resource_id").parquet(f"{path}/hits")
-        marks.filter(F.col("resource_id").isin(todo)).select("resource_id", "fingerprint", F.lit(turn).alias("turn")).write.mode("append").parquet(f"{path}/hit_marks")
+        S.update(spark, path, {"hits": (R.target_hits(matches).select("target_id", "resource_id"), own)})
     return todo
 
 

@@ -12,6 +12,8 @@ from ..cluster import new_path
 from ..functions import text as T
 from ..operators import match as M
 from ..operators import reports as R
+from ..operators import search_index as I
+from ..operators import snapshots as SN
 from ..registry import register
 
 #: target_id, verb_id, lemma, mood, tense, voice, polarity, person, number, tokens
@@ -46,12 +48,17 @@ def targets(spark: SparkSession) -> DataFrame:
     return rows.withColumn("signature", signature).withColumn("tokens", F.split("target_key", " "))
 
 
-_STORE: dict[tuple[str, str, str], DataFrame] = {}
+_STORE: dict[tuple, DataFrame | str] = {}
+
+
+def _key(spark: SparkSession, sf: str, name: str) -> tuple:
+    """What a stored table was made from: files with their sizes and times, so that tables that change are read anew."""
+    return (spark.sparkContext.applicationId, name, *(f for t in ("documents", "labels") for f in SN.files(spark, f"{sf}/{t}.parquet")))
 
 
 def stored(spark: SparkSession, sf: str, name: str, make) -> DataFrame:
     """A table of sentences, matches or occurrences, written once and read by the reports, each its own columns; no executor holds it."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = _key(spark, sf, name)
     if key not in _STORE:
         path, made = new_path(spark, name), make()
         made.write.parquet(path)
@@ -60,9 +67,26 @@ def stored(spark: SparkSession, sf: str, name: str, make) -> DataFrame:
 
 
 def rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences for reports that read them more than once, or share them."""
     return stored(spark, sf, "sentences", lambda: scanned(spark, sf))
 
 
+def once(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences for a single pass: nothing is written for it, but what is stored is read."""
+    found = _STORE.get(_key(spark, sf, "sentences"))
+    return scanned(spark, sf) if found is None else found
+
+
+def index(spark: SparkSession, sf: str) -> str:
+    """The path of the search index of a folder's sentences, which is built once."""
+    key = _key(spark, sf, "search index")
+    if key not in _STORE:
+        path = new_path(spark, "search-index")
+        I.build_index(once(spark, sf), path)
+        _STORE[key] = path
+    return _STORE[key]
+
+
 def scanned(spark: SparkSession, sf: str) -> DataFrame:
     return M.sentences(spark.read.parquet(f"{sf}/documents.parquet"), labels=spark.read.parquet(f"{sf}/labels.parquet"))
 
@@ -75,9 +99,14 @@ def occ(spark: SparkSession, sf: str) -> DataFrame:
     return stored(spark, sf, "occurrences", lambda: M.occurrences(rows(spark, sf), patterns(spark)))
 
 
-def raw(spark: SparkSession, sf: str) -> DataFrame:
+def matches_once(spark: SparkSession, sf: str) -> DataFrame:
     """Matches before any rule, without texts; has_s is what the guard wants to know of them."""
-    return stored(spark, sf, "matches", lambda: M.phrase_match(rows(spark, sf).select(*M.KEY, "norm", M.apostrophe_guard(F.lit("s_negative"), F.col("sentence")).alias("has_s")), patterns(spark)).drop("norm"))
+    return M.phrase_match(once(spark, sf).select(*M.KEY, "norm", M.apostrophe_guard(F.lit("s_negative"), F.col("sentence")).alias("has_s")), patterns(spark)).drop("norm")
+
+
+def raw(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, stored for reports that share them."""
+    return stored(spark, sf, "matches", lambda: matches_once(spark, sf))
 
 
 # --- the same in DuckDB ---------------------------------------------------------------------------------------------
@@ -161,17 +190,17 @@ _KEY = "resource_id, doc_id, position"
 
 @register("fn_split_sentences", f"{_S} SELECT {_KEY}, sentence FROM sentences")
 def _(spark, sf):
-    return rows(spark, sf).select("resource_id", "doc_id", "position", "sentence")
+    return once(spark, sf).select("resource_id", "doc_id", "position", "sentence")
 
 
 @register("fn_normalized_text", f"{_S} SELECT {_KEY}, norm FROM sentences")
 def _(spark, sf):
-    return rows(spark, sf).select("resource_id", "doc_id", "position", "norm")
+    return once(spark, sf).select("resource_id", "doc_id", "position", "norm")
 
 
 @register("fn_tokens", f"{_S} SELECT {_KEY}, array_to_string({_TOK}, '|') AS tokens FROM sentences")
 def _(spark, sf):
-    return rows(spark, sf).select("resource_id", "doc_id", "position", F.array_join(T.tokens(F.col("norm")), "|").alias("tokens"))
+    return once(spark, sf).select("resource_id", "doc_id", "position", F.array_join(T.tokens(F.col("norm")), "|").alias("tokens"))
 
 
 @register("fn_normalize_token", "SELECT p_partkey, lower(trim(p_name)) AS token FROM part")
@@ -186,7 +215,7 @@ def _(spark, sf):
 
 @register("fn_diacritic_fold", f"{_S} SELECT {_KEY}, nullif(translate(norm, 'ëç', 'ec'), norm) AS folded FROM sentences")
 def _(spark, sf):
-    return rows(spark, sf).select("resource_id", "doc_id", "position", T.diacritic_fold(F.col("norm")).alias("folded"))
+    return once(spark, sf).select("resource_id", "doc_id", "position", T.diacritic_fold(F.col("norm")).alias("folded"))
 
 
 @register("fn_target_variants", f"{_with(TARGETS_SQL)} SELECT * FROM patterns")
@@ -197,7 +226,7 @@ def _(spark, sf):
 def _flag(name: str, sql: str, make) -> None:
     @register(name, f"{_S} SELECT {_KEY}, {sql} AS flag FROM sentences")
     def _(spark, sf):
-        return rows(spark, sf).select("resource_id", "doc_id", "position", make(F.col("sentence"), F.col("norm"), F.col("quality")).alias("flag"))
+        return once(spark, sf).select("resource_id", "doc_id", "position", make(F.col("sentence"), F.col("norm"), F.col("quality")).alias("flag"))
 
 
 _flag("fn_flag_adult", _ADULT, lambda s, n, q: T.adult_or_spam(s))
@@ -210,22 +239,22 @@ _flag("flt_useful_text", r"(regexp_matches(sentence, '\p{L}') AND len(list_filte
 @register("fn_flag_length", f"{_S} SELECT {_KEY}, {_SHORT} AS too_short, {_LONG} AS too_long, {_DIGITS} AS digit_heavy, {_CONTROL} AS control_char FROM sentences")
 def _(spark, sf):
     s, n = F.col("sentence"), F.col("norm")
-    return rows(spark, sf).select("resource_id", "doc_id", "position", T.too_short(n).alias("too_short"), T.too_long(s).alias("too_long"), T.digit_heavy(s).alias("digit_heavy"), T.control_char(s).alias("control_char"))
+    return once(spark, sf).select("resource_id", "doc_id", "position", T.too_short(n).alias("too_short"), T.too_long(s).alias("too_long"), T.digit_heavy(s).alias("digit_heavy"), T.control_char(s).alias("control_char"))
 
 
 @register("fn_quality_flags", f"{_S} SELECT {_KEY}, array_to_string({FLAGS}, ',') AS flags FROM sentences")
 def _(spark, sf):
-    return rows(spark, sf).select("resource_id", "doc_id", "position", F.array_join(T.quality_flags(F.col("sentence"), F.col("norm"), F.col("quality")), ",").alias("flags"))
+    return once(spark, sf).select("resource_id", "doc_id", "position", F.array_join(T.quality_flags(F.col("sentence"), F.col("norm"), F.col("quality")), ",").alias("flags"))
 
 
 @register("flt_quality", f"{_S}, f AS (SELECT *, {FLAGS} AS flags FROM sentences) SELECT {_KEY} FROM f WHERE {_KEEP}")
 def _(spark, sf):
-    return rows(spark, sf).filter(T.keep_sentence(T.quality_flags(F.col("sentence"), F.col("norm"), F.col("quality")))).select("resource_id", "doc_id", "position")
+    return once(spark, sf).filter(T.keep_sentence(T.quality_flags(F.col("sentence"), F.col("norm"), F.col("quality")))).select("resource_id", "doc_id", "position")
 
 
 @register("flt_empty_norm", f"{_S} SELECT resource_id, count(*) FILTER (norm = '') AS empty, count(*) FILTER (norm <> '') AS kept FROM sentences GROUP BY 1")
 def _(spark, sf):
-    return rows(spark, sf).groupBy("resource_id").agg(F.count_if(F.col("norm") == "").alias("empty"), F.count_if(F.col("norm") != "").alias("kept"))
+    return once(spark, sf).groupBy("resource_id").agg(F.count_if(F.col("norm") == "").alias("empty"), F.count_if(F.col("norm") != "").alias("kept"))
 
 
 @register("fn_domain", r"SELECT page_id, nullif(regexp_extract(url, '^https?://([^/:?#]+)', 1), '') AS domain FROM pages")
@@ -301,7 +330,7 @@ def _(spark, sf):
 
 @register("join_phrase_match", f"{_with(SENTENCES, TARGETS_SQL, MATCHES)} SELECT target_id, variant_kind, pattern, {_KEY}, \"end\" AS last_token FROM matches")
 def _(spark, sf):
-    return raw(spark, sf).select("target_id", "variant_kind", "pattern", "resource_id", "doc_id", "position", F.col("end").alias("last_token"))
+    return matches_once(spark, sf).select("target_id", "variant_kind", "pattern", "resource_id", "doc_id", "position", F.col("end").alias("last_token"))
 
 
 @register("flt_token_boundary", f"{_S} SELECT {_KEY}, (length(' ' || replace(norm, ' ', '  ') || ' ') - length(replace(' ' || replace(norm, ' ', '  ') || ' ', ' the ', ''))) // 5 AS hits FROM sentences WHERE contains(' ' || norm || ' ', ' the ')")
@@ -349,7 +378,7 @@ def _(spark, sf):
     SELECT target_id, count(*) AS raw_pattern_matches, count(*) FILTER (NOT guarded) AS variant_rejected_matches, count(*) FILTER (guarded AND NOT keep) AS quality_rejected_matches,
            count(*) FILTER (guarded AND keep AND nth > 3) AS local_cap_dropped_matches, count(*) FILTER (guarded AND keep AND nth <= 3) AS emitted_matches_before_writer_cap FROM n GROUP BY 1""")
 def _(spark, sf):
-    return M.trace(rows(spark, sf), patterns(spark))
+    return M.trace(once(spark, sf), patterns(spark))
 
 
 _STRESS = f"""{_with(TARGETS_SQL)},
@@ -391,7 +420,7 @@ _STRESSED = _STRESS + "," + SENTENCES + "," + MATCHES.replace("patterns", "stres
 
 @register("join_stress_match", f"{_STRESSED} SELECT target_id, kind, pattern, {_KEY}, \"end\" AS last_token FROM matches")
 def _(spark, sf):
-    return M.phrase_match(rows(spark, sf), M.stress_patterns(targets(spark)).drop("anchor")).select("target_id", "kind", "pattern", "resource_id", "doc_id", "position", F.col("end").alias("last_token"))
+    return M.phrase_match(once(spark, sf), M.stress_patterns(targets(spark)).drop("anchor")).select("target_id", "kind", "pattern", "resource_id", "doc_id", "position", F.col("end").alias("last_token"))
 
 
 @register("agg_stress_report", f"""{_STRESSED}, h AS (SELECT kind, pattern, target_id, count(*) AS n FROM matches GROUP BY ALL)
@@ -409,7 +438,7 @@ def _(spark, sf):
 
 @register("set_token_inventory", f"{_S} SELECT DISTINCT resource_id, unnest({_TOK}) AS token FROM sentences")
 def _(spark, sf):
-    return R.token_inventory(rows(spark, sf))
+    return R.token_inventory(once(spark, sf))
 
 
 @register("sink_target_hits", f"{_with(SENTENCES, TARGETS_SQL, MATCHES)} SELECT DISTINCT resource_id, target_id FROM matches")
@@ -437,12 +466,12 @@ def _(spark, sf):
 
 @register("sink_search_index", f"{_S}, t AS (SELECT {_KEY}, {_TOK} AS ws FROM sentences), p AS (SELECT {_KEY}, unnest(ws) AS token, generate_subscripts(ws, 1) AS at FROM t) SELECT token, count(*) AS postings, count(DISTINCT (doc_id, position)) AS sentences FROM p GROUP BY 1")
 def _(spark, sf):
-    return R.search_postings(rows(spark, sf)).groupBy("token").agg(F.count("*").alias("postings"), F.countDistinct("doc_id", "position").alias("sentences"))
+    return I.postings(spark, index(spark, sf))
 
 
 @register("cmd_search", f"{_S}, t AS (SELECT *, {_TOK} AS ws FROM sentences), p AS (SELECT {_KEY}, unnest(ws) AS token, generate_subscripts(ws, 1) AS at FROM t) SELECT a.resource_id, a.doc_id, a.position, count(*) AS hits FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.position = b.position AND b.at = a.at + 1 WHERE a.token = 'of' AND b.token = 'the' GROUP BY ALL")
 def _(spark, sf):
-    return R.search_phrase(R.search_postings(rows(spark, sf)), ["of", "the"])
+    return I.search_phrase(spark, index(spark, sf), ["of", "the"])
 
 
 from . import corpus_reports  # noqa: E402,F401  registers the reports over these

@@ -10,6 +10,7 @@ from ..cluster import new_path
 from ..functions import morphology as M
 from ..operators import match as MA
 from ..operators import reports as R
+from ..operators import snapshots as SN
 from ..operators import store as S
 from ..registry import register
 from ..sources import readers, writers
@@ -40,7 +41,8 @@ def _(spark, sf):
     half = F.col("target_id") < "t10"
     S.write_examples(path, resources, targets(spark).filter(half), o.filter(half))
     S.write_examples(path, resources, targets(spark), o, append=True)  # what is there stays, the rest comes in
-    read = lambda name: spark.read.parquet(f"{path}/{name}").agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+    found = SN.snapshot(spark, path)
+    read = lambda name: found.read(spark, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
     return read("occurrences").unionByName(read("targets")).unionByName(read("resources"))
 
 
@@ -59,14 +61,14 @@ def _cached(spark, sf):
 
 @register("sink_cache", f"{_S}, t AS (SELECT DISTINCT resource_id, unnest({_TOK}) AS token FROM sentences WHERE resource_id IS NOT NULL), k AS (SELECT resource_id, count(*) AS tokens FROM t GROUP BY 1) SELECT resource_id, count(*) AS sentences, any_value(tokens) AS tokens FROM sentences JOIN k USING (resource_id) GROUP BY 1")
 def _(spark, sf):
-    path = _cached(spark, sf)
-    tokens = spark.read.parquet(f"{path}/tokens").groupBy("resource_id").agg(F.count("*").alias("tokens"))
-    return spark.read.parquet(f"{path}/rows").groupBy("resource_id").agg(F.count("*").alias("sentences")).join(tokens, "resource_id")
+    found = SN.snapshot(spark, _cached(spark, sf))
+    tokens = found.read(spark, "tokens").groupBy("resource_id").agg(F.count("*").alias("tokens"))
+    return found.read(spark, "rows").groupBy("resource_id").agg(F.count("*").alias("sentences")).join(tokens, "resource_id")
 
 
 @register("cmd_build_cache", f"{_S} SELECT count(*) AS sentences, count(DISTINCT resource_id) AS resources, sum(length(norm))::BIGINT AS chars FROM sentences WHERE resource_id IS NOT NULL")
 def _(spark, sf):
-    return spark.read.parquet(f"{_cached(spark, sf)}/rows").agg(F.count("*").alias("sentences"), F.countDistinct("resource_id").alias("resources"), F.sum(F.char_length("norm")).alias("chars"))
+    return SN.snapshot(spark, _cached(spark, sf)).read(spark, "rows").agg(F.count("*").alias("sentences"), F.countDistinct("resource_id").alias("resources"), F.sum(F.char_length("norm")).alias("chars"))
 
 
 @register("rd_cache", f"{_S} SELECT resource_id, count(*) AS n, NOT ({_FRESH}) AS from_raw FROM sentences WHERE resource_id IS NOT NULL GROUP BY 1")
@@ -89,7 +91,7 @@ def _(spark, sf):
     anew = S.ensure_hits(path, _marks(spark, sf), matches)  # only what has changed
     if S.ensure_hits(path, _marks(spark, sf), matches) or not anew:
         raise AssertionError("fresh hits were written again")
-    return spark.read.parquet(f"{path}/hits").select("resource_id", "target_id")
+    return SN.snapshot(spark, path).read(spark, "hits").select("resource_id", "target_id")
 
 
 @register("sup_anchor_stream", f"{_with(SENTENCES, TARGETS_SQL)} SELECT resource_id, count(*) AS n FROM sentences WHERE len(list_intersect({_TOK}, (SELECT list(DISTINCT t) FROM (SELECT unnest(string_split(pattern, ' ')) AS t FROM patterns)))) > 0 GROUP BY 1")
