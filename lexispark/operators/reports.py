@@ -28,6 +28,17 @@ def partitions_to_scan(partitions: DataFrame, inventory: DataFrame, wanted: Data
     return partitions.join(found, "resource_id", "left").select("resource_id", F.coalesce("may_match", F.lit(True)).alias("may_match"))
 
 
+def scan_partitions(rows: DataFrame, inventory: DataFrame, wanted: DataFrame, without: DataFrame | None = None, partition: str = "resource_id") -> DataFrame:
+    """rows, a table stored by partition, of the partitions whose inventory has a wanted token; `without`: partitions that have no inventory, which are scanned as well.
+
+    The partitions come from a join, a row for each at most, and reach the scan at run time: Spark then reads their folders only.
+    """
+    hits = inventory.join(wanted.select("token").distinct(), "token", "left_semi").groupBy(partition).agg(F.count("*").alias("tokens")).filter("tokens > 0").select(partition)
+    if without is not None:
+        hits = hits.unionByName(without.select(partition))
+    return rows.join(F.broadcast(hits), partition, "left_semi")
+
+
 def anchor_partitions(patterns: DataFrame, inventory: DataFrame) -> DataFrame:
     """Number of partitions that have each anchor token."""
     anchors = patterns.select("anchor").distinct()

@@ -182,7 +182,7 @@ def search_phrase(spark: SparkSession, path: str, phrase: list[str], buckets: in
             doc, sentence, at = (np.concatenate(x) for x in zip(*found[token]))
             own = np.empty(len(doc), [("doc", np.int64), ("sentence", np.int64), ("at", np.int64)])
             own["doc"], own["sentence"], own["at"] = doc, sentence, at - i
-            starts = own if starts is None else np.intersect1d(starts, own)
+            starts = np.unique(own) if starts is None else np.intersect1d(starts, own)
         none = np.empty(0, np.int64)
         doc, sentence, hits = none, none, none
         if starts is not None and len(starts):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of this package that register queries.
-MODULES: tuple[str, ...] = ("plans.corpus", "plans.lexicon", "plans.lookups", "plans.files", "plans.audit", "plans.store", "plans.exports", "plans.commands")
+MODULES: tuple[str, ...] = ("plans.corpus", "plans.lexicon", "plans.lookups", "plans.files", "plans.audit", "plans.store", "plans.exports", "plans.commands", "plans.scans")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
