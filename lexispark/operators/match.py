@@ -7,6 +7,7 @@ phrases have, with the table of phrases; where that table may go to every task,
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
+from ..cluster import new_path
 from ..functions import text as T
 
-#: Bytes of patterns up to which the table is sent to every task, and what a row of it takes besides its text.
-BROADCAST_BYTES, PATTERN_BYTES = 128_000_000, 100
+#: Bytes of patterns up to which the table is sent to every task, and what a row of it takes besides its text: a string and its nodes in the tree, and a row of a hash table.
+BROADCAST_BYTES, PATTERN_BYTES = 128_000_000, 300
 CLITICS = ("e", "i", "më", "me", "na", "ju", "u", "ia", "ua")
 CONTRACTED = ("ta", "t i", "t ia", "t ua", "t u")
 PARTICLES = ("nuk", "mos", "të", "te", "do", "s")
@@ -142,8 +144,8 @@ def phrase_match(rows: DataFrame, patterns: DataFrame, norm: str = "norm") -> Da
 
     Overlaps and repeats count; a phrase of several targets gives a row for each. The bytes of the patterns are counted
     first. Up to BROADCAST_BYTES their texts go to every task as a tree of tokens, which numpy looks up for Arrow batches of
-    rows: an exact match, without an n-gram for each place, and no shuffle. Beyond, slices are shuffled to the patterns
-    without their text, as two hashes of it, and what matches comes back to the rows.
+    rows: an exact match, without an n-gram for each place, and no shuffle. Beyond, slices around rare tokens are shuffled to
+    the patterns as hashes, and what matches comes back to the rows and is compared.
     """
     found = matched_rows(rows, patterns, norm)
     if found is None:
@@ -163,14 +165,139 @@ def matched_rows(rows: DataFrame, patterns: DataFrame, norm: str = "norm") -> Da
     return rows.mapInArrow(_search(spark.sparkContext.broadcast(trie), rows.columns.index(norm)), schema)
 
 
+# --- patterns too many for every task -----------------------------------------------------------------------------------
+
+#: Bits of the filter of anchors that goes to every task: 8 MB at most, whatever the patterns.
+FILTER_BITS = 1 << 26
+#: A token that makes up more than one in so many of all is frequent.
+FREQUENT = 2000
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(29))
+
+
+def _token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, which one space keeps apart, and where each text's begin (with the end of all)."""
+    split = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    offsets, flat = split.offsets.to_numpy().astype(np.int64), split.flatten().dictionary_encode()
+    own = np.array([int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little") for t in flat.dictionary.to_pylist()], np.uint64)
+    return own[flat.indices.to_numpy()] if len(own) else np.empty(0, np.uint64), offsets - offsets[0]
+
+
+def _gram_hashes(tokens: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n tokens from each start on."""
+    out = np.full(len(starts), n, np.uint64)
+    for k in range(n):
+        out = _mixed(out * np.uint64(_ODD[0]) + tokens[starts + k] * np.uint64(_ODD[1]))
+    return out
+
+
+_ANCHORED = "pattern string, n int, place int, slot long, gram long, anchor string"
+
+
+def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Patterns (pattern, place of its anchor) with the hashes that rows are asked for."""
+    for b in batches:
+        tokens, offsets = _token_hashes(b.column(0))
+        n, place = np.diff(offsets), b.column(1).to_numpy().astype(np.int64)
+        gram = np.zeros(b.num_rows, np.uint64)
+        for size in np.unique(n).tolist():
+            gram[n == size] = _gram_hashes(tokens, offsets[:-1][n == size], size)
+        slot = tokens[offsets[:-1] + place] % np.uint64(FILTER_BITS)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int32)), b.column(1), pa.array(slot.view(np.int64)), pa.array(gram.view(np.int64)), b.column(2)], names=[x.split(" ")[0] for x in _ANCHORED.split(", ")])
+
+
+def anchored_patterns(rows: DataFrame, patterns: DataFrame, norm: str = "norm") -> DataFrame:
+    """Distinct patterns with their anchor, the token that rows have least often (ties: the smallest), its place and its count, and hashes."""
+    spelled = patterns.select("pattern").distinct().select("pattern", F.posexplode(F.split("pattern", " ")).alias("place", "token"))
+    counts = rows.select(F.explode(F.split(norm, " ")).alias("token")).join(spelled.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("held"))
+    rated = spelled.join(counts, "token", "left").withColumn("held", F.coalesce("held", F.lit(0).cast("long")))
+    least = rated.groupBy("pattern").agg(F.min(F.struct("held", "token", "place")).alias("a"))
+    hashed = least.select("pattern", F.col("a.place").alias("place"), F.col("a.token").alias("anchor")).mapInArrow(_anchored, _ANCHORED)
+    return hashed.join(least.select("pattern", F.col("a.held").alias("held")), "pattern")
+
+
+def _filter_of(slots: DataFrame) -> np.ndarray:
+    """The bits of the anchors, put together from the words that are not 0."""
+    words = slots.select(F.expr("slot div 64").alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    table = words.toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[table.column("word").to_numpy()] = table.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+_GRAMS = "a long, b long, start int, gram long, n int"
+
+
+def _grams(bits: Broadcast, shapes: list[tuple[int, int]]):
+    """Hashes of the slices around anchors: no other slice is made. Takes rows of a, b and the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens, offsets = _token_hashes(b.column(2))
+            slot = tokens % np.uint64(FILTER_BITS)
+            at = np.flatnonzero(bits.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
+            row = np.searchsorted(offsets, at, "right") - 1
+            found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), 0)]
+            for n, place in shapes:
+                start = at - place
+                ok = (start >= offsets[row]) & (start + n <= offsets[row + 1])
+                found.append((row[ok], start[ok], _gram_hashes(tokens, start[ok], n), n))
+            rows, starts, grams = (np.concatenate(x) for x in list(zip(*found))[:3])
+            sizes = np.concatenate([np.full(len(f[0]), f[3], np.int32) for f in found])
+            take = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array((starts - offsets[rows]).astype(np.int32)), pa.array(grams.view(np.int64)), pa.array(sizes)], names=[x.split(" ")[0] for x in _GRAMS.split(", ")])
+
+    return run
+
+
+def _found(rows: DataFrame, ready: DataFrame, norm: str, salts: int) -> DataFrame:
+    """Texts of rows, as two hashes (__a, __b), with start, n and pattern of slices whose hash a pattern has."""
+    shapes = sorted((r["n"], r["place"]) for r in ready.select("n", "place").distinct().collect())
+    bits = rows.sparkSession.sparkContext.broadcast(_filter_of(ready.select("slot").distinct()))
+    texts = rows.select(F.xxhash64(norm).alias("a"), F.xxhash64(F.lit(1), norm).alias("b"), norm)
+    slices, asked = texts.mapInArrow(_grams(bits, shapes), _GRAMS), ready.select("gram", "n", "pattern")
+    on = ["gram", "n"]
+    if salts > 1:
+        slices = slices.withColumn("salt", F.pmod(F.xxhash64("a", "b", "start"), F.lit(salts)).cast("int"))
+        asked, on = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*on, "salt"]
+    return slices.join(asked, on).select(F.col("a").alias("__a"), F.col("b").alias("__b"), "start", "n", "pattern").distinct()
+
+
 def _by_shuffle(rows: DataFrame, patterns: DataFrame, norm: str) -> DataFrame:
-    lengths = sorted(r["n"] for r in patterns.select(F.size(F.split("pattern", " ")).alias("n")).distinct().collect())
-    tokens = rows.withColumn("__t", F.split(norm, " "))
-    gram = [F.col("__g.end").alias("end"), F.col("__g.gram").alias("pattern")]
-    hashes = {"__a": F.xxhash64(norm), "__b": F.xxhash64(F.lit(1), norm)}
-    slices = tokens.withColumns(hashes).select("__a", "__b", F.explode(ngrams("__t", lengths)).alias("__g")).select("__a", "__b", *gram)
-    found = slices.join(patterns, "pattern").distinct()  # rows of one text have the same matches
-    return rows.withColumns(hashes).join(found, ["__a", "__b"]).drop("__a", "__b")
+    """Each pattern stands at its anchor, its rarest token: a filter of anchors goes to every task, and only slices around a
+    token that passes it are made, as hashes, and shuffled to the patterns; rows get back what was found for their text, and
+    the slice is compared with the pattern there.
+
+    A pattern of frequent tokens alone, like "of the", would draw a large part of all slices to one task. Such patterns go to
+    every task as a tree where they are few; else their slices are dealt over as many salts as the most frequent anchor needs.
+    """
+    path = new_path(rows.sparkSession, "anchored")
+    anchored_patterns(rows, patterns, norm).write.parquet(path)
+    ready = rows.sparkSession.read.parquet(path)
+    total = max(1, rows.agg(F.sum(F.size(F.split(norm, " ")))).first()[0] or 0)
+    frequent = F.col("held") * FREQUENT > total
+    size = ready.groupBy(frequent.alias("frequent")).agg(F.count("*").alias("rows"), F.sum(F.octet_length("pattern")).alias("bytes"), F.max("held").alias("held")).collect()
+    out, found = [], []
+    for part in size:
+        own = ready.filter(frequent == part["frequent"])
+        few = patterns.join(own.select("pattern"), "pattern", "left_semi")
+        matched = matched_rows(rows, few, norm) if part["frequent"] and part["bytes"] + PATTERN_BYTES * part["rows"] <= BROADCAST_BYTES else None
+        if matched is not None:
+            out.append(matched.select(*rows.columns, F.explode("__m").alias("__m")).select(*rows.columns, "__m.*").join(F.broadcast(few), "pattern"))
+        else:
+            found.append(_found(rows, own, norm, -(-part["held"] * FREQUENT // total) if part["frequent"] else 1))
+    if found:
+        met = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        back = rows.withColumns({"__a": F.xxhash64(norm), "__b": F.xxhash64(F.lit(1), norm)}).join(met, ["__a", "__b"])
+        back = back.filter(F.array_join(F.slice(F.split(norm, " "), F.col("start") + 1, F.col("n")), " ") == F.col("pattern"))
+        out.append(back.select(*rows.columns, (F.col("start") + F.col("n")).alias("end"), "pattern").join(patterns, "pattern"))
+    if not out:
+        return rows.withColumn("end", F.lit(0)).join(patterns, F.lit(False))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
 def apostrophe_guard(kind: Column, sentence: Column) -> Column:

@@ -47,8 +47,39 @@ def test_matcher_by_shuffle(spark, monkeypatch):
     key = ["target_id", "variant_kind", "pattern", "resource_id", "doc_id", "position", "end", "sentence"]
     want = M.phrase_match(rows, patterns).groupBy(*key).count().collect()
     monkeypatch.setattr(M, "BROADCAST_BYTES", 0)
+    for frequent in (2000, 1):  # most tokens are frequent, and their slices salted; or none is
+        monkeypatch.setattr(M, "FREQUENT", frequent)
+        found = M.phrase_match(rows, patterns)
+        assert sorted(map(str, found.groupBy(*key).count().collect())) == sorted(map(str, want)) and len(want) > 100
+    monkeypatch.setattr(M, "BROADCAST_BYTES", 3000)  # only the few patterns of frequent tokens go to every task
+    monkeypatch.setattr(M, "FREQUENT", 50)
     found = M.phrase_match(rows, patterns)
-    assert sorted(map(str, found.groupBy(*key).count().collect())) == sorted(map(str, want)) and len(want) > 100
+    assert sorted(map(str, found.groupBy(*key).count().collect())) == sorted(map(str, want))
+    assert M.phrase_match(rows, patterns.limit(0)).count() == 0 and M._by_shuffle(rows.limit(0), patterns, "norm").count() == 0 and M._by_shuffle(rows, patterns.limit(0), "norm").count() == 0
+
+
+def test_anchors_are_rare_and_slices_few(spark, monkeypatch):
+    """Many patterns, "the" and its pairs among them: equal to the tree's matches; a pattern stands at its rarest token."""
+    from pyspark.sql import functions as F
+
+    from lexispark.operators import match as M
+    from lexispark.plans import corpus as C
+
+    rows = C.scanned(spark, SF).select("doc_id", "position", "norm")
+    grams = rows.withColumn("t", F.split("norm", " ")).select(F.explode(M.ngrams("t", [1, 2, 3, 4])).alias("g")).select(F.col("g.gram").alias("pattern")).distinct()
+    patterns = grams.filter(F.pmod(F.xxhash64("pattern"), F.lit(5)) == 0).unionByName(spark.createDataFrame([("the",), ("of the",), ("the the",)], "pattern string")).distinct()
+    patterns = patterns.cache()
+    ready = {r["pattern"]: r for r in M.anchored_patterns(rows, patterns).collect()}
+    counts = {r["token"]: r["count"] for r in rows.select(F.explode(F.split("norm", " ")).alias("token")).groupBy("token").count().collect()}
+    assert len(ready) == patterns.count() > 3000
+    for p, r in ready.items():
+        words = p.split(" ")
+        assert r["held"] == counts[r["anchor"]] == min(counts[w] for w in words) and words[r["place"]] == r["anchor"] and r["n"] == len(words)
+    want = M.phrase_match(rows, patterns).groupBy("pattern", "doc_id", "position", "end").count().collect()
+    monkeypatch.setattr(M, "BROADCAST_BYTES", 9000)
+    assert M.matched_rows(rows, patterns) is None
+    found = M.phrase_match(rows, patterns).groupBy("pattern", "doc_id", "position", "end").count().collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, want))
 
 
 def test_matcher_literals(spark):
