@@ -1,4 +1,4 @@
-"""Registered queries over audited targets: every declarative finite form of the lexicon, with evidence that a digest of its name decides."""
+"""Registered queries over audited targets: every declarative finite form of the lexicon, with the evidence that sentences of documents give. What an analyzer or a reviewer would say is decided by a digest of its name."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import morphology as M
 from ..functions import text as T
 from ..operators import audit as A
+from ..operators import match as MA
 from ..registry import register
+from .corpus import _KEEP, FLAGS, MATCHES, SENTENCES, rows, stored
 from .lexicon import _PARADIGM, forms, lexicon
 
 #: Least total of a cell or lemma whose rate counts: the lexicon here is small.
@@ -19,24 +21,44 @@ def _digit(k: int, below: str):
     return F.substring("digest", k, 1) < below
 
 
-def targets(spark: SparkSession) -> DataFrame:
-    t = forms(spark).filter("modality = 'declarative' AND form IS NOT NULL").withColumnRenamed("form", "surface")
+def evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """target_key, raw (places where sentences have it), kept (those in sentences that the quality rules keep), of the keys that occur."""
+
+    def counted() -> DataFrame:
+        keys = forms(spark, sf).filter("modality = 'declarative' AND form IS NOT NULL").select(F.array_join(T.search_tokens(F.col("form")), " ").alias("pattern")).distinct()
+        keep = T.keep_sentence(T.quality_flags(F.col("sentence"), F.col("norm"), F.col("quality"))).alias("keep")
+        found = MA.phrase_match(rows(spark, sf).select("norm", keep), keys)
+        return found.groupBy(F.col("pattern").alias("target_key")).agg(F.count("*").alias("raw"), F.count_if("keep").alias("kept"))
+
+    return stored(spark, sf, "form evidence", counted)
+
+
+def targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Audited targets with their evidence, stored for the reports that share them."""
+    return stored(spark, sf, "audit targets", lambda: _targets(spark, sf))
+
+
+def _targets(spark: SparkSession, sf: str) -> DataFrame:
+    t = forms(spark, sf).filter("modality = 'declarative' AND form IS NOT NULL").withColumnRenamed("form", "surface")
     t = t.withColumn("tokens", T.search_tokens(F.col("surface"))).withColumn("target_key", F.array_join("tokens", " "))
     t = t.withColumn("target_id", F.concat_ws(":", "verb_id", "mood", "tense", "cell", "voice", "polarity"))
-    t = t.withColumn("digest", F.md5("target_id")).withColumn("hit", _digit(1, "5"))
+    t = t.withColumn("digest", F.md5("target_id")).join(evidence(spark, sf), "target_key", "left").withColumn("hit", F.coalesce("kept", F.lit(0)) > 0)
     t = t.withColumn("form", F.when(_digit(2, "3"), "analyzer_accepted").when(_digit(2, "5"), "component_supported").when(_digit(2, "6"), "analyzer_lemma_alias").when(_digit(2, "a"), "not_validated"))
-    status = F.when(_digit(5, "8"), "raw_zero").when(_digit(5, "c"), "emitted").otherwise("quality_rejected")
+    status = F.when(F.col("raw").isNull(), "raw_zero").when(F.col("hit"), "emitted").otherwise("quality_rejected")
     primary = F.when(_digit(6, "3"), "needs_middle_passive_attestation").when(_digit(6, "6"), "component_valid_phrase_absence").when(_digit(6, "9"), "near_empty_cell").when(_digit(6, "c"), "lemma_outlier").otherwise("rare_or_analytic_cell")
     action = F.when(_digit(7, "5"), "review_lemma_status").when(_digit(7, "b"), "review_component_supported_phrase").otherwise("none")
-    return t.withColumns({"scope": F.lit("head-token-only"), "trace_status": status, "primary": primary, "action": action})
+    return t.withColumns({"scope": F.lit("head-token-only"), "trace_status": status, "primary": primary, "action": action}).drop("raw", "kept")
 
 
 _AUD = rf"""aud0 AS (SELECT *, list_transform(regexp_extract_all(form, '\p{{L}}+'), lambda w: lower(w)) AS tokens, concat_ws(':', verb_id, mood, tense, cell, voice, polarity) AS target_id FROM forms WHERE modality = 'declarative' AND form IS NOT NULL),
     aud1 AS (SELECT * EXCLUDE (form), form AS surface, array_to_string(tokens, ' ') AS target_key, md5(target_id) AS h FROM aud0),
-    aud AS (SELECT *, h[1] < '5' AS hit, CASE WHEN h[2] < '3' THEN 'analyzer_accepted' WHEN h[2] < '5' THEN 'component_supported' WHEN h[2] < '6' THEN 'analyzer_lemma_alias' WHEN h[2] < 'a' THEN 'not_validated' END AS form,
-        CASE WHEN h[5] < '8' THEN 'raw_zero' WHEN h[5] < 'c' THEN 'emitted' ELSE 'quality_rejected' END AS trace_status,
+    keys AS MATERIALIZED (SELECT DISTINCT target_key AS pattern FROM aud1), {SENTENCES}, {MATCHES.replace("patterns", "keys").replace("matches AS (", "matches AS MATERIALIZED (")},
+    judged AS MATERIALIZED (SELECT norm, quality, sentence, {_KEEP} AS keep FROM (SELECT *, {FLAGS} AS flags FROM (SELECT DISTINCT norm, quality, sentence FROM matches))),
+    evidence AS MATERIALIZED (SELECT pattern AS target_key, count(*) AS raw, count(*) FILTER (keep) AS kept FROM matches m JOIN judged j ON m.norm = j.norm AND m.sentence = j.sentence AND m.quality IS NOT DISTINCT FROM j.quality GROUP BY 1),
+    aud AS (SELECT aud1.*, coalesce(kept, 0) > 0 AS hit, CASE WHEN h[2] < '3' THEN 'analyzer_accepted' WHEN h[2] < '5' THEN 'component_supported' WHEN h[2] < '6' THEN 'analyzer_lemma_alias' WHEN h[2] < 'a' THEN 'not_validated' END AS form,
+        CASE WHEN raw IS NULL THEN 'raw_zero' WHEN kept > 0 THEN 'emitted' ELSE 'quality_rejected' END AS trace_status,
         CASE WHEN h[6] < '3' THEN 'needs_middle_passive_attestation' WHEN h[6] < '6' THEN 'component_valid_phrase_absence' WHEN h[6] < '9' THEN 'near_empty_cell' WHEN h[6] < 'c' THEN 'lemma_outlier' ELSE 'rare_or_analytic_cell' END AS "primary",
-        CASE WHEN h[7] < '5' THEN 'review_lemma_status' WHEN h[7] < 'b' THEN 'review_component_supported_phrase' ELSE 'none' END AS action FROM aud1)"""
+        CASE WHEN h[7] < '5' THEN 'review_lemma_status' WHEN h[7] < 'b' THEN 'review_component_supported_phrase' ELSE 'none' END AS action FROM aud1 LEFT JOIN evidence USING (target_key))"""
 _W = f"WITH {_PARADIGM}, {_AUD}"
 _FOLD = "translate(target_key, 'ëç', 'ec')"
 _LISTED = lambda *items: "list_filter([" + ", ".join(items) + "], lambda x: x IS NOT NULL)"
@@ -47,7 +69,7 @@ _IF = lambda test, value: f"CASE WHEN {test} THEN {value} END"
     _IF("tokens[1] = 'mos' AND tokens[2] = 'të'", "'te_mos_order=' || array_to_string(list_concat(['të', 'mos'], tokens[3:]), ' ')"),
     _IF("tokens[1] = 'nuk' AND len(tokens) > 1", "'s_negative=' || array_to_string(list_concat(['s'], tokens[2:]), ' ')"), _IF(f"{_FOLD} <> target_key", f"'diacritic_fold=' || {_FOLD}"))}, '|') AS probes FROM aud""")
 def _(spark, sf):
-    return targets(spark).select("target_id", F.array_join(F.transform(A.variant_probes(), lambda p: F.concat_ws("=", p["kind"], p["alternant"])), "|").alias("probes"))
+    return targets(spark, sf).select("target_id", F.array_join(F.transform(A.variant_probes(), lambda p: F.concat_ws("=", p["kind"], p["alternant"])), "|").alias("probes"))
 
 
 def _labels(recorded: bool) -> str:
@@ -74,13 +96,13 @@ _STATS = """st AS (SELECT *, count(*) OVER c AS cell_total, count(*) FILTER (hit
 
 @register("fn_label_miss", f"{_W}, {_STATS} SELECT target_id, array_to_string({_labels(True)}, ',') AS labels, array_to_string({_labels(False)}, ',') AS unrecorded FROM st WHERE NOT hit")
 def _(spark, sf):
-    t = A.with_stats(targets(spark)).filter("NOT hit")
+    t = A.with_stats(targets(spark, sf)).filter("NOT hit")
     return t.select("target_id", F.array_join(A.label_miss(True, LEAST), ",").alias("labels"), F.array_join(A.label_miss(False, LEAST), ",").alias("unrecorded"))
 
 
 @register("prj_miss", f"{_W}, {_STATS} SELECT target_id, lemma, target_key, \"primary\", trace_status, form AS morphology, cell_total, cell_hit, lemma_total, lemma_hit, surface_total, ({_labels(True)})[1] AS first_label FROM st WHERE NOT hit")
 def _(spark, sf):
-    t = A.with_stats(targets(spark)).filter("NOT hit")
+    t = A.with_stats(targets(spark, sf)).filter("NOT hit")
     return t.select("target_id", "lemma", "target_key", "primary", "trace_status", F.col("form").alias("morphology"), "cell_total", "cell_hit", "lemma_total", "lemma_hit", "surface_total", F.get(A.label_miss(True, LEAST), 0).alias("first_label"))
 
 
@@ -91,7 +113,7 @@ _EXPECTED = _LISTED("'V'", _MOOD, _TENSE, "person::VARCHAR", "right(cell, 2)", "
 
 @register("fn_expected_tags", f"{_W} SELECT target_id, array_to_string({_EXPECTED}, '.') AS tags FROM aud")
 def _(spark, sf):
-    return targets(spark).select("target_id", F.array_join(A.expected_tags(), ".").alias("tags"))
+    return targets(spark, sf).select("target_id", F.array_join(A.expected_tags(), ".").alias("tags"))
 
 
 _ANALYTIC = "(tense IN ('perfect', 'pluperfect', 'past-anterior', 'future', 'future-perfect', 'future-in-past', 'future-perfect-in-past') OR mood = 'conditional')"
@@ -99,15 +121,15 @@ _ANALYTIC = "(tense IN ('perfect', 'pluperfect', 'past-anterior', 'future', 'fut
 
 @register("fn_anc_tags", f"{_W} SELECT target_id, CASE WHEN {_ANALYTIC} THEN 'V ptcp' ELSE array_to_string({_LISTED(repr('V'), _MOOD, _IF('length(' + _TENSE + ') <= 4 AND tense IN (' + repr('present') + ', ' + repr('imperfect') + ', ' + repr('aorist') + ')', _TENSE), 'person::VARCHAR', 'right(cell, 2)', 'CASE voice WHEN ' + repr('active') + ' THEN ' + repr('act') + ' ELSE ' + repr('pass') + ' END')}, ' ') END AS query FROM aud")
 def _(spark, sf):
-    return targets(spark).select("target_id", F.array_join(A.tag_query(), " ").alias("query"))
+    return targets(spark, sf).select("target_id", F.array_join(A.tag_query(), " ").alias("query"))
 
 
 #: Two analyses of each target: one of its own lemma that lacks the voice where the digest says so, one of another lemma.
 _ANALYSES_SQL = f"""an AS (SELECT *, {_EXPECTED} AS expected, CASE WHEN h[3] < '4' THEN NULL WHEN h[3] < '6' THEN [] ELSE [{{'lemma': upper(lemma), 'tags': CASE WHEN h[3] < 'b' THEN {_EXPECTED} ELSE list_filter({_EXPECTED}, lambda t: t NOT IN ('act', 'pass')) END}}, {{'lemma': 'tjetër', 'tags': ['V']}}] END AS analyses FROM aud)"""
 
 
-def _analysed(spark: SparkSession) -> DataFrame:
-    t, e = targets(spark), A.expected_tags()
+def _analysed(spark: SparkSession, sf: str) -> DataFrame:
+    t, e = targets(spark, sf), A.expected_tags()
     one = lambda lemma, tags: F.struct(lemma.alias("lemma"), tags.alias("tags"))
     two = F.array(one(F.upper("lemma"), F.when(_digit(3, "b"), e).otherwise(F.array_except(e, F.array(F.lit("act"), F.lit("pass"))))), one(F.lit("tjetër"), F.array(F.lit("V"))))
     t = t.withColumn("analyses", F.when(_digit(3, "4"), None).when(_digit(3, "6"), F.slice(two, 1, 0)).otherwise(two))
@@ -120,14 +142,14 @@ _STATUS = "CASE WHEN analyses IS NULL THEN 'not_provided' WHEN len(analyses) = 0
 @register("fn_analyzer_match", f"{_W}, {_ANALYSES_SQL} SELECT target_id, {_STATUS} AS status, CASE WHEN len(analyses) > 0 THEN len(list_filter(expected, lambda t: NOT list_contains(analyses[1].tags, t))) END AS missing, CASE WHEN len(analyses) > 0 THEN array_to_string(list_filter(expected, lambda t: t <> 'V'), '.') END AS missing_of_other FROM an")
 def _(spark, sf):
     m = F.col("matches")
-    return _analysed(spark).select("target_id", "status", F.when(F.size(m) > 0, F.size(F.get(m, 0)["missing"]).cast("long")).alias("missing"), F.when(F.size(m) > 0, F.array_join(F.get(m, 1)["missing"], ".")).alias("missing_of_other"))
+    return _analysed(spark, sf).select("target_id", "status", F.when(F.size(m) > 0, F.size(F.get(m, 0)["missing"]).cast("long")).alias("missing"), F.when(F.size(m) > 0, F.array_join(F.get(m, 1)["missing"], ".")).alias("missing_of_other"))
 
 
 @register("agg_analyzer_by_verb", f"{_W}, {_ANALYSES_SQL}, s AS (SELECT *, {_STATUS} AS status FROM an), r AS (SELECT *, row_number() OVER (PARTITION BY verb_id, status ORDER BY target_id) AS rn FROM s) SELECT verb_id, status, count(*) AS n, string_agg(target_id, '|' ORDER BY target_id) FILTER (rn <= 2) AS samples FROM r GROUP BY 1, 2")
 def _(spark, sf):
     from ..operators import reports as R
 
-    s = _analysed(spark)
+    s = _analysed(spark, sf)
     few = R.first_of(s, ["verb_id", "status"], ["target_id"], 2).groupBy("verb_id", "status").agg(F.array_join(F.sort_array(F.collect_list("target_id")), "|").alias("samples"))
     return s.groupBy("verb_id", "status").agg(F.count("*").alias("n")).join(few, ["verb_id", "status"])
 
@@ -135,7 +157,7 @@ def _(spark, sf):
 @register("fn_lemma_alias", f"WITH {_PARADIGM}, p AS (SELECT *, list_distinct([translate(lower(present), 'ëç', 'ec'), translate(lower(aorist), 'ëç', 'ec'), translate(lower(participle), 'ëç', 'ec')]) AS parts FROM lexicon) SELECT verb_id, array_to_string(list_filter(list_filter(['PUNUAR', 'hapur', lemma, 'dhash'], lambda x: list_contains(parts, translate(lower(x), 'ëç', 'ec'))), lambda x: translate(lower(x), 'ëç', 'ec') NOT IN (translate(lower(verb_id), 'ëç', 'ec'), translate(lower(lemma), 'ëç', 'ec'))), ',') AS aliases FROM p")
 def _(spark, sf):
     found = F.array(F.lit("PUNUAR"), F.lit("hapur"), F.col("lemma"), F.lit("dhash"))
-    return lexicon(spark).select("verb_id", F.array_join(A.lemma_aliases(F.array("present", "aorist", "participle"), found), ",").alias("aliases"))
+    return lexicon(spark, sf).select("verb_id", F.array_join(A.lemma_aliases(F.array("present", "aorist", "participle"), found), ",").alias("aliases"))
 
 
 _MP = "overrides[mood || '.' || tense || '.middle-passive/' || cell]"
@@ -143,14 +165,14 @@ _OWN = "regexp_replace(overrides[mood || '.' || tense || '/' || cell], '^të ',
 _BACKED = f"voice = 'middle-passive' AND verb_id <> 'jap' AND (coalesce({_MP} = regexp_replace(target_key, '^nuk ', ''), false) OR coalesce(regexp_replace(target_key, '^nuk ', '') = 'u ' || {_OWN}, false))"
 
 
-def _sourced(spark: SparkSession) -> DataFrame:
+def _sourced(spark: SparkSession, sf: str) -> DataFrame:
     sources = F.when(F.col("verb_id") == "jap", F.array(F.lit("manual"))).otherwise(F.array(F.lit("kaikki"), F.lit("husic")))
-    return targets(spark).join(lexicon(spark).select("verb_id", "overrides", "no_middle_passive"), "verb_id").withColumn("sources", sources)
+    return targets(spark, sf).join(lexicon(spark, sf).select("verb_id", "overrides", "no_middle_passive"), "verb_id").withColumn("sources", sources)
 
 
 @register("fn_u_marker_backed", f"{_W} SELECT target_id, {_BACKED} AS backed FROM aud JOIN lexicon USING (verb_id)")
 def _(spark, sf):
-    return _sourced(spark).select("target_id", F.coalesce(A.u_marker_backed(F.col("sources"), F.col("overrides")), F.lit(False)).alias("backed"))
+    return _sourced(spark, sf).select("target_id", F.coalesce(A.u_marker_backed(F.col("sources"), F.col("overrides")), F.lit(False)).alias("backed"))
 
 
 _VOICED = f"""vo AS (SELECT a.*, l.no_middle_passive, {_BACKED.replace('verb_id', 'a.verb_id')} AS u_marker, a.form = 'analyzer_accepted' AND a.form IS NOT NULL AS accepted, coalesce(a.form = 'component_supported', false) AS component, h[8] < 'b' AS lexeme_found,
@@ -160,11 +182,11 @@ _VOICED = f"""vo AS (SELECT a.*, l.no_middle_passive, {_BACKED.replace('verb_id'
         CASE WHEN h[12] < '8' THEN 'not_provided' ELSE 'none' END AS lexeme_kind FROM aud a JOIN lexicon l USING (verb_id))"""
 
 
-def _voiced(spark: SparkSession) -> DataFrame:
+def _voiced(spark: SparkSession, sf: str) -> DataFrame:
     words = lambda *xs: F.array(*map(F.lit, xs)).cast("array<string>")
     either = lambda test, *xs: F.when(test, words(*xs)).otherwise(words())
     verb = F.col("verb_id")
-    t = _sourced(spark).withColumn("u_marker", F.coalesce(A.u_marker_backed(F.col("sources"), F.col("overrides")), F.lit(False)))
+    t = _sourced(spark, sf).withColumn("u_marker", F.coalesce(A.u_marker_backed(F.col("sources"), F.col("overrides")), F.lit(False)))
     return t.withColumns({
         "accepted": F.coalesce(F.col("form") == "analyzer_accepted", F.lit(False)), "component": F.coalesce(F.col("form") == "component_supported", F.lit(False)), "lexeme_found": _digit(8, "b"),
         "lexeme_tags": F.when(~_digit(8, "b"), words()).when(_digit(9, "3"), words("V", "med")).when(_digit(9, "7"), words("V", "vi")).when(_digit(9, "b"), words("V", "vi", "vt")).otherwise(words("V", "vt")),
@@ -200,39 +222,39 @@ _VERDICT = f"""ve AS (SELECT *, {_chain(1, "CASE WHEN accepted THEN 'analyzer_ac
     {_chain(4, "'none'", "CASE WHEN mp_miss_rate >= 0.75 THEN 'review_with_external_analyzer' ELSE 'none' END")} AS verdict_action, array_to_string({_REASONS}, ';') AS reasons FROM vo)"""
 
 
-def _verdicts(spark: SparkSession) -> DataFrame:
-    v = _voiced(spark).withColumn("v", A.classify_voice())
+def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    v = _voiced(spark, sf).withColumn("v", A.classify_voice())
     return v.select("target_id", "verb_id", "lemma", "target_key", "voice", F.col("v.verdict.form").alias("verdict_form"), F.col("v.verdict.eligibility").alias("eligibility"), F.col("v.verdict.proof").alias("proof"), F.col("v.verdict.action").alias("verdict_action"), F.array_join("v.reasons", ";").alias("reasons"))
 
 
 @register("fn_classify_voice", f"{_W}, {_VOICED}, {_VERDICT} SELECT target_id, verdict_form, eligibility, proof, verdict_action, reasons FROM ve")
 def _(spark, sf):
-    return _verdicts(spark).select("target_id", "verdict_form", "eligibility", "proof", "verdict_action", "reasons")
+    return _verdicts(spark, sf).select("target_id", "verdict_form", "eligibility", "proof", "verdict_action", "reasons")
 
 
 @register("agg_morph_counts", f"{_W}, {_VOICED}, {_VERDICT}, u AS (UNPIVOT (SELECT verdict_form, eligibility, proof, verdict_action, voice FROM ve) ON verdict_form, eligibility, proof, verdict_action, voice INTO NAME dimension VALUE key) SELECT dimension, key, count(*) AS n FROM u GROUP BY 1, 2")
 def _(spark, sf):
     from ..operators import reports as R
 
-    return R.histograms(_verdicts(spark), "verdict_form", "eligibility", "proof", "verdict_action", "voice")
+    return R.histograms(_verdicts(spark, sf), "verdict_form", "eligibility", "proof", "verdict_action", "voice")
 
 
 @register("agg_lemma_reviews", f"{_W}, {_VOICED}, {_VERDICT}, c AS (SELECT verb_id, eligibility, verdict_action, count(*) AS n FROM ve WHERE voice = 'middle-passive' GROUP BY ALL) SELECT verb_id, eligibility, verdict_action, n FROM (SELECT *, row_number() OVER (PARTITION BY verb_id ORDER BY n DESC, eligibility, verdict_action) AS rn FROM c) WHERE rn = 1")
 def _(spark, sf):
     from ..operators import reports as R
 
-    by = _verdicts(spark).filter("voice = 'middle-passive'").groupBy("verb_id", "eligibility", "verdict_action").agg(F.count("*").alias("n"))
+    by = _verdicts(spark, sf).filter("voice = 'middle-passive'").groupBy("verb_id", "eligibility", "verdict_action").agg(F.count("*").alias("n"))
     return R.first_of(by, ["verb_id"], [F.desc("n"), "eligibility", "verdict_action"]).select("verb_id", "eligibility", "verdict_action", "n")
 
 
 @register("sort_morph_targets", f"{_W} SELECT target_id FROM aud WHERE NOT hit ORDER BY voice <> 'middle-passive', lemma, target_key, target_id LIMIT 25")
 def _(spark, sf):
-    return targets(spark).filter("NOT hit").orderBy(F.col("voice") != "middle-passive", "lemma", "target_key", "target_id").limit(25).select("target_id")
+    return targets(spark, sf).filter("NOT hit").orderBy(F.col("voice") != "middle-passive", "lemma", "target_key", "target_id").limit(25).select("target_id")
 
 
 @register("agg_by_trace_status", f"{_W}, u AS (UNPIVOT (SELECT trace_status, mood, tense, voice, \"primary\" FROM aud WHERE NOT hit) ON mood, tense, voice, \"primary\" INTO NAME dimension VALUE key) SELECT trace_status, dimension, key, count(*) AS n FROM u GROUP BY 1, 2, 3")
 def _(spark, sf):
-    m = targets(spark).filter("NOT hit")
+    m = targets(spark, sf).filter("NOT hit")
     pairs = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("key")) for d in ("mood", "tense", "voice", "primary")))
     return m.select("trace_status", F.explode(pairs).alias("p")).groupBy("trace_status", "p.dimension", "p.key").agg(F.count("*").alias("n"))
 
@@ -247,13 +269,13 @@ _JI = "^(jam|je|është|jemi|jeni|janë|isha|ishe|ishte|ishim|ishit|ishin|qe(sh
         regexp_matches(surface, '(^|\s)u\s+\p{{L}}') OR regexp_matches(surface, '(^|[^\p{{L}}])\p{{L}}+(ohem|ohesh|ohet|ohemi|oheni|ohen|ohesha|oheshe|ohej|oheshim|oheshit|oheshin)($|[^\p{{L}}])') OR regexp_matches(surface, '^(jam|je|është|jemi|jeni|janë)\s+\p{{L}}') AS passive_like FROM m""")
 def _(spark, sf):
     c = F.col
-    return targets(spark).select("target_id", A.voice_shape(c("surface"), c("voice"), c("mood"), c("tense")).alias("matches"), A.passive_like(c("surface")).alias("passive_like"))
+    return targets(spark, sf).select("target_id", A.voice_shape(c("surface"), c("voice"), c("mood"), c("tense")).alias("matches"), A.passive_like(c("surface")).alias("passive_like"))
 
 
 @register("sup_kaikki_tags", f"""{_W} SELECT target_id, array_to_string({_LISTED("mood", "CASE WHEN mood = 'conditional' THEN CASE tense WHEN 'present' THEN 'imperfect' WHEN 'perfect' THEN 'past' END WHEN tense IN ('present', 'imperfect', 'aorist', 'perfect', 'future') THEN tense WHEN tense = 'pluperfect' THEN 'past' END",
     "CASE WHEN (mood = 'conditional' AND tense = 'perfect') OR (mood <> 'conditional' AND tense = 'pluperfect') THEN 'perfect' END", "CASE person WHEN 1 THEN 'first-person' WHEN 2 THEN 'second-person' WHEN 3 THEN 'third-person' END", "CASE WHEN cell LIKE '%sg' THEN 'singular' WHEN cell LIKE '%pl' THEN 'plural' END")}, '|') AS tags FROM aud""")
 def _(spark, sf):
-    return targets(spark).select("target_id", F.array_join(A.dictionary_tags(), "|").alias("tags"))
+    return targets(spark, sf).select("target_id", F.array_join(A.dictionary_tags(), "|").alias("tags"))
 
 
 _LEMMAS = (("punoj", 1), ("shkruaj", 1), ("laj", 1), ("hap", 2), ("pi", 3), ("x", 4), ("çoj", 1))
@@ -268,7 +290,7 @@ def _(spark, sf):
 @register("sup_scaffold", f"WITH {_PARADIGM} SELECT translate(lower(lemma), 'ëç', 'ec') AS id, lemma, CASE WHEN class = 1 THEN left(lemma, -2) || 'uar' WHEN class = 2 THEN lemma || 'ur' ELSE lemma || 'rë' END AS participle, 'https://en.wiktionary.org/wiki/' || lemma || '#Albanian' AS reference FROM lexicon WHERE NOT is_suppletive AND (class > 1 OR lemma LIKE '%oj')")
 def _(spark, sf):
     parts = A.derive_parts(F.col("lemma"), F.col("class"))
-    rows = lexicon(spark).filter("NOT is_suppletive").withColumn("p", parts).filter("p IS NOT NULL")
+    rows = lexicon(spark, sf).filter("NOT is_suppletive").withColumn("p", parts).filter("p IS NOT NULL")
     return rows.select(T.ascii_id(F.col("lemma")).alias("id"), "lemma", F.col("p.participle").alias("participle"), F.concat(F.lit("https://en.wiktionary.org/wiki/"), F.url_encode("lemma"), F.lit("#Albanian")).alias("reference"))
 
 
@@ -277,7 +299,7 @@ _CANDIDATE = "trace_status = 'raw_zero' AND len(tokens) > 1 AND (form = 'analyze
 
 @register("flt_stress_candidates", f"{_W} SELECT target_id FROM aud WHERE NOT hit AND {_CANDIDATE}")
 def _(spark, sf):
-    return targets(spark).filter("NOT hit").filter(A.stress_candidate()).select("target_id")
+    return targets(spark, sf).filter("NOT hit").filter(A.stress_candidate()).select("target_id")
 
 
 @register("sort_stress_priority", f"""{_W}, c AS (SELECT *, CASE WHEN tokens[1] = 'nuk' THEN 0 WHEN tokens[1] = 'mos' AND tokens[2] = 'të' THEN 1 WHEN list_contains(tokens, 'do') AND list_contains(tokens, 'të') THEN 2 ELSE 3 END AS shape,
@@ -285,71 +307,71 @@ def _(spark, sf):
         + CASE WHEN form = 'analyzer_accepted' THEN 0 ELSE 1 END AS weight FROM aud WHERE NOT hit AND {_CANDIDATE}) SELECT target_id, shape, weight FROM c ORDER BY shape, weight, target_key, target_id LIMIT 30""")
 def _(spark, sf):
     shape, weight = A.stress_priority(F.char_length(F.element_at("tokens", -1)))
-    c = targets(spark).filter("NOT hit").filter(A.stress_candidate()).select("target_id", "target_key", shape.alias("shape"), weight.alias("weight"))
+    c = targets(spark, sf).filter("NOT hit").filter(A.stress_candidate()).select("target_id", "target_key", shape.alias("shape"), weight.alias("weight"))
     return c.orderBy("shape", "weight", "target_key", "target_id").limit(30).select("target_id", "shape", "weight")
 
 
 @register("agg_worklist", f"""{_W}, w AS (SELECT *, CASE "primary" WHEN 'needs_middle_passive_attestation' THEN 'review_middle_passive_voice_eligibility' WHEN 'near_empty_cell' THEN 'review_near_empty_cells' WHEN 'lemma_outlier' THEN 'review_lemma_outliers' WHEN 'component_valid_phrase_absence' THEN 'review_component_valid_phrases' END AS worklist FROM aud WHERE NOT hit),
     r AS (SELECT *, row_number() OVER (PARTITION BY worklist ORDER BY target_key, target_id) AS rn FROM w WHERE worklist IS NOT NULL) SELECT worklist, count(*) AS targets, count(DISTINCT verb_id) AS lemmas, string_agg(target_key, '|' ORDER BY rn) FILTER (rn <= 5) AS samples FROM r GROUP BY 1""")
 def _(spark, sf):
-    return A.worklists(targets(spark).filter("NOT hit"))
+    return A.worklists(targets(spark, sf).filter("NOT hit"))
 
 
 _QUEUE = "q AS (SELECT action, verb_id, count(*) AS targets FROM aud WHERE NOT hit AND action <> 'none' GROUP BY 1, 2)"
 _REVIEWED = "re AS (SELECT action, verb_id, targets + CASE WHEN verb_id = 'pi' THEN 1 ELSE 0 END AS targets FROM q WHERE verb_id IN ('hap', 'pi', 'laj') UNION ALL SELECT 'review_lemma_status', 'gone', 3)"
 
 
-def _queue(spark):
-    return A.review_queue(targets(spark).filter("NOT hit AND action <> 'none'"))
+def _queue(spark, sf):
+    return A.review_queue(targets(spark, sf).filter("NOT hit AND action <> 'none'"))
 
 
-def _reviewed(spark):
-    old = _queue(spark).filter("verb_id IN ('hap', 'pi', 'laj')").select("action", "verb_id", (F.col("targets") + F.when(F.col("verb_id") == "pi", 1).otherwise(0)).alias("targets"))
+def _reviewed(spark, sf):
+    old = _queue(spark, sf).filter("verb_id IN ('hap', 'pi', 'laj')").select("action", "verb_id", (F.col("targets") + F.when(F.col("verb_id") == "pi", 1).otherwise(0)).alias("targets"))
     return old.unionByName(spark.createDataFrame([("review_lemma_status", "gone", 3)], "action string, verb_id string, targets long"))
 
 
 @register("agg_review_queue", f"""{_W}, m AS (SELECT action, verb_id, mood, count(*) AS n, count(DISTINCT (tense, cell)) AS cells FROM aud WHERE NOT hit AND action <> 'none' GROUP BY 1, 2, 3)
     SELECT action, verb_id, sum(n)::BIGINT AS targets, sum(cells)::BIGINT AS cells, string_agg(mood || '=' || n, ',' ORDER BY mood) AS moods FROM m GROUP BY 1, 2""")
 def _(spark, sf):
-    return _queue(spark).withColumn("moods", F.array_join(F.transform(F.map_entries("moods"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","))
+    return _queue(spark, sf).withColumn("moods", F.array_join(F.transform(F.map_entries("moods"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","))
 
 
 @register("agg_review_coverage", f"""{_W}, {_QUEUE}, {_REVIEWED}, c AS (SELECT q.*, r.verb_id IS NOT NULL AS covered FROM q LEFT JOIN re r USING (action, verb_id))
     SELECT action, count(*) FILTER (covered) AS reviewed, count(*) FILTER (NOT covered) AS unreviewed, coalesce(sum(targets) FILTER (covered), 0)::BIGINT AS reviewed_targets, coalesce(sum(targets) FILTER (NOT covered), 0)::BIGINT AS unreviewed_targets FROM c GROUP BY 1""")
 def _(spark, sf):
-    return A.review_coverage(_queue(spark), _reviewed(spark))
+    return A.review_coverage(_queue(spark, sf), _reviewed(spark, sf))
 
 
 @register("cmd_review_gate", f"{_W}, {_QUEUE}, {_REVIEWED} SELECT action, verb_id, q.targets AS now, re.targets AS \"then\", CASE WHEN re.targets IS NULL THEN 'not reviewed' WHEN q.targets IS NULL THEN 'gone' ELSE 'changed' END AS why FROM q FULL JOIN re USING (action, verb_id) WHERE q.targets IS DISTINCT FROM re.targets")
 def _(spark, sf):
-    return A.review_drift(_queue(spark), _reviewed(spark))
+    return A.review_drift(_queue(spark, sf), _reviewed(spark, sf))
 
 
 @register("sup_review_drift", f"{_W}, {_QUEUE}, {_REVIEWED}, d AS (SELECT CASE WHEN re.targets IS NULL THEN 'not reviewed' WHEN q.targets IS NULL THEN 'gone' ELSE 'changed' END AS why FROM q FULL JOIN re USING (action, verb_id) WHERE q.targets IS DISTINCT FROM re.targets) SELECT why, count(*) AS n FROM d GROUP BY 1")
 def _(spark, sf):
-    return A.review_drift(_queue(spark), _reviewed(spark)).groupBy("why").agg(F.count("*").alias("n"))
+    return A.review_drift(_queue(spark, sf), _reviewed(spark, sf)).groupBy("why").agg(F.count("*").alias("n"))
 
 
 @register("sup_review_evidence", f"{_W}, {_QUEUE}, {_REVIEWED} SELECT action, verb_id, targets FROM re UNION SELECT action, verb_id, targets FROM q WHERE verb_id = 'jap'")
 def _(spark, sf):
-    return _reviewed(spark).unionByName(_queue(spark).filter("verb_id = 'jap'").select("action", "verb_id", "targets")).distinct()
+    return _reviewed(spark, sf).unionByName(_queue(spark, sf).filter("verb_id = 'jap'").select("action", "verb_id", "targets")).distinct()
 
 
 @register("sort_review_shortlist", f"{_W}, {_QUEUE}, {_REVIEWED}, e AS (SELECT verb_id, count(*) AS score FROM aud WHERE hit AND voice = 'middle-passive' GROUP BY 1) SELECT action, verb_id, targets, score FROM q JOIN e USING (verb_id) WHERE (action, verb_id) NOT IN (SELECT (action, verb_id) FROM re) ORDER BY score DESC, targets DESC, action, verb_id LIMIT 40")
 def _(spark, sf):
-    evidence = targets(spark).filter("hit AND voice = 'middle-passive'").groupBy("verb_id").agg(F.count("*").alias("score"))
-    return A.review_shortlist(_queue(spark), evidence, _reviewed(spark))
+    evidence = targets(spark, sf).filter("hit AND voice = 'middle-passive'").groupBy("verb_id").agg(F.count("*").alias("score"))
+    return A.review_shortlist(_queue(spark, sf), evidence, _reviewed(spark, sf))
 
 
 @register("sup_cache_form_key", rf"{_W} SELECT target_id, target_key AS key, tokens[-1] AS last FROM aud")
 def _(spark, sf):
     t = T.search_tokens(F.col("surface"))
-    return targets(spark).select("target_id", F.array_join(t, " ").alias("key"), F.element_at(t, -1).alias("last"))
+    return targets(spark, sf).select("target_id", F.array_join(t, " ").alias("key"), F.element_at(t, -1).alias("last"))
 
 
 @register("join_source_cache_support", f"{_W}, k AS (SELECT DISTINCT target_key AS key FROM aud WHERE h[13] < '3'), l AS (SELECT DISTINCT string_split(key, ' ')[-1] AS last FROM k) SELECT target_id, CASE WHEN k.key IS NOT NULL THEN 'form' WHEN l.last IS NOT NULL THEN 'final token' END AS support FROM aud LEFT JOIN k ON k.key = target_key LEFT JOIN l ON l.last = tokens[-1] WHERE NOT hit")
 def _(spark, sf):
-    t = targets(spark)
+    t = targets(spark, sf)
     keys = t.filter(_digit(13, "3")).select(F.col("target_key").alias("key")).distinct()
     last = keys.select(F.element_at(F.split("key", " "), -1).alias("last")).distinct()
     found = t.filter("NOT hit").join(keys, F.col("target_key") == F.col("key"), "left").join(last, F.element_at("tokens", -1) == F.col("last"), "left")
@@ -360,7 +382,7 @@ def _(spark, sf):
 def _(spark, sf):
     from ..operators import reports as R
 
-    m = targets(spark).filter("NOT hit")
+    m = targets(spark, sf).filter("NOT hit")
     few = R.first_of(m, ["primary"], ["target_key", "target_id"], 3).select("primary", "target_id")
     return m.groupBy("primary").agg(F.count("*").alias("n")).join(few, "primary").select("primary", "n", "target_id")
 
@@ -371,7 +393,7 @@ def _(spark, sf):
     from ..operators import reports as R
 
     active = F.col("voice") != "middle-passive"
-    one = R.first_of(targets(spark).filter((~F.col("hit")) & (F.size("tokens") == 1)), ["target_key"], [active, "lemma", "target_id"]).drop("rn")
+    one = R.first_of(targets(spark, sf).filter((~F.col("hit")) & (F.size("tokens") == 1)), ["target_key"], [active, "lemma", "target_id"]).drop("rn")
     from pyspark.sql import Window
 
     ranked = one.withColumn("nth", F.row_number().over(Window.partitionBy("verb_id").orderBy(active, "target_key", "target_id")))
@@ -380,12 +402,12 @@ def _(spark, sf):
 
 @register("sup_evidence_scope", f"{_W} SELECT verb_id, CASE WHEN bool_and(hit) THEN 'all' ELSE 'subset' END AS scope FROM aud GROUP BY 1")
 def _(spark, sf):
-    return targets(spark).groupBy("verb_id").agg(F.when(F.bool_and("hit"), "all").otherwise("subset").alias("scope"))
+    return targets(spark, sf).groupBy("verb_id").agg(F.when(F.bool_and("hit"), "all").otherwise("subset").alias("scope"))
 
 
 @register("agg_forensics_dossier", f"{_W} SELECT CASE WHEN len(tokens) = 1 THEN 'token' ELSE 'head-token' END AS scope, mood, count(*) AS n FROM aud WHERE NOT hit AND trace_status = 'raw_zero' AND form = 'analyzer_accepted' GROUP BY 1, 2")
 def _(spark, sf):
-    m = targets(spark).filter("NOT hit AND trace_status = 'raw_zero' AND form = 'analyzer_accepted'")
+    m = targets(spark, sf).filter("NOT hit AND trace_status = 'raw_zero' AND form = 'analyzer_accepted'")
     return m.groupBy(F.when(F.size("tokens") == 1, "token").otherwise("head-token").alias("scope"), "mood").agg(F.count("*").alias("n"))
 
 
@@ -394,4 +416,4 @@ _STOP = ("nuk", "mos", "për", "duke", "pa", "kam", "jam")
 
 @register("sup_collect_forms", f"{_W} SELECT DISTINCT unnest(list_filter(tokens, lambda t: length(t) >= 3 AND t NOT IN ({', '.join(repr(s) for s in _STOP)}))) AS token FROM aud")
 def _(spark, sf):
-    return targets(spark).select(F.explode(F.filter("tokens", lambda t: (F.char_length(t) >= 3) & ~t.isin(*_STOP))).alias("token")).distinct()
+    return targets(spark, sf).select(F.explode(F.filter("tokens", lambda t: (F.char_length(t) >= 3) & ~t.isin(*_STOP))).alias("token")).distinct()

@@ -26,7 +26,7 @@ from .lexicon import _PARADIGM, forms, lexicon
 
 @register("fn_cell_label", f"WITH {_PARADIGM} SELECT verb_id, mood, tense, cell, regexp_extract(concat_ws('.', mood, tense, cell, voice), '\\.([123](sg|pl))\\.', 1) AS parsed FROM forms WHERE modality = 'declarative'")
 def _(spark, sf):
-    f = forms(spark).filter("modality = 'declarative'")
+    f = forms(spark, sf).filter("modality = 'declarative'")
     return f.select("verb_id", "mood", "tense", "cell", F.regexp_extract(M.signature(), r"\.([123](?:sg|pl))\.", 1).alias("parsed"))
 
 
@@ -68,7 +68,7 @@ def _(spark, sf):
         CASE WHEN aux_tense IS NOT NULL THEN 'auxiliary-recursion' WHEN own IS NOT NULL THEN 'cell-override' WHEN is_suppletive AND supp IS NOT NULL THEN 'suppletive-lookup' ELSE 'paradigm-rule' END || CASE WHEN prefix <> '' THEN '>particle-prepend' ELSE '' END
         || CASE WHEN polarity = 'negative' THEN CASE WHEN mood = 'subjunctive' THEN '>particle-insert' ELSE '>particle-prepend' END ELSE '' END || CASE WHEN modality = 'interrogative' THEN '>particle-prepend' ELSE '' END END || '>final' AS steps FROM w""")
 def _(spark, sf):
-    lex = lexicon(spark).select("verb_id", "is_suppletive", "overrides")
+    lex = lexicon(spark, sf).select("verb_id", "is_suppletive", "overrides")
     supp = F.broadcast(spark.createDataFrame(M.suppletive_rows(), "verb_id string, rule string, cell string, supp string"))
     cells = lex.join(F.broadcast(M.grid(spark).filter("voice = 'active' AND mood NOT IN ('non-finite', 'imperative')")), F.lit(True)).join(supp, ["verb_id", "rule", "cell"], "left")
     ways = F.explode(F.array(*(F.struct(F.lit(p).alias("polarity"), F.lit(m).alias("modality")) for p in ("affirmative", "negative") for m in ("declarative", "interrogative"))))
@@ -85,8 +85,8 @@ def _(spark, sf):
     return cells.select("verb_id", "mood", "tense", "cell", "polarity", "modality", F.array_join(steps, ">").alias("steps"))
 
 
-def _misses(spark):
-    return A.with_stats(PA.targets(spark)).filter("NOT hit").withColumn("labels", A.label_miss(True, LEAST))
+def _misses(spark, sf):
+    return A.with_stats(PA.targets(spark, sf)).filter("NOT hit").withColumn("labels", A.label_miss(True, LEAST))
 
 
 _MISS = f"{_W}, {_STATS}, mi AS (SELECT *, {_labels(True)} AS labels FROM st WHERE NOT hit)"
@@ -94,22 +94,22 @@ _MISS = f"{_W}, {_STATS}, mi AS (SELECT *, {_labels(True)} AS labels FROM st WHE
 
 @register("cmd_audit", f"{_MISS}, u AS (SELECT \"primary\", unnest(labels) AS label FROM mi) SELECT \"primary\", label, count(*) AS n FROM u GROUP BY 1, 2")
 def _(spark, sf):
-    return _misses(spark).select("primary", F.explode("labels").alias("label")).groupBy("primary", "label").agg(F.count("*").alias("n"))
+    return _misses(spark, sf).select("primary", F.explode("labels").alias("label")).groupBy("primary", "label").agg(F.count("*").alias("n"))
 
 
 @register("cmd_morph_audit", f"{_W}, {_VOICED}, {_VERDICT} SELECT verb_id, voice, count(*) AS targets, count(*) FILTER (proof = 'analyzer') AS by_analyzer, count(*) FILTER (verdict_action <> 'none') AS to_review FROM ve GROUP BY 1, 2")
 def _(spark, sf):
-    return PA._verdicts(spark).groupBy("verb_id", "voice").agg(F.count("*").alias("targets"), F.count_if(F.col("proof") == "analyzer").alias("by_analyzer"), F.count_if(F.col("verdict_action") != "none").alias("to_review"))
+    return PA._verdicts(spark, sf).groupBy("verb_id", "voice").agg(F.count("*").alias("targets"), F.count_if(F.col("proof") == "analyzer").alias("by_analyzer"), F.count_if(F.col("verdict_action") != "none").alias("to_review"))
 
 
 @register("cmd_analyzer_requests", f"{_W}, m AS (SELECT tokens[-1] AS h1 FROM aud WHERE NOT hit), u AS (SELECT 'strict' AS mode, h1 AS token FROM m UNION ALL SELECT 'no_diacritics', translate(h1, 'ëç', 'ec') FROM m WHERE translate(h1, 'ëç', 'ec') <> h1) SELECT mode, token, count(*) AS targets FROM u GROUP BY 1, 2")
 def _(spark, sf):
-    return C.analyzer_requests(PA.targets(spark).filter("NOT hit"))
+    return C.analyzer_requests(PA.targets(spark, sf).filter("NOT hit"))
 
 
 @register("cmd_forensics", f"{_MISS}, f AS (SELECT mood, tense, voice, trace_status, \"primary\", CASE WHEN len(tokens) = 1 THEN 'token' ELSE 'phrase' END AS scope FROM mi), u AS (UNPIVOT f ON mood, tense, voice, trace_status, \"primary\", scope INTO NAME dimension VALUE key) SELECT dimension, key, count(*) AS n FROM u GROUP BY 1, 2")
 def _(spark, sf):
-    return R.histograms(_misses(spark).withColumn("scope", F.when(F.size("tokens") == 1, "token").otherwise("phrase")), "mood", "tense", "voice", "trace_status", "primary", "scope")
+    return R.histograms(_misses(spark, sf).withColumn("scope", F.when(F.size("tokens") == 1, "token").otherwise("phrase")), "mood", "tense", "voice", "trace_status", "primary", "scope")
 
 
 _RULES = (("analyzer accepted", "analyzer_accepted_exact_absence", 24, 2), ("component valid", "component_morphology_only_exact_absence", 12, 3), ("near empty", "near_empty_grammatical_cell", 24, 1))
@@ -127,12 +127,12 @@ _DOSSIER = ", ".join(
 
 @register("sample_dossier", f"{_MISS}, {_DOSSIER} SELECT * FROM ds")
 def _(spark, sf):
-    return C.sample_dossier(_misses(spark), _dossier_rules()).select("target_id", F.array_join("reasons", ",").alias("reasons"))
+    return C.sample_dossier(_misses(spark, sf), _dossier_rules()).select("target_id", F.array_join("reasons", ",").alias("reasons"))
 
 
 @register("prj_dossier", f"{_MISS}, {_DOSSIER} SELECT target_id, reasons, lemma, target_key, round(cell_hit / cell_total, 4) AS cell_rate, round(lemma_hit / lemma_total, 4) AS lemma_rate, form AS verdict, trace_status FROM ds JOIN mi USING (target_id)")
 def _(spark, sf):
-    m = _misses(spark)
+    m = _misses(spark, sf)
     taken = C.sample_dossier(m, _dossier_rules())
     rate = lambda n: F.round(F.col(f"{n}_hit") / F.col(f"{n}_total"), 4).alias(f"{n}_rate")
     return m.join(F.broadcast(taken), "target_id").select("target_id", F.array_join("reasons", ",").alias("reasons"), "lemma", "target_key", rate("cell"), rate("lemma"), F.col("form").alias("verdict"), "trace_status")
@@ -183,15 +183,15 @@ _CHECKED = f"WITH {_PARADIGM}, v AS (SELECT *, md5(concat_ws(':', verb_id, mood,
 def _(spark, sf):
     from ..operators import lookups as L
 
-    f = forms(spark).filter("polarity = 'affirmative' AND modality = 'declarative'").withColumn("key", F.concat_ws(":", "verb_id", "mood", "tense", "cell", "voice")).withColumn("h", F.md5("key"))
+    f = forms(spark, sf).filter("polarity = 'affirmative' AND modality = 'declarative'").withColumn("key", F.concat_ws(":", "verb_id", "mood", "tense", "cell", "voice")).withColumn("h", F.md5("key"))
     known = f.filter("form IS NOT NULL AND substring(h, 1, 1) >= '3'").select("key", F.when(F.substring("h", 1, 1) < "5", F.concat("form", F.lit("x"))).otherwise(F.col("form")).alias("ref"), "h")
     first, second = known.filter("substring(h, 2, 1) < '8'").select("key", "ref"), known.filter("substring(h, 2, 1) >= '8'").select("key", "ref")
     checked = L.source_priority(f.select("key", "form"), first, second)
     return checked.withColumn("verb_id", F.substring_index("key", ":", 1)).groupBy("verb_id", "status", "match_source").agg(F.count("*").alias("n"))
 
 
-def _verdict_rows(spark):
-    t = PA.targets(spark)
+def _verdict_rows(spark, sf):
+    t = PA.targets(spark, sf)
     version = F.when(PA._digit(14, "2"), "0").otherwise("1")
     named = F.when(PA._digit(14, "4") & ~PA._digit(14, "2"), F.concat(F.lit("no:"), "target_id")).otherwise(F.col("target_id"))
     key = F.when(PA._digit(14, "6") & ~PA._digit(14, "4"), "other").otherwise(F.col("target_key"))
@@ -202,14 +202,14 @@ def _verdict_rows(spark):
 @register("sup_morph_evidence", f"""{_W}, v AS (SELECT target_id, h[14] AS d, coalesce(form, 'none') AS f FROM aud), n AS (SELECT d, f, CASE WHEN f = 'none' THEN 2 ELSE 1 END AS copies FROM v)
     SELECT CASE WHEN d < '2' THEN 'stale' WHEN d < '4' THEN 'unknown target' WHEN d < '6' THEN 'other key' ELSE 'valid' END AS why, sum(CASE WHEN d >= '6' THEN 1 ELSE copies END)::BIGINT AS n FROM n GROUP BY 1 UNION ALL SELECT 'repeated', count(*) FROM n WHERE d >= '6' AND copies = 2""")
 def _(spark, sf):
-    t, v = _verdict_rows(spark)
+    t, v = _verdict_rows(spark, sf)
     valid, refused = C.verdict_index(v, t, "1")
     return valid.select(F.lit("valid").alias("why")).groupBy("why").agg(F.count("*").alias("n")).unionByName(refused)
 
 
 @register("sup_trace_evidence", f"{_W} SELECT target_id, coalesce(form, 'none') AS form, trace_status FROM aud WHERE h[14] >= '6'")
 def _(spark, sf):
-    t, v = _verdict_rows(spark)
+    t, v = _verdict_rows(spark, sf)
     valid, _ = C.verdict_index(v, t, "1")
     return valid.join(t.select("target_id", "trace_status"), "target_id")
 
@@ -218,7 +218,7 @@ def _(spark, sf):
 def _(spark, sf):
     s = spark.createDataFrame([("punoj", 3), ("beje", 1), ("hap", 2), ("PI", 5)], "name string, n int")
     of = lambda key, n: s.select(key.alias(f"k{n}"), F.col("n").alias(f"n{n}"))
-    found = lexicon(spark).join(of(F.col("name"), 1), F.col("k1") == F.col("verb_id"), "left").join(of(F.col("name"), 2), F.col("k2") == F.col("lemma"), "left").join(of(A.folded(F.col("name")), 3), F.col("k3") == A.folded(F.col("lemma")), "left")
+    found = lexicon(spark, sf).join(of(F.col("name"), 1), F.col("k1") == F.col("verb_id"), "left").join(of(F.col("name"), 2), F.col("k2") == F.col("lemma"), "left").join(of(A.folded(F.col("name")), 3), F.col("k3") == A.folded(F.col("lemma")), "left")
     how = F.when(F.col("n1").isNotNull(), "id").when(F.col("n2").isNotNull(), "lemma").when(F.col("n3").isNotNull(), "folded")
     return found.select("verb_id", F.coalesce("n1", "n2", "n3").alias("n"), how.alias("how"))
 
@@ -276,7 +276,7 @@ def _(spark, sf):
 @register("sup_cite_husic", f"WITH {_PARADIGM} SELECT verb_id, CASE WHEN verb_id IN ('punoj', 'hap') THEN 'manual,printed' ELSE 'manual' END AS sources FROM lexicon")
 def _(spark, sf):
     cited = C.table_forms(spark.createDataFrame([(_PRINTED,)], "value string")).select("verb_id", F.lit("printed").alias("more")).distinct()
-    found = lexicon(spark).withColumn("sources", F.array(F.lit("manual"))).join(cited, "verb_id", "left")
+    found = lexicon(spark, sf).withColumn("sources", F.array(F.lit("manual"))).join(cited, "verb_id", "left")
     return found.select("verb_id", F.array_join(F.when(F.col("more").isNotNull(), F.concat("sources", F.array("more"))).otherwise(F.col("sources")), ",").alias("sources"))
 
 

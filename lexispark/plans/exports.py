@@ -31,9 +31,9 @@ _GLOSS = f"""WITH {_PARADIGM}, {_EN}, {_TPL}, g0 AS (SELECT f.*, en.base, en.pas
         ELSE {_SAID("prefix", "who", "adverb", "head", "no", "rest", "word")} || suffix END AS gloss FROM g6)"""
 
 
-def _english(spark):
+def _english(spark, sf):
     irregular = spark.createDataFrame(list(_IRREGULAR), english.FORMS)
-    return english.english_forms(lexicon(spark).select("verb_id", "translation_en"), irregular)
+    return english.english_forms(lexicon(spark, sf).select("verb_id", "translation_en"), irregular)
 
 
 _KEYS = ("verb_id", "mood", "tense", "cell", "voice", "polarity", "modality")
@@ -41,12 +41,12 @@ _KEYS = ("verb_id", "mood", "tense", "cell", "voice", "polarity", "modality")
 
 @register("fn_english_gloss", f"{_GLOSS} SELECT {', '.join(_KEYS)}, gloss FROM glossed")
 def _(spark, sf):
-    return gloss.with_gloss(forms(spark).select(*_KEYS), _english(spark))
+    return gloss.with_gloss(forms(spark, sf).select(*_KEYS), _english(spark, sf))
 
 
 @register("fn_gloss_table", f"{_GLOSS} SELECT verb_id, mood, tense, count(*) AS cells, min(gloss) AS first, max(gloss) AS last FROM glossed WHERE form IS NOT NULL AND (polarity IS NULL OR (polarity = 'affirmative' AND modality = 'declarative')) GROUP BY 1, 2, 3")
 def _(spark, sf):
-    g = gloss.with_gloss(forms(spark).filter("form IS NOT NULL AND (polarity IS NULL OR (polarity = 'affirmative' AND modality = 'declarative'))").select(*_KEYS), _english(spark))
+    g = gloss.with_gloss(forms(spark, sf).filter("form IS NOT NULL AND (polarity IS NULL OR (polarity = 'affirmative' AND modality = 'declarative'))").select(*_KEYS), _english(spark, sf))
     return g.groupBy("verb_id", "mood", "tense").agg(F.count("*").alias("cells"), F.min("gloss").alias("first"), F.max("gloss").alias("last"))
 
 
@@ -76,13 +76,13 @@ _SEG = f"""WITH {_PARADIGM}, s0 AS (SELECT *, string_split(form, ' ') AS ws FROM
 
 @register("mor_decompose", f"{_SEG} SELECT {', '.join(_KEYS)}, array_to_string(list_transform(surfaces, lambda s, i: s || ':' || roles[i]), ' ') AS segments, form AS joined FROM seg")
 def _(spark, sf):
-    d = M.with_segments(forms(spark).filter("form IS NOT NULL"))
+    d = M.with_segments(forms(spark, sf).filter("form IS NOT NULL"))
     return d.select(*_KEYS, F.array_join(F.transform("segments", lambda p: F.concat_ws(":", p["surface"], p["role"])), " ").alias("segments"), M.joined_segments(F.col("segments")).alias("joined"))
 
 
 @register("sup_prepend", f"{_SEG} SELECT verb_id, count(*) FILTER (list_contains(roles, 'voice-marker')) AS marked, count(*) FILTER (roles[1] = 'particle') AS with_particle, count(*) FILTER (list_contains(roles, 'ending')) AS with_ending FROM seg GROUP BY 1")
 def _(spark, sf):
-    d = M.with_segments(forms(spark).filter("form IS NOT NULL"))
+    d = M.with_segments(forms(spark, sf).filter("form IS NOT NULL"))
     has = lambda role: F.exists("segments", lambda p: p["role"] == role)
     return d.groupBy("verb_id").agg(F.count_if(has("voice-marker")).alias("marked"), F.count_if(F.get("segments", 0)["role"] == "particle").alias("with_particle"), F.count_if(has("ending")).alias("with_ending"))
 
@@ -94,7 +94,7 @@ _PLAIN = "polarity = 'affirmative' AND modality = 'declarative' AND voice = 'act
 @register("mor_igt", f"""{_SEG}, n AS (SELECT *, list_transform(roles, lambda r: CASE r WHEN 'auxiliary' THEN 'AUX' WHEN 'stem' THEN 'STEM' WHEN 'voice-marker' THEN 'MID.PASS' WHEN 'ending' THEN concat_ws('.', left(cell, 1), CASE WHEN cell LIKE '%sg' THEN 'SG' ELSE 'PL' END, {_TENSE_GLOSS}) ELSE 'PRT' END) AS names FROM seg WHERE {_PLAIN})
     SELECT verb_id, mood, tense, cell, rtrim(array_to_string(list_transform(surfaces, lambda s, i: rpad(s, greatest(length(s), length(names[i]))::INTEGER, ' ')), '  ')) || chr(10) || rtrim(array_to_string(list_transform(names, lambda s, i: rpad(s, greatest(length(s), length(surfaces[i]))::INTEGER, ' ')), '  ')) AS igt FROM n""")
 def _(spark, sf):
-    d = M.with_segments(forms(spark).filter(_PLAIN))
+    d = M.with_segments(forms(spark, sf).filter(_PLAIN))
     return d.select("verb_id", "mood", "tense", "cell", M.interlinear(F.col("segments"), F.col("tense"), F.col("cell")).alias("igt"))
 
 
@@ -104,24 +104,24 @@ _FEAT = "CASE tense WHEN 'present' THEN 'Tense=Pres' WHEN 'imperfect' THEN 'Tens
 @register("mor_conllu", f"""WITH {_PARADIGM}, c AS (SELECT *, row_number() OVER (PARTITION BY verb_id ORDER BY mood, tense, cell) AS nth FROM forms WHERE {_PLAIN} AND mood <> 'non-finite')
     SELECT verb_id, nth, concat_ws(chr(9), nth, form, lemma, 'VERB', '_', 'VerbForm=Fin|Mood=' || CASE mood WHEN 'subjunctive' THEN 'Sub' WHEN 'conditional' THEN 'Cnd' ELSE upper(left(mood, 1)) || substr(mood, 2, 2) END || '|' || {_FEAT} || '|Person=' || left(cell, 1) || '|Number=' || CASE WHEN cell LIKE '%sg' THEN 'Sing' ELSE 'Plur' END || '|Voice=Act|Polarity=Pos', '_', '_', '_', 'Cell=' || mood || '-' || tense || '-' || cell) AS line FROM c""")
 def _(spark, sf):
-    d = forms(spark).filter(f"{_PLAIN} AND mood <> 'non-finite'").withColumn("nth", F.row_number().over(Window.partitionBy("verb_id").orderBy("mood", "tense", "cell")))
+    d = forms(spark, sf).filter(f"{_PLAIN} AND mood <> 'non-finite'").withColumn("nth", F.row_number().over(Window.partitionBy("verb_id").orderBy("mood", "tense", "cell")))
     return d.select("verb_id", "nth", M.conllu(F.col("lemma"), F.col("form"), F.col("mood"), F.col("tense"), F.col("cell"), F.col("nth")).alias("line"))
 
 
 @register("mor_cite", f"""WITH {_PARADIGM} SELECT verb_id, '@misc{{' || verb_id || '-2026,' || chr(10) || '  title = {{' || replace(lemma, 'ë', '{{\\"e}}') || ' — ' || translation_en || '}},' || chr(10) || '  year = {{2026}},' || chr(10) || '  url = {{https://verbs.example/' || verb_id || '}}' || chr(10) || '}}' AS entry FROM lexicon""".replace("\\\\", "\\"))
 def _(spark, sf):
-    return lexicon(spark).select("verb_id", M.citation(F.col("verb_id"), F.col("lemma"), F.col("translation_en"), F.concat(F.lit("https://verbs.example/"), "verb_id"), 2026).alias("entry"))
+    return lexicon(spark, sf).select("verb_id", M.citation(F.col("verb_id"), F.col("lemma"), F.col("translation_en"), F.concat(F.lit("https://verbs.example/"), "verb_id"), 2026).alias("entry"))
 
 
 @register("api_detail", f"{_GLOSS} SELECT g.verb_id, l.translation_en, mood, tense, cell, voice, form, gloss FROM glossed g JOIN lexicon l USING (verb_id) WHERE g.verb_id = 'punoj' AND form IS NOT NULL AND (polarity IS NULL OR (polarity = 'affirmative' AND modality = 'declarative'))")
 def _(spark, sf):
-    one = forms(spark).filter("verb_id = 'punoj' AND form IS NOT NULL AND (polarity IS NULL OR (polarity = 'affirmative' AND modality = 'declarative'))")
-    return gloss.with_gloss(one.select(*_KEYS, "translation_en", "form"), _english(spark)).select("verb_id", "translation_en", "mood", "tense", "cell", "voice", "form", "gloss")
+    one = forms(spark, sf).filter("verb_id = 'punoj' AND form IS NOT NULL AND (polarity IS NULL OR (polarity = 'affirmative' AND modality = 'declarative'))")
+    return gloss.with_gloss(one.select(*_KEYS, "translation_en", "form"), _english(spark, sf)).select("verb_id", "translation_en", "mood", "tense", "cell", "voice", "form", "gloss")
 
 
 @register("mor_derived_forms", f"WITH {_PARADIGM} SELECT lemma, form, CASE tense WHEN 'participle' THEN 'participle' WHEN 'infinitive' THEN 'infinitive' ELSE 'non-finite ' || tense END AS tag FROM forms WHERE mood = 'non-finite' UNION ALL SELECT lemma, form, 'first-person singular ' || tense FROM forms WHERE mood = 'indicative' AND cell = '1sg' AND voice = 'active' AND polarity = 'affirmative' AND modality = 'declarative' AND tense IN ('present', 'aorist') AND form IS NOT NULL")
 def _(spark, sf):
-    f = forms(spark)
+    f = forms(spark, sf)
     tag = F.when(F.col("tense").isin("participle", "infinitive"), F.col("tense")).otherwise(F.concat(F.lit("non-finite "), "tense"))
     first = f.filter("mood = 'indicative' AND cell = '1sg' AND voice = 'active' AND polarity = 'affirmative' AND modality = 'declarative' AND tense IN ('present', 'aorist') AND form IS NOT NULL")
     return f.filter("mood = 'non-finite'").select("lemma", "form", tag.alias("tag")).unionByName(first.select("lemma", "form", F.concat(F.lit("first-person singular "), "tense").alias("tag")))
@@ -131,5 +131,5 @@ def _(spark, sf):
 def _(spark, sf):
     told = {"particle": "a particle of mood, negation or question", "auxiliary": "an auxiliary that carries person and tense", "stem": "the stem or participle of the verb", "ending": "an ending of person and number", "voice-marker": "the marker of the middle-passive"}
     names = F.create_map(*(F.lit(x) for kv in told.items() for x in kv))
-    d = M.with_segments(forms(spark).filter("form IS NOT NULL")).select(F.explode("segments").alias("p")).select(F.col("p.role").alias("role")).distinct()
+    d = M.with_segments(forms(spark, sf).filter("form IS NOT NULL")).select(F.explode("segments").alias("p")).select(F.col("p.role").alias("role")).distinct()
     return d.select("role", F.element_at(names, F.col("role")).alias("explained"))

@@ -1,4 +1,4 @@
-"""Registered queries over a small lexicon written out here; the SQL has the same rows and rule tables."""
+"""Registered queries over a lexicon: words of `documents` become verbs, beside a few entries that show each kind of verb. The SQL derives the same entries and has the same rule tables."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import morphology as M
 from ..registry import register
+from .corpus import stored
 
 _NO = (False, False, False, False)
 #: A few entries that show each kind of verb.
@@ -23,10 +24,33 @@ VERBS = (
 )
 
 
-def lexicon(spark: SparkSession) -> DataFrame:
+#: Words of so many letters that occur so often become verbs.
+WORD, LEAST = "[a-z]{4,9}", 200
+
+
+def derived(documents: DataFrame, least: int = LEAST) -> DataFrame:
+    """Entries from words of documents: class and flags come from digits of the word's digest, principal parts from its class."""
+    words = documents.select(F.explode(F.split("text", " ")).alias("w")).filter(F.col("w").rlike(f"^{WORD}$") & ~F.col("w").endswith("j"))
+    words = words.groupBy("w").agg(F.count("*").alias("n")).filter((F.col("n") >= least) & ~F.col("w").isin(*(v[0] for v in VERBS)))
+    w, digit = F.col("w"), lambda k: F.substring(F.md5("w"), k, 1)
+    kind = F.when(digit(1) < "6", 1).when(digit(1) < "b", 2).otherwise(3)
+    by_class = lambda *ends: F.concat(w, F.when(kind == 1, ends[0]).when(kind == 2, ends[1]).otherwise(ends[2]))
+    prefix = "imperative.present.middle-passive/"
+    overrides = F.when(digit(5) < "4", F.create_map(F.lit(f"{prefix}2sg"), F.concat(w, F.lit("u")), F.lit(f"{prefix}2pl"), F.concat(w, F.lit("uni")))).otherwise(F.create_map().cast("map<string,string>"))
+    return words.select(
+        w.alias("verb_id"), by_class("j", "", "").alias("lemma"), F.concat(F.lit("to "), w).alias("translation_en"), kind.alias("class"), F.lit("kam").alias("auxiliary"), w.alias("present"), by_class("a", "", "").alias("aorist"),
+        by_class("ar", "ur", "rë").alias("participle"), F.lit(False).alias("is_suppletive"), (digit(2) < "4").alias("no_middle_passive"), (digit(3) == "0").alias("third_person_only"), (digit(4) == "0").alias("mp_third_person_only"), overrides.alias("overrides"),
+    )
+
+
+def examples(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(VERBS), M.LEXICON)
 
 
+def lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(spark, sf, "lexicon", lambda: examples(spark).unionByName(derived(spark.read.parquet(f"{sf}/documents.parquet"))))
+
+
 def _sql(value) -> str:
     if value is None:
         return "NULL"
@@ -45,7 +69,16 @@ _COLUMNS = ", ".join(x.split(" ")[0] for x in M.LEXICON.split(", "))
 _OVER = lambda key: f"overrides[{key} || '/' || g.cell]"
 _KEYS = "CASE g.rule " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in M.RULE_KEYS.items()) + " END"
 _PARADIGM = ",".join((
-    _values("lexicon", VERBS, _COLUMNS), _values("grid", M.grid_rows(), "mood, tense, voice, cell, person, prefix, rule, aux_tense"), _values("rules", M.rule_rows(), "class, rule, cell, stem, ending"),
+    _values("fixed", VERBS, _COLUMNS),
+    f"""lexicon_words AS (SELECT w, md5(w) AS h FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE regexp_full_match(w, '{WORD}') AND NOT ends_with(w, 'j') AND w NOT IN (SELECT verb_id FROM fixed)
+        GROUP BY w HAVING count(*) >= {LEAST}),
+    lexicon_classes AS (SELECT *, CASE WHEN h[1] < '6' THEN 1 WHEN h[1] < 'b' THEN 2 ELSE 3 END AS class FROM lexicon_words),
+    lexicon AS (
+        SELECT * FROM fixed
+        UNION ALL SELECT w, w || ['j', '', ''][class], 'to ' || w, class, 'kam', w, w || ['a', '', ''][class], w || ['ar', 'ur', 'rë'][class], false, h[2] < '4', h[3] = '0', h[4] = '0',
+            CASE WHEN h[5] < '4' THEN MAP {{'imperative.present.middle-passive/2sg': w || 'u', 'imperative.present.middle-passive/2pl': w || 'uni'}} ELSE MAP {{'-': '-'}} END
+        FROM lexicon_classes)""",
+    _values("grid", M.grid_rows(), "mood, tense, voice, cell, person, prefix, rule, aux_tense"), _values("rules", M.rule_rows(), "class, rule, cell, stem, ending"),
     _values("auxiliaries", M.auxiliary_rows(), "aux, aux_tense, cell, aux_form"), _values("suppletive", M.suppletive_rows(), "verb_id, rule, cell, supp"), _values("participles", M.participle_rows(), "verb_id, supp_participle"),
     f"""cells AS (
         SELECT l.*, g.* EXCLUDE (voice), g.voice, r.stem, r.ending, a.aux_form, s.supp, CASE WHEN l.is_suppletive THEN coalesce(p.supp_participle, l.participle) ELSE l.participle END AS part,
@@ -72,14 +105,14 @@ _ALL_WAYS = (("affirmative", "negative"), ("declarative", "interrogative"))
 _KEY = ("verb_id", "mood", "tense", "voice", "cell")
 
 
-def forms(spark: SparkSession) -> DataFrame:
-    return M.conjugate(lexicon(spark), *_ALL_WAYS)
+def forms(spark: SparkSession, sf: str) -> DataFrame:
+    return M.conjugate(lexicon(spark, sf), *_ALL_WAYS)
 
 
 def _form_query(name: str, where: str, columns: tuple[str, ...] = (*_KEY, "polarity", "modality", "form")) -> None:
     @register(name, f"WITH {_PARADIGM} SELECT {', '.join(columns)} FROM forms WHERE {where}")
     def _(spark, sf):
-        return forms(spark).filter(where).select(*columns)
+        return forms(spark, sf).filter(where).select(*columns)
 
 
 _PLAIN = "polarity = 'affirmative' AND modality = 'declarative'"
@@ -102,7 +135,7 @@ _form_query("mor_questions", f"{_PLAIN} AND voice = 'active' AND mood = 'indicat
 @register("mor_normalize", f"WITH {_PARADIGM}, w AS (SELECT verb_id, mood, '  ' || replace(form, ' ', '   ') || chr(9) AS wide FROM forms WHERE form IS NOT NULL) SELECT verb_id, mood, length(wide) AS wide, trim(regexp_replace(replace(wide, chr(9), ' '), ' +', ' ', 'g')) AS form FROM w")
 def _(spark, sf):
     wide = F.concat(F.lit("  "), F.replace("form", F.lit(" "), F.lit("   ")), F.lit("\t"))
-    return forms(spark).filter("form IS NOT NULL").select("verb_id", "mood", F.char_length(wide).alias("wide"), M.normalized_form(wide).alias("form"))
+    return forms(spark, sf).filter("form IS NOT NULL").select("verb_id", "mood", F.char_length(wide).alias("wide"), M.normalized_form(wide).alias("form"))
 
 
 @register("mor_grid", f"WITH {_PARADIGM} SELECT * FROM grid")
@@ -113,32 +146,32 @@ def _(spark, sf):
 @register("join_rules", f"WITH {_PARADIGM} SELECT verb_id, r.rule, r.cell, r.stem, r.ending FROM lexicon l JOIN rules r ON r.class = l.class")
 def _(spark, sf):
     rules = spark.createDataFrame(M.rule_rows(), "class int, rule string, cell string, stem string, ending string")
-    return lexicon(spark).join(F.broadcast(rules), "class").select("verb_id", "rule", "cell", "stem", "ending")
+    return lexicon(spark, sf).join(F.broadcast(rules), "class").select("verb_id", "rule", "cell", "stem", "ending")
 
 
 @register("join_cross_grid", f"WITH {_PARADIGM} SELECT verb_id, count(*) AS cells FROM forms WHERE modality = 'declarative' OR modality IS NULL GROUP BY 1")
 def _(spark, sf):
-    return M.conjugate(lexicon(spark), ("affirmative", "negative")).groupBy("verb_id").agg(F.count("*").alias("cells"))
+    return M.conjugate(lexicon(spark, sf), ("affirmative", "negative")).groupBy("verb_id").agg(F.count("*").alias("cells"))
 
 
 @register("mor_admirative_trim", f"WITH {_PARADIGM} SELECT verb_id, CASE WHEN participle LIKE '%rrë' THEN 1 WHEN participle LIKE '%rë' OR participle LIKE '%ur' THEN 2 ELSE 1 END AS trim FROM lexicon")
 def _(spark, sf):
-    return lexicon(spark).select("verb_id", M.admirative_trim(F.col("participle")).alias("trim"))
+    return lexicon(spark, sf).select("verb_id", M.admirative_trim(F.col("participle")).alias("trim"))
 
 
 @register("mor_participle", f"WITH {_PARADIGM} SELECT verb_id, form AS participle FROM forms WHERE mood = 'non-finite' AND tense = 'participle'")
 def _(spark, sf):
-    return forms(spark).filter("mood = 'non-finite' AND tense = 'participle'").select("verb_id", F.col("form").alias("participle"))
+    return forms(spark, sf).filter("mood = 'non-finite' AND tense = 'participle'").select("verb_id", F.col("form").alias("participle"))
 
 
 @register("mor_list", f"WITH {_PARADIGM} SELECT verb_id, lemma, class FROM lexicon ORDER BY verb_id")
 def _(spark, sf):
-    return lexicon(spark).select("verb_id", "lemma", "class").orderBy("verb_id")
+    return lexicon(spark, sf).select("verb_id", "lemma", "class").orderBy("verb_id")
 
 
 @register("api_list", f"WITH {_PARADIGM} SELECT lemma, translation_en, class, auxiliary FROM lexicon")
 def _(spark, sf):
-    return lexicon(spark).orderBy("lemma").select("lemma", "translation_en", "class", "auxiliary")
+    return lexicon(spark, sf).orderBy("lemma").select("lemma", "translation_en", "class", "auxiliary")
 
 
 @register("sup_aux_lookup", f"WITH {_PARADIGM} SELECT aux, aux_tense, cell, aux_form FROM auxiliaries")
@@ -151,7 +184,7 @@ _SIG = "CASE WHEN mood = 'non-finite' THEN mood || '.' || tense ELSE concat_ws('
 
 @register("fn_signature", f"WITH {_PARADIGM} SELECT verb_id, {_SIG} AS signature, CASE WHEN mood = 'non-finite' THEN mood || ' ' || tense ELSE concat_ws(' ', mood, tense, cell, voice) END AS label FROM forms")
 def _(spark, sf):
-    return forms(spark).select("verb_id", M.signature().alias("signature"), M.cell_label().alias("label"))
+    return forms(spark, sf).select("verb_id", M.signature().alias("signature"), M.cell_label().alias("label"))
 
 
 _TARGETS = rf"""WITH {_PARADIGM}, t AS (SELECT verb_id, lemma, array_to_string(list_transform(regexp_extract_all(form, '\p{{L}}+'), lambda w: lower(w)), ' ') AS target_key, {_SIG} AS signature
@@ -161,24 +194,24 @@ _TARGETS = rf"""WITH {_PARADIGM}, t AS (SELECT verb_id, lemma, array_to_string(l
 
 @register("mor_targets", _TARGETS)
 def _(spark, sf):
-    return M.search_targets(lexicon(spark)).select("target_id", "target_key", "signature", "verb_id", "lemma")
+    return M.search_targets(lexicon(spark, sf)).select("target_id", "target_key", "signature", "verb_id", "lemma")
 
 
 @register("sink_targets", _TARGETS.replace("SELECT DISTINCT regexp_replace", "SELECT DISTINCT regexp_replace", 1) + " ORDER BY target_key, target_id")
 def _(spark, sf):
-    return M.search_targets(lexicon(spark)).select("target_id", "target_key", "signature", "verb_id", "lemma").orderBy(F.expr("target_key COLLATE UNICODE"), "target_id")
+    return M.search_targets(lexicon(spark, sf)).select("target_id", "target_key", "signature", "verb_id", "lemma").orderBy(F.expr("target_key COLLATE UNICODE"), "target_id")
 
 
 @register("flt_browse", f"WITH {_PARADIGM} SELECT lemma, class FROM lexicon WHERE class = 2 AND auxiliary = 'kam' ORDER BY lemma")
 def _(spark, sf):
-    return lexicon(spark).filter("class = 2 AND auxiliary = 'kam'").select("lemma", "class").orderBy("lemma")
+    return lexicon(spark, sf).filter("class = 2 AND auxiliary = 'kam'").select("lemma", "class").orderBy("lemma")
 
 
 @register("flt_suggest", f"WITH {_PARADIGM} SELECT lemma FROM lexicon WHERE contains(lower(lemma), 'p') OR contains(lower(translation_en), 'p') ORDER BY lemma LIMIT 8")
 def _(spark, sf):
-    return lexicon(spark).filter(F.lower("lemma").contains("p") | F.lower("translation_en").contains("p")).select("lemma").orderBy("lemma").limit(8)
+    return lexicon(spark, sf).filter(F.lower("lemma").contains("p") | F.lower("translation_en").contains("p")).select("lemma").orderBy("lemma").limit(8)
 
 
 @register("sup_slug_lookup", f"WITH {_PARADIGM} SELECT DISTINCT unnest([verb_id, lemma]) AS slug FROM lexicon")
 def _(spark, sf):
-    return lexicon(spark).select(F.explode(F.array("verb_id", "lemma")).alias("slug")).distinct()
+    return lexicon(spark, sf).select(F.explode(F.array("verb_id", "lemma")).alias("slug")).distinct()

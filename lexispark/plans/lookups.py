@@ -79,25 +79,25 @@ _STATUS = f"""WITH {_PARADIGM}, c AS (SELECT concat_ws(':', verb_id, mood, tense
         CASE WHEN form IS NULL THEN 'error' WHEN h[1] < '3' THEN 'missing' WHEN h[1] < '5' THEN 'mismatch' ELSE 'match' END AS status FROM h)"""
 
 
-def _checked(spark):
-    f = forms(spark).filter("polarity = 'affirmative' AND modality = 'declarative'").select(F.concat_ws(":", "verb_id", "mood", "tense", "cell", "voice").alias("key"), "form").withColumn("h", F.md5("key"))
+def _checked(spark, sf):
+    f = forms(spark, sf).filter("polarity = 'affirmative' AND modality = 'declarative'").select(F.concat_ws(":", "verb_id", "mood", "tense", "cell", "voice").alias("key"), "form").withColumn("h", F.md5("key"))
     known = f.filter("form IS NOT NULL AND substring(h, 1, 1) >= '3'").select("key", F.when(F.substring("h", 1, 1) < "5", F.concat("form", F.lit("x"))).otherwise(F.col("form")).alias("ref"), "h")
     return L.source_priority(f.select("key", "form"), known.filter("substring(h, 2, 1) < '8'").select("key", "ref"), known.filter("substring(h, 2, 1) >= '8'").select("key", "ref"))
 
 
 @register("join_source_priority", f"{_STATUS} SELECT key, ref, match_source FROM s")
 def _(spark, sf):
-    return _checked(spark).select("key", "ref", "match_source")
+    return _checked(spark, sf).select("key", "ref", "match_source")
 
 
 @register("mor_verify_cell", f"{_STATUS} SELECT key, status FROM s")
 def _(spark, sf):
-    return _checked(spark).select("key", "status")
+    return _checked(spark, sf).select("key", "status")
 
 
 @register("agg_verify", f"{_STATUS} SELECT status, match_source, count(*) AS n FROM s GROUP BY 1, 2")
 def _(spark, sf):
-    return L.verify_totals(_checked(spark))
+    return L.verify_totals(_checked(spark, sf))
 
 
 _verbs, _verbs_sql = _data("id string, lemma string", ("punoj", "punoj"), ("bej", "bëj"), ("coj", "çoj"), ("q", "qëroj"), ("z", "zz"))
@@ -150,18 +150,18 @@ def _(spark, sf):
     return L.lcg_sample(1000, 42, 50, spark)
 
 
-def _distinct_forms(spark):
-    return forms(spark).filter("form IS NOT NULL AND polarity = 'affirmative' AND modality = 'declarative'").select("form").distinct()
+def _distinct_forms(spark, sf):
+    return forms(spark, sf).filter("form IS NOT NULL AND polarity = 'affirmative' AND modality = 'declarative'").select("form").distinct()
 
 
 @register("fn_ipa")
 def _(spark, sf):
-    return phonology.pronounce(_distinct_forms(spark)).select("form", "ipa")
+    return phonology.pronounce(_distinct_forms(spark, sf)).select("form", "ipa")
 
 
 @register("fn_syllabify")
 def _(spark, sf):
-    return phonology.pronounce(_distinct_forms(spark)).select("form", "syllables")
+    return phonology.pronounce(_distinct_forms(spark, sf)).select("form", "syllables")
 
 
 _english, _english_sql = _data("translation_en string", ("to work",), ("to stop / to cease",), ("to carry",), ("to die",), ("to see",), ("to make",), ("to play",), ("to visit",), ("to fix",))
@@ -174,7 +174,7 @@ _CVC = "(length(base) >= 3 AND regexp_matches(base, '[^aeiou][aeiou][^aeiouwxy]$
                  CASE WHEN base LIKE '%ie' THEN base[:-3] || 'ying' WHEN regexp_matches(base, '[^eoy]e$') THEN base[:-2] || 'ing' WHEN {_CVC} THEN base || right(base, 1) || 'ing' ELSE base || 'ing' END AS g FROM b)
     SELECT r.base, coalesce(i.past, p) AS past, coalesce(i.participle, p) AS participle, coalesce(i.gerund, g) AS gerund FROM r LEFT JOIN i ON i.base = r.base""")
 def _(spark, sf):
-    return english.english_forms(_english(spark), _irregular(spark)).select("base", "past", "participle", "gerund")
+    return english.english_forms(_english(spark, sf), _irregular(spark)).select("base", "past", "participle", "gerund")
 
 
 @register("rd_parquet_strings", r"WITH s AS (SELECT unnest([url, html]) AS t FROM pages) SELECT md5(t) AS digest, length(t) AS chars, count(*) AS n FROM s WHERE regexp_matches(t, '\p{L}') AND len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '')) >= 3 GROUP BY 1, 2")
@@ -186,11 +186,11 @@ def _(spark, sf):
 def _(spark, sf):
     words = lambda *xs: F.array(*map(F.lit, xs))
     sources = F.when(F.col("is_suppletive"), words("manual")).when(F.col("class") == 1, words("kaikki", "husic")).otherwise(words("kaikki"))
-    return lexicon(spark).select("verb_id", F.explode(sources).alias("source")).groupBy("source").agg(F.countDistinct("verb_id").alias("verbs"))
+    return lexicon(spark, sf).select("verb_id", F.explode(sources).alias("source")).groupBy("source").agg(F.countDistinct("verb_id").alias("verbs"))
 
 
 @register("sup_quiz_grade", f"WITH {_PARADIGM}, q AS (SELECT verb_id, mood, tense, cell, form, CASE WHEN md5(form)[1] < '8' THEN ' ' || form || ' ' ELSE upper(form) END AS answer FROM forms WHERE form IS NOT NULL AND modality = 'declarative' AND polarity = 'affirmative') SELECT verb_id, mood, tense, cell, answer, trim(answer) = trim(form) AS correct FROM q")
 def _(spark, sf):
-    q = forms(spark).filter("form IS NOT NULL AND modality = 'declarative' AND polarity = 'affirmative'")
+    q = forms(spark, sf).filter("form IS NOT NULL AND modality = 'declarative' AND polarity = 'affirmative'")
     answer = F.when(F.substring(F.md5("form"), 1, 1) < "8", F.concat(F.lit(" "), "form", F.lit(" "))).otherwise(F.upper("form"))
     return q.withColumn("answer", answer).select("verb_id", "mood", "tense", "cell", "answer", (F.trim("answer") == F.trim("form")).alias("correct"))

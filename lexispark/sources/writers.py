@@ -71,3 +71,18 @@ def write_files(members: DataFrame, path: str, kind: str, suffix: str, each: boo
             yield pd.DataFrame({"rows": [len(own)]})
 
     return members.select("name", "data").mapInPandas(run, "rows long").count()
+
+
+def write_named(members: DataFrame, path: str) -> int:
+    """Writes members (name string, data binary) as files of those names in a folder; the number of files. A name that repeats leaves one of its files."""
+
+    def run(batches):
+        fs, folder = filesystem(path)
+        fs.create_dir(folder, recursive=True)
+        for pdf in batches:
+            for name, data in zip(pdf["name"], pdf["data"]):
+                with fs.open_output_stream(f"{folder}/{name}", compression=None) as out:
+                    out.write(bytes(data))
+            yield pd.DataFrame({"rows": [1] * len(pdf)})
+
+    return members.select("name", "data").mapInPandas(run, "rows long").count()
