@@ -175,9 +175,9 @@ def cell_label():
 
 def search_targets(lexicon: DataFrame) -> DataFrame:
     """Search targets of all cells, affirmative and negative: target_id, target_key, tokens, signature, cell_label, verb_id, lemma; one row per target_id."""
-    from .text import search_tokens, target_id
+    from .text import letter_runs, target_id
 
-    forms = conjugate(lexicon, ("affirmative", "negative")).filter("form IS NOT NULL").withColumn("tokens", search_tokens(F.col("form"))).filter(F.size("tokens") > 0)
+    forms = conjugate(lexicon, ("affirmative", "negative")).filter("form IS NOT NULL").withColumn("tokens", letter_runs(F.col("form"))).filter(F.size("tokens") > 0)
     rows = forms.select("verb_id", "lemma", F.array_join("tokens", " ").alias("target_key"), "tokens", signature().alias("signature"), cell_label().alias("cell_label"))
     return rows.withColumn("target_id", target_id(F.col("verb_id"), F.col("signature"), F.col("target_key"))).dropDuplicates(["target_id"])
 
@@ -252,3 +252,9 @@ def citation(verb, lemma, translation, url, year: int):
     """BibTeX of an entry; "ë" and "ć" as LaTeX."""
     latex = lambda c: F.replace(F.replace(c, F.lit("ć"), F.lit("{\\'c}")), F.lit("ë"), F.lit('{\\"e}'))
     return F.concat(F.lit("@misc{"), verb, F.lit(f"-{year},\n  title = {{"), latex(lemma), F.lit(" — "), latex(translation), F.lit(f"}},\n  year = {{{year}}},\n  url = {{"), url, F.lit("}\n}"))
+
+
+def plain_citations(lemma, translation, url, publisher: str, site: str, year: int):
+    """An entry's citation in APA style, and in one line: apa, plain. publisher and site: who publishes it, and what it is part of."""
+    apa = F.concat(F.lit(f"{publisher}. ({year}). "), lemma, F.lit(" — "), translation, F.lit(f". {site}. "), url)
+    return F.struct(apa.alias("apa"), F.concat(F.lit(f"{site} · "), lemma, F.lit(" ("), translation, F.lit(") · "), url).alias("plain"))

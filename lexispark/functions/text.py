@@ -1,11 +1,14 @@
-"""Segmentation, normalisation, quality flags and scores of sentences, all in the JVM."""
+"""Segmentation, normalisation, quality flags and scores of sentences, all in the JVM but for what canonical composition could change."""
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # Fixed values of the data model, in natural order.
 ADULT_WORDS = ("anal", "blowjob", "boobs", "cumshot", "deepthroat", "dildo", "hardcore", "lezbike", "lesbo", "pidhi", "porno", "strapon")
@@ -50,11 +53,27 @@ def token_count(norm: Column) -> Column:
     return F.size(tokens(norm))
 
 
-def search_tokens(text: Column) -> Column:
-    """Runs of letters in lower case (the input is taken to be in composed form)."""
+def letter_runs(text: Column) -> Column:
+    """Runs of letters in lower case, of a text in composed form."""
     return F.transform(F.regexp_extract_all(text, F.lit(r"(\p{L}+)"), F.lit(1)), F.lower)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _composed(runs: pd.Series) -> pd.Series:
+    return runs.map(lambda own: None if own is None else [unicodedata.normalize("NFC", t) for t in own])
+
+
+def search_tokens(text: Column) -> Column:
+    """Runs of letters, each in canonical composition, then in lower case. A combining mark is no letter, so it ends a run.
+
+    Spark has no function that composes, so runs go to Python; only those of texts with a character that composition could
+    change, which none below U+0300 is, and others as nulls.
+    """
+    runs = F.regexp_extract_all(text, F.lit(r"(\p{L}+)"), F.lit(1))
+    changing = text.rlike("[^\\x{0}-\\x{2FF}]")
+    return F.transform(F.when(changing, _composed(F.when(changing, runs))).otherwise(runs), F.lower)
+
+
 def normalize_token(token: Column) -> Column:
     return F.lower(F.trim(token))
 

@@ -15,18 +15,22 @@ def sample_dossier(misses: DataFrame, rules: list[tuple[str, Column, int, str, i
     """target_id with the reasons for which it was taken: rules (reason, condition, most in all, group column, most of a group)
     are gone through in order, each taking misses by key and id, until `most` distinct misses are taken.
 
-    What a rule takes is bounded by its own most, so that many rows at most come to the driver, where the order is followed.
+    One plan: a row for each rule that a miss satisfies, ranked in its group and then in its rule, which leaves as many rows as
+    the rules allow at most; among those few, a row is taken while fewer than `most` misses came before it.
     """
-    taken: dict[str, list[str]] = {}
-    for reason, condition, total, group, each in rules:
-        by = Window.partitionBy(group).orderBy("target_key", "target_id")
-        found = misses.filter(condition).withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= each).orderBy("target_key", "target_id").limit(total).select("target_id").collect()
-        for r in found:
-            if len(taken) >= most:
-                break
-            taken.setdefault(r["target_id"], []).append(reason)
-    rows = [(k, v) for k, v in taken.items()]
-    return misses.sparkSession.createDataFrame(rows, "target_id string, reasons array<string>")
+    marks = [F.when(condition, F.struct(F.lit(i).alias("rule"), F.lit(reason).alias("reason"), F.lit(total).alias("total"), F.lit(each).alias("each"), F.col(group).cast("string").alias("group"))) for i, (reason, condition, total, group, each) in enumerate(rules)]
+    found = misses.select("target_id", "target_key", F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())).alias("m")).select("target_id", "target_key", "m.*")
+
+    def ranked(d: DataFrame, by: list[str], limit: str, most_of_any: int) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy(*by).orderBy("target_key", "target_id"))
+        return d.withColumn("nth", nth).filter(F.col("nth") <= most_of_any).filter(F.col("nth") <= F.col(limit))
+
+    found = ranked(ranked(found, ["rule", "group"], "each", max(r[4] for r in rules)), ["rule"], "total", max(r[2] for r in rules))
+    order = ["rule", "target_key", "target_id"]
+    first = F.row_number().over(Window.partitionBy("target_id").orderBy(*order)) == 1
+    before = F.coalesce(F.sum(F.col("first").cast("int")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = found.withColumn("first", first).withColumn("before", before).filter(F.col("before") < most)
+    return taken.groupBy("target_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rule", "reason"))), lambda x: x["reason"]).alias("reasons"))
 
 
 def stress_plan(targets: DataFrame, patterns: DataFrame, inventory: DataFrame) -> DataFrame:

@@ -80,3 +80,16 @@ def lcg_sample(n: int, seed: int, k: int, spark) -> DataFrame:
     step = lambda a, _: F.struct(((a["state"] * 1664525 + 1013904223) % (1 << 32)).alias("state"), F.array_append(a["out"], ((a["state"] * 1664525 + 1013904223) % (1 << 32)) % n).alias("out"))
     start = F.struct(F.lit(seed).cast("long").alias("state"), F.array().cast("array<bigint>").alias("out"))
     return spark.range(1).select(F.posexplode(F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, step, lambda a: a["out"])).alias("place", "number"))
+
+
+def exact_target(hits: DataFrame, targets: DataFrame, key: str, most: int = 10) -> DataFrame:
+    """The best occurrences of targets with a key, by score, then target and place. The cut comes before any text is read."""
+    own = targets.filter(F.col("target_key") == key).select("target_id", "target_key", "signature")
+    return hits.join(F.broadcast(own), "target_id").orderBy(F.desc("score"), "target_id", "resource_id", "doc_id", "position").limit(most)
+
+
+def occurrence_counts(hits: DataFrame, targets: DataFrame, condition, by: list[str], most: int = 20) -> DataFrame:
+    """Occurrences and resources of the targets that satisfy a condition, by variant, key and `by`, most frequent first."""
+    own = targets.filter(condition).select("target_id", "target_key", *by)
+    counts = hits.join(own, "target_id").groupBy("variant_kind", "target_key", *by).agg(F.count("*").alias("occurrences"), F.countDistinct("resource_id").alias("resources"))
+    return counts.orderBy(F.desc("occurrences"), F.desc("resources"), "variant_kind", "target_key", *by).limit(most)

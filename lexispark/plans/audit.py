@@ -25,7 +25,7 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
     """target_key, raw (places where sentences have it), kept (those in sentences that the quality rules keep), of the keys that occur."""
 
     def counted() -> DataFrame:
-        keys = forms(spark, sf).filter("modality = 'declarative' AND form IS NOT NULL").select(F.array_join(T.search_tokens(F.col("form")), " ").alias("pattern")).distinct()
+        keys = forms(spark, sf).filter("modality = 'declarative' AND form IS NOT NULL").select(F.array_join(T.letter_runs(F.col("form")), " ").alias("pattern")).distinct()
         keep = T.keep_sentence(T.quality_flags(F.col("sentence"), F.col("norm"), F.col("quality"))).alias("keep")
         found = MA.phrase_match(rows(spark, sf).select("norm", keep), keys)
         return found.groupBy(F.col("pattern").alias("target_key")).agg(F.count("*").alias("raw"), F.count_if("keep").alias("kept"))
@@ -40,7 +40,7 @@ def targets(spark: SparkSession, sf: str) -> DataFrame:
 
 def _targets(spark: SparkSession, sf: str) -> DataFrame:
     t = forms(spark, sf).filter("modality = 'declarative' AND form IS NOT NULL").withColumnRenamed("form", "surface")
-    t = t.withColumn("tokens", T.search_tokens(F.col("surface"))).withColumn("target_key", F.array_join("tokens", " "))
+    t = t.withColumn("tokens", T.letter_runs(F.col("surface"))).withColumn("target_key", F.array_join("tokens", " "))
     t = t.withColumn("target_id", F.concat_ws(":", "verb_id", "mood", "tense", "cell", "voice", "polarity"))
     t = t.withColumn("digest", F.md5("target_id")).join(evidence(spark, sf), "target_key", "left").withColumn("hit", F.coalesce("kept", F.lit(0)) > 0)
     t = t.withColumn("form", F.when(_digit(2, "3"), "analyzer_accepted").when(_digit(2, "5"), "component_supported").when(_digit(2, "6"), "analyzer_lemma_alias").when(_digit(2, "a"), "not_validated"))
@@ -365,7 +365,7 @@ def _(spark, sf):
 
 @register("sup_cache_form_key", rf"{_W} SELECT target_id, target_key AS key, tokens[-1] AS last FROM aud")
 def _(spark, sf):
-    t = T.search_tokens(F.col("surface"))
+    t = T.letter_runs(F.col("surface"))
     return targets(spark, sf).select("target_id", F.array_join(t, " ").alias("key"), F.element_at(t, -1).alias("last"))
 
 

@@ -13,6 +13,7 @@ from ..functions import phonology
 from ..functions import text as T
 from ..operators import audit as A
 from ..operators import commands as C
+from ..operators import lookups as L
 from ..operators import match as MA
 from ..operators import reports as R
 from ..registry import register
@@ -237,6 +238,25 @@ def _(spark, sf):
     return spark.sql(query, args={"verb": "v1"}, o=o, t=t)
 
 
+@register("sup_lookup_exact", f"{_ALL} SELECT o.target_id, o.variant_kind, o.pattern, t.target_key, t.signature, o.score, o.sentence FROM occ o JOIN targets t USING (target_id) WHERE t.target_key = 'the' ORDER BY o.score DESC, o.target_id, o.resource_id, o.doc_id, o.position LIMIT 10")
+def _(spark, sf):
+    best = L.exact_target(occ(spark, sf), phrase_targets(spark), "the")
+    return MA.with_text(best, rows(spark, sf)).select("target_id", "variant_kind", "pattern", "target_key", "signature", "score", "sentence")
+
+
+_SIGNATURE = "indicative.present.1sg.active.affirmative.declarative"
+
+
+@register("sup_lookup_lemma", f"{_ALL} SELECT o.variant_kind, t.target_key, t.signature, count(*) AS occurrences, count(DISTINCT o.resource_id) AS resources FROM occ o JOIN targets t USING (target_id) WHERE t.verb_id = 'v2' GROUP BY ALL ORDER BY occurrences DESC, resources DESC, variant_kind, target_key, signature LIMIT 20")
+def _(spark, sf):
+    return L.occurrence_counts(occ(spark, sf), phrase_targets(spark), F.col("verb_id") == "v2", ["signature"])
+
+
+@register("sup_lookup_cell", f"{_ALL} SELECT o.variant_kind, t.target_key, t.lemma, count(*) AS occurrences, count(DISTINCT o.resource_id) AS resources FROM occ o JOIN targets t USING (target_id) WHERE t.signature = '{_SIGNATURE}' GROUP BY ALL ORDER BY occurrences DESC, resources DESC, variant_kind, target_key, lemma LIMIT 20")
+def _(spark, sf):
+    return L.occurrence_counts(occ(spark, sf), phrase_targets(spark), F.col("signature") == _SIGNATURE, ["lemma"])
+
+
 _CORPORA = ("Tatoeba", "QED", "TED2020", "NeuLab", "GlobalVoices")
 
 

@@ -208,7 +208,7 @@ def _(spark, sf):
     return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", T.normalize_token(F.col("p_name")).alias("token"))
 
 
-@register("fn_search_tokens", rf"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '\p{{L}}+'), lambda w: lower(w)), ' ') AS key FROM documents")
+@register("fn_search_tokens", rf"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '\p{{L}}+'), lambda w: lower(nfc_normalize(w))), ' ') AS key FROM documents")
 def _(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.array_join(T.search_tokens(F.col("text")), " ").alias("key"))
 

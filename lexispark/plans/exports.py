@@ -113,6 +113,13 @@ def _(spark, sf):
     return lexicon(spark, sf).select("verb_id", M.citation(F.col("verb_id"), F.col("lemma"), F.col("translation_en"), F.concat(F.lit("https://verbs.example/"), "verb_id"), 2026).alias("entry"))
 
 
+@register("mor_cite_plain", f"""WITH {_PARADIGM} SELECT verb_id, 'Verb editors. (2026). ' || lemma || ' — ' || translation_en || '. Verbs. https://verbs.example/' || verb_id AS apa,
+    'Verbs · ' || lemma || ' (' || translation_en || ') · https://verbs.example/' || verb_id AS plain FROM lexicon""")
+def _(spark, sf):
+    cited = M.plain_citations(F.col("lemma"), F.col("translation_en"), F.concat(F.lit("https://verbs.example/"), "verb_id"), "Verb editors", "Verbs", 2026)
+    return lexicon(spark, sf).select("verb_id", cited.alias("c")).select("verb_id", "c.*")
+
+
 @register("api_detail", f"{_GLOSS} SELECT g.verb_id, l.translation_en, mood, tense, cell, voice, form, gloss FROM glossed g JOIN lexicon l USING (verb_id) WHERE g.verb_id = 'punoj' AND form IS NOT NULL AND (polarity IS NULL OR (polarity = 'affirmative' AND modality = 'declarative'))")
 def _(spark, sf):
     one = forms(spark, sf).filter("verb_id = 'punoj' AND form IS NOT NULL AND (polarity IS NULL OR (polarity = 'affirmative' AND modality = 'declarative'))")
