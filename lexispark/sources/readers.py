@@ -1,7 +1,7 @@
 """Readers of corpus formats. All return candidates: resource_id, partition_id, doc_id, title, url, domain, genre, quality, text.
 
-What Spark reads itself (JSON lines in gzip or zstd, text, Parquet, CSV, XML) stays in the JVM. Archives that it can't split (zip,
-tar, xz) are read whole by one task each, a member at a time.
+What Spark reads itself (JSON lines in gzip or zstd, text, Parquet, CSV, XML) stays in the JVM. Other archives are opened by
+tasks, which read them as streams, so their size has no limit: tar and xz in one task each, zips by member over many.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
 from itertools import islice
+from typing import BinaryIO
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from .writers import filesystem
 
 FIELDS = ("doc_id", "title", "url", "domain", "genre", "quality", "text")
 
@@ -82,11 +84,11 @@ def read_conllu(spark: SparkSession, path: str, resource: str) -> DataFrame:
 def read_tatoeba(spark: SparkSession, path: str, resource: str, languages: tuple[str, ...] = ("sqi", "sq"), member: str = "sentences_detailed.csv") -> DataFrame:
     """Tab-separated id, language and sentence, in tar archives."""
 
-    def members(data: bytes, file: str):
-        with tarfile.open(fileobj=io.BytesIO(data)) as t:
+    def members(data, file: str):
+        with tarfile.open(fileobj=data, mode="r|*") as t:
             for m in t:
                 if m.name.endswith(member):
-                    for line in io.TextIOWrapper(t.extractfile(m), "utf-8", "replace", "\n"):
+                    for line in _lines(t.extractfile(m)):
                         fields = line.rstrip("\r\n").split("\t", 3)
                         if len(fields) > 2 and fields[1] in languages:
                             yield fields[0], fields[2]
@@ -132,28 +134,71 @@ def read_parquet_strings(spark: SparkSession, path: str, resource: str) -> DataF
     return rows.select(F.lit(resource).alias("resource_id"), partition_id(F.lit(resource), F.col("p")).alias("partition_id"), F.concat_ws("#", "s.path", "i").alias("doc_id"), *(none.alias(c) for c in FIELDS[1:-1]), F.col("s.value").alias("text"))
 
 
-Member = Callable[[bytes, str], Iterator[tuple[str, str]]]
+Member = Callable[[BinaryIO, str], Iterator[tuple[str, str]]]
 _BATCH = 2000
 
 
-def _archives(spark: SparkSession, path: str, resource: str, members: Member, genre: str | None = None) -> DataFrame:
-    """(doc_id, text) of archives, each by one task, which holds the packed file and a batch of rows; binaryFile is limited to files of 2 GB, larger ones have to be split beforehand."""
+def _opened(file: str) -> BinaryIO:
+    """A file that a task reads piece by piece, from any place on."""
+    fs, path = filesystem(file)
+    return fs.open_input_file(path)
+
+
+def _lines(data: BinaryIO) -> Iterator[str]:
+    """Lines of a member of a stream, which can't be gone back in."""
+    for line in data:
+        yield line.decode("utf-8", "replace")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """Paths of files. Their content isn't a column, so that Spark neither reads it nor limits it to what a row can hold."""
+    return spark.read.format("binaryFile").load(path).select("path")
+
+
+def _read_by_tasks(files: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows that a function gives of each row of files, in batches."""
+    names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def run(batches):
         for pdf in batches:
-            for file, content in zip(pdf["path"], pdf["content"]):
-                found = members(bytes(content), file)
-                while rows := list(islice(found, _BATCH)):
-                    yield pd.DataFrame({"path": [file] * len(rows), "doc_id": [a for a, _ in rows], "text": [b for _, b in rows]})
+            for own in pdf.itertuples(index=False):
+                found = rows(*own)
+                while some := list(islice(found, _BATCH)):
+                    yield pd.DataFrame(some, columns=names)
+
+    return files.mapInPandas(run, schema)
 
-    df = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, doc_id string, text string")
+
+def _candidate_rows(df: DataFrame, resource: str, genre: str | None = None) -> DataFrame:
     none = F.lit(None).cast("string")
     return df.select(F.lit(resource).alias("resource_id"), partition_id(F.lit(resource), F.col("path")).alias("partition_id"), "doc_id", none.alias("title"), none.alias("url"), none.alias("domain"), F.lit(genre).cast("string").alias("genre"), none.alias("quality"), "text")
 
 
+def _archives(spark: SparkSession, path: str, resource: str, members: Member, genre: str | None = None) -> DataFrame:
+    """(doc_id, text) of archives that are one stream, each read by one task, which holds a piece of it and a batch of rows."""
+
+    def rows(file: str):
+        with _opened(file) as data:
+            for doc_id, text in members(data, file):
+                yield file, doc_id, text
+
+    return _candidate_rows(_read_by_tasks(_files(spark, path), rows, "path string, doc_id string, text string"), resource, genre)
+
+
+def zip_members(spark: SparkSession, path: str, wanted: Callable[[list[str]], list[str]]) -> DataFrame:
+    """path and member of what is wanted of each zip's names. Only the directories at the ends of the zips are read; members are dealt over tasks."""
+
+    def names(file: str):
+        with _opened(file) as data, zipfile.ZipFile(data) as z:
+            for name in wanted(z.namelist()):
+                yield file, name
+
+    return _read_by_tasks(_files(spark, path), names, "path string, member string").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "member")
+
+
 def read_xz_lines(spark: SparkSession, path: str, resource: str) -> DataFrame:
-    def members(data: bytes, file: str):
-        with lzma.open(io.BytesIO(data), "rt", encoding="utf-8", errors="replace") as f:
+    def members(data: BinaryIO, file: str):
+        with lzma.open(data, "rt", encoding="utf-8", errors="replace") as f:
             for n, line in enumerate(f, 1):
                 if line.strip():
                     yield str(n), line.rstrip("\r\n")
@@ -162,27 +207,26 @@ def read_xz_lines(spark: SparkSession, path: str, resource: str) -> DataFrame:
 
 
 def read_moses_zip(spark: SparkSession, path: str, resource: str, suffix: str = ".sq") -> DataFrame:
-    """Lines of every member with a suffix, in every zip."""
+    """Lines of every member with a suffix, in every zip; several tasks may read one zip, each its members."""
 
-    def members(data: bytes, file: str):
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            for name in sorted(x for x in z.namelist() if x.endswith(suffix)):
-                with io.TextIOWrapper(z.open(name), "utf-8", "replace", "\n") as lines:
-                    for n, line in enumerate(lines, 1):
-                        if line.strip():
-                            yield f"{name}:{n}", line.rstrip("\r\n")
+    def rows(file: str, name: str):
+        with _opened(file) as data, zipfile.ZipFile(data) as z, io.TextIOWrapper(z.open(name), "utf-8", "replace", "\n") as lines:
+            for n, line in enumerate(lines, 1):
+                if line.strip():
+                    yield file, f"{name}:{n}", line.rstrip("\r\n")
 
-    return _archives(spark, path, resource, members, "parallel")
+    members = zip_members(spark, path, lambda names: [x for x in names if x.endswith(suffix)])
+    return _candidate_rows(_read_by_tasks(members, rows, "path string, doc_id string, text string"), resource, "parallel")
 
 
 def read_tar_sentences(spark: SparkSession, path: str, resource: str, suffix: str = "-sentences.txt") -> DataFrame:
     """Members of id, tab and text."""
 
-    def members(data: bytes, file: str):
-        with tarfile.open(fileobj=io.BytesIO(data)) as t:
+    def members(data: BinaryIO, file: str):
+        with tarfile.open(fileobj=data, mode="r|*") as t:
             for m in t:
                 if m.name.endswith(suffix):
-                    for line in io.TextIOWrapper(t.extractfile(m), "utf-8", "replace", "\n"):
+                    for line in _lines(t.extractfile(m)):
                         i, tab, text = line.rstrip("\r\n").partition("\t")
                         if tab and text.strip():
                             yield i, text
@@ -195,16 +239,12 @@ def read_xml_zip(spark: SparkSession, path: str, resource: str) -> DataFrame:
     schema = "path string, doc_id string, title string, url string, domain string, quality string, text string"
     names = [c.split(" ")[0] for c in schema.split(", ")]
 
-    def run(batches):
-        for pdf in batches:
-            for file, content in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
-                    first = next(x for x in z.namelist() if x.endswith(".xml"))
-                    found = _paragraphs(z.open(first))
-                    while rows := list(islice(found, _BATCH)):
-                        yield pd.DataFrame([(file, *r) for r in rows], columns=names)
-
-    df = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    def rows(file: str, name: str):
+        with _opened(file) as data, zipfile.ZipFile(data) as z:
+            for paragraph in _paragraphs(z.open(name)):
+                yield file, *paragraph
+
+    df = _read_by_tasks(zip_members(spark, path, lambda found: [x for x in found if x.endswith(".xml")][:1]), rows, schema)
     return df.select(F.lit(resource).alias("resource_id"), partition_id(F.lit(resource), F.col("path")).alias("partition_id"), *(F.col(c) if c in names else F.lit(None).cast("string").alias(c) for c in FIELDS))
 
 

@@ -79,3 +79,50 @@ def test_streaming(spark):
         assert spark.table("counts").agg(F.sum("n")).first()[0] == batch.count()
     finally:
         query.stop()
+
+
+def test_archives_beyond_two_gigabytes(spark, tmp_path):
+    """A zip of more bytes than a row can hold: its directory and members are read, by several tasks, and nothing else."""
+    import io
+    import zipfile
+
+    from lexispark.sources import readers as R
+
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for k in range(40):
+            z.writestr(f"m{k}.sq", f"line {k}\n\nsecond {k}\r\n")
+        z.writestr("other.en", "no")
+    folder = tmp_path / "zips"
+    folder.mkdir()
+    with open(folder / "large.zip", "wb") as f:
+        f.seek(2_300_000_000)  # a hole before the archive takes no disk
+        f.write(packed.getvalue())
+    found = R.read_moses_zip(spark, f"file://{folder}", "r")
+    rows = found.withColumn("task", F.spark_partition_id()).collect()
+    assert {(r["doc_id"], r["text"]) for r in rows} == {(f"m{k}.sq:{n}", f"{w} {k}") for k in range(40) for n, w in ((1, "line"), (3, "second"))}
+    assert {r["partition_id"] for r in rows} == {"r#large_zip"} and len({r["task"] for r in rows}) > 1
+    assert "content" not in R._files(spark, f"file://{folder}")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_streams_are_read_by_pieces(spark, tmp_path):
+    """A tar whose members come one after the other from a stream, and xz lines of any length."""
+    import io
+    import lzma
+    import tarfile
+
+    from lexispark.sources import readers as R
+
+    def add(t, name, data):
+        info = tarfile.TarInfo(name)
+        info.size = len(data)
+        t.addfile(info, io.BytesIO(data))
+
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as t:
+        add(t, "x/big.bin", bytes(3_000_000))
+        add(t, "x/s-sentences.txt", "".join(f"{k}\ttext {k}\n" for k in range(5000)).encode() + b"no tab\n\n9\t \n")
+    found = R.read_tar_sentences(spark, f"file://{tmp_path}/a.tar.gz", "r").collect()
+    assert len(found) == 5000 and {(r["doc_id"], r["text"]) for r in found} == {(str(k), f"text {k}") for k in range(5000)}
+    (tmp_path / "b.xz").write_bytes(lzma.compress(("x" * 2_000_000 + "\n \nshort\n").encode()))
+    found = R.read_xz_lines(spark, f"file://{tmp_path}/b.xz", "r").collect()
+    assert [(r["doc_id"], len(r["text"])) for r in found] == [("1", 2_000_000), ("3", 5)]
