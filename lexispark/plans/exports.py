@@ -12,8 +12,10 @@ from .lexicon import _PARADIGM, forms, lexicon
 
 _IRREGULAR = (("drink", "drank", "drunk", "drinking"), ("give", "gave", "given", "giving"), ("come", "came", "come", "coming"), ("be", "was", "been", "being"))
 _EN = f"""irr AS (SELECT * FROM (VALUES {', '.join(map(str, _IRREGULAR))}) v(base, past, participle, gerund)), b AS (SELECT verb_id, regexp_replace(trim(string_split(translation_en, ' / ')[1]), '^to ', '') AS base FROM lexicon),
-    en AS (SELECT verb_id, b.base, coalesce(i.past, CASE WHEN b.base LIKE '%e' THEN b.base || 'd' ELSE b.base || 'ed' END) AS past, coalesce(i.participle, CASE WHEN b.base LIKE '%e' THEN b.base || 'd' ELSE b.base || 'ed' END) AS participle,
-        coalesce(i.gerund, CASE WHEN regexp_matches(b.base, '[^eoy]e$') THEN b.base[:-2] || 'ing' ELSE b.base || 'ing' END) AS gerund FROM b LEFT JOIN irr i USING (base))"""
+    r AS (SELECT *, right(base, 1) AS last, length(base) >= 3 AND regexp_matches(base, '(?i)[^aeiou][aeiou][^aeiouwxy]$') AND len(regexp_extract_all(base, '(?i)[aeiou]+')) = 1 AS cvc FROM b),
+    ruled AS (SELECT verb_id, base, CASE WHEN last = 'e' THEN base || 'd' WHEN regexp_matches(base, '(?i)[^aeiou]y$') THEN base[:-2] || 'ied' WHEN last <> 'y' AND cvc THEN base || last || 'ed' ELSE base || 'ed' END AS past,
+        CASE WHEN ends_with(base, 'ie') THEN base[:-3] || 'ying' WHEN regexp_matches(base, '[^eoy]e$') THEN base[:-2] || 'ing' WHEN cvc THEN base || last || 'ing' ELSE base || 'ing' END AS gerund FROM r),
+    en AS (SELECT verb_id, u.base, coalesce(i.past, u.past) AS past, coalesce(i.participle, u.past) AS participle, coalesce(i.gerund, u.gerund) AS gerund FROM ruled u LEFT JOIN irr i USING (base))"""
 _TPL = "tpl AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(str(x).lower() if isinstance(x, bool) else f"'{x}'" for x in t) + ")" for t in gloss.TEMPLATES) + ") v(key, prefix, adverb, aux, verb_form, no_pronoun, suffix, invert))"
 _PASSIVE = "CASE WHEN aux = '' THEN CASE verb_form WHEN 'base' THEN CASE WHEN mood = 'imperative' THEN 'be' ELSE 'am/are/is' END WHEN 'past' THEN 'was/were' WHEN 'gerund' THEN 'am/are/is being' ELSE '' END ELSE aux || CASE verb_form WHEN 'base' THEN ' be' WHEN 'gerund' THEN ' being' ELSE ' been' END END"
 _ONE, _THREE = "coalesce(cell = '1sg', true)", "coalesce(cell = '3sg', false)"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..cluster import new_path
 from ..functions import english, phonology
 from ..operators import lookups as L
+from ..operators import reports as R
 from ..registry import register
 from ..sources import readers, writers
 from .lexicon import _PARADIGM, forms, lexicon
@@ -145,9 +146,12 @@ def _(spark, sf):
     return L.lookup_parallel(_keys(spark), _examples(spark))
 
 
-@register("sample_seeded")
+@register("sample_seeded", """WITH RECURSIVE n AS (SELECT count(*) AS n FROM documents), g AS (SELECT 0 AS place, (42 * 1664525 + 1013904223) % 4294967296 AS state UNION ALL SELECT place + 1, (state * 1664525 + 1013904223) % 4294967296 FROM g WHERE place < 49),
+    d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS number FROM documents) SELECT place, doc_id FROM g, n JOIN d ON d.number = state % n.n""")
 def _(spark, sf):
-    return L.lcg_sample(1000, 42, 50, spark)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id")
+    numbered = R.placed(docs, ["doc_id"]).withColumn("number", F.col("nth") - 1)
+    return L.lcg_sample(docs.count(), 42, 50, spark).join(numbered, "number").select("place", "doc_id")
 
 
 def _distinct_forms(spark, sf):
@@ -174,7 +178,7 @@ _CVC = "(length(base) >= 3 AND regexp_matches(base, '[^aeiou][aeiou][^aeiouwxy]$
                  CASE WHEN base LIKE '%ie' THEN base[:-3] || 'ying' WHEN regexp_matches(base, '[^eoy]e$') THEN base[:-2] || 'ing' WHEN {_CVC} THEN base || right(base, 1) || 'ing' ELSE base || 'ing' END AS g FROM b)
     SELECT r.base, coalesce(i.past, p) AS past, coalesce(i.participle, p) AS participle, coalesce(i.gerund, g) AS gerund FROM r LEFT JOIN i ON i.base = r.base""")
 def _(spark, sf):
-    return english.english_forms(_english(spark, sf), _irregular(spark)).select("base", "past", "participle", "gerund")
+    return english.english_forms(_english(spark), _irregular(spark)).select("base", "past", "participle", "gerund")
 
 
 @register("rd_parquet_strings", r"WITH s AS (SELECT unnest([url, html]) AS t FROM pages) SELECT md5(t) AS digest, length(t) AS chars, count(*) AS n FROM s WHERE regexp_matches(t, '\p{L}') AND len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '')) >= 3 GROUP BY 1, 2")
