@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import match as M
 from ..operators import reports as R
 from ..registry import register
-from .corpus import _ALL, _FAM, _KEY, _S, _STATS, MATCHES, SENTENCES, TARGETS_SQL, _with, occ, raw, rows, targets
+from .corpus import _ALL, _FAM, _KEY, _S, _STATS, MATCHES, SENTENCES, TARGETS_SQL, _with, occ, once, patterns, raw, rows, targets
 from ..functions import text as T
 
 _T = _with(TARGETS_SQL)
@@ -15,7 +15,9 @@ _COVER = f"{_ALL}, hits AS (SELECT DISTINCT target_id FROM retained), cov AS (SE
 
 
 def _cover(spark, sf):
-    return R.coverage(targets(spark), M.retain(occ(spark, sf)))
+    """A target is covered if a sentence that is kept has it: counts of one pass say so, without occurrences and their ranks."""
+    kept = M.trace(once(spark, sf), patterns(spark)).filter("emitted_matches_before_writer_cap > 0")
+    return R.coverage(targets(spark), kept)
 
 
 # --- joins ------------------------------------------------------------------------------------------------------------
