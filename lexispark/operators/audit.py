@@ -60,6 +60,7 @@ def label_miss(variants_recorded: bool, least: int = 100, few: int = 3) -> Colum
     c = F.col
     voice, mood, tense, t = c("voice"), c("mood"), c("tense"), c("tokens")
     near_empty = (c("cell_total") >= least) & (c("cell_hit") <= few)
+    # fixed values: the names of labels, in the order in which they are given
     checked = lambda yes, no: F.lit(yes if variants_recorded else no)
     accepted = lambda kind: F.when(F.size(t) == 1, f"{kind}_exact_absence").otherwise(f"{kind}_head_token_absence")
     labels = _some(

@@ -72,6 +72,7 @@ def _(spark, sf):
     return targets(spark, sf).select("target_id", F.array_join(F.transform(A.variant_probes(), lambda p: F.concat_ws("=", p["kind"], p["alternant"])), "|").alias("probes"))
 
 
+# The names of labels.
 def _labels(recorded: bool) -> str:
     checked = lambda yes, no: f"'{yes if recorded else no}'"
     absent = lambda kind: f"CASE WHEN len(tokens) = 1 THEN '{kind}_exact_absence' ELSE '{kind}_head_token_absence' END"
