@@ -87,7 +87,7 @@ def _(spark, sf):
 
 
 def _misses(spark, sf):
-    return A.with_stats(PA.targets(spark, sf)).filter("NOT hit").withColumn("labels", A.label_miss(True, LEAST))
+    return PA.misses(spark, sf).withColumn("labels", A.label_miss(True, LEAST))
 
 
 _MISS = f"{_W}, {_STATS}, mi AS (SELECT *, {_labels(True)} AS labels FROM st WHERE NOT hit)"

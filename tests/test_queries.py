@@ -95,3 +95,36 @@ def test_matcher_literals(spark):
     hits = M.phrase_match(rows, M.target_patterns(targets)).filter(M.apostrophe_guard(F.col("variant_kind"), F.col("sentence")))
     found = sorted((r["n"], r["target_id"], r["variant_kind"]) for r in hits.collect())
     assert found == [(1, "a", "canonical"), (1, "a", "canonical"), (1, "b", "canonical"), (2, "a", "canonical"), (2, "c", "te_mos_order"), (3, "a", "canonical"), (3, "d", "s_negative"), (4, "e", "diacritic_fold"), (5, "f", "canonical"), (5, "f", "canonical"), (7, "a", "canonical")]
+
+
+def test_pattern_counts(spark):
+    """Counts of patterns equal those of the matcher's rows; patterns with a token that no sentence has are left out before."""
+    from pyspark.sql import functions as F
+
+    from lexispark.operators import match as M
+    from lexispark.plans import corpus as C
+
+    rows = C.scanned(spark, SF).select("norm", (F.col("position") % 2 == 0).alias("keep"))
+    asked = [("the",), ("of the",), ("the the",), ("in the",), ("the",), ("nosuchtoken",), ("the nosuchtoken",), ("",)]
+    patterns, tokens = spark.createDataFrame(asked, "pattern string"), M.token_counts(rows)
+    left = M.possible(patterns, tokens)
+    assert {r["pattern"] for r in left.collect()} == {"the", "of the", "the the", "in the"}
+    want = M.phrase_match(rows, patterns.distinct()).groupBy("pattern").agg(F.count("*").alias("raw"), F.count_if("keep").alias("kept")).collect()
+    assert sorted(map(tuple, M.pattern_counts(rows, left, tokens).select("pattern", "raw", "kept").collect())) == sorted(map(tuple, want)) and len(want) > 2
+
+
+def test_forms_are_not_shuffled_for_evidence(spark):
+    """Audited targets get their evidence without a shuffle of all forms: few keys may occur, and a table of targets holds what can't be derived."""
+    from pathlib import Path
+    from urllib.parse import unquote, urlparse
+
+    from lexispark.plans import audit, corpus
+    from lexispark.plans.lexicon import forms
+
+    corpus._STORE.clear()
+    t = audit.targets(spark, SF)
+    assert t.count() == forms(spark, SF).filter("modality = 'declarative' AND form IS NOT NULL").count()
+    stored = {k[1]: d for k, d in corpus._STORE.items() if k[0] == spark.sparkContext.applicationId}
+    assert "sentences" not in stored and stored["form keys"].count() * 10 < t.count()
+    size = sum(Path(unquote(urlparse(f).path)).stat().st_size for f in stored["audit targets"].inputFiles())
+    assert size < 30 * t.count()  # 90 bytes and more with digests and ids
