@@ -55,21 +55,23 @@ def read_jsonl_filtered(spark: SparkSession, path: str, resource: str) -> DataFr
     return _candidates(df, resource, doc_id=F.col("id"), title=F.col("crawl_id"), url=F.col("u"), domain=X.url_domain(F.col("u")), genre=F.lit("web"), quality=quality, text=F.col("text"))
 
 
-def numbered_lines(df: DataFrame) -> DataFrame:
+def numbered_lines(df: DataFrame, through: bool = False) -> DataFrame:
     """Lines of text files (value), with their file and their number in it from 1 on, however Spark has split the files.
 
-    Lines are numbered within each split, of which a task reads a few; the lines before a split are a sum over the splits of its file.
+    Lines are numbered within each split, of which a task reads a few; the lines before a split are a sum over the splits of its
+    file. With through the numbers go on from file to file, in the order of their names; the table of splits is small.
     """
     rows = df.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     own = rows.withColumn("own", F.row_number().over(Window.partitionBy("file", "block").orderBy("at")))
-    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    order = Window.orderBy("file", "block") if through else Window.partitionBy("file").orderBy("block")
+    before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
     blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(before, F.lit(0)).alias("earlier"))
     return own.join(blocks, ["file", "block"]).select("value", "file", (F.col("earlier") + F.col("own")).alias("line"))
 
 
-def read_text_lines(spark: SparkSession, path: str, resource: str, url: str | None = None, domain: str | None = None) -> DataFrame:
-    """Lines of text files that have more than white space; a line's id is its number in its file."""
-    df = numbered_lines(spark.read.text(path)).filter(F.trim("value") != "")
+def read_text_lines(spark: SparkSession, path: str, resource: str, url: str | None = None, domain: str | None = None, through: bool = False) -> DataFrame:
+    """Lines of text files that have more than white space; a line's id is its number in its file, or, with through, in all files by their names."""
+    df = numbered_lines(spark.read.text(path), through).filter(F.trim("value") != "")
     found = {"doc_id": F.col("line"), "url": F.lit(url), "domain": F.lit(domain), "text": F.col("value")}
     return df.select(F.lit(resource).alias("resource_id"), partition_id(F.lit(resource), F.col("file")).alias("partition_id"), *(found.get(c, F.lit(None)).cast("string").alias(c) for c in FIELDS))
 
@@ -160,11 +162,9 @@ def _read_by_tasks(files: DataFrame, rows: Callable[..., Iterator[tuple]], schem
     names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def run(batches):
-        for pdf in batches:
-            for own in pdf.itertuples(index=False):
-                found = rows(*own)
-                while some := list(islice(found, _BATCH)):
-                    yield pd.DataFrame(some, columns=names)
+        found = (row for pdf in batches for own in pdf.itertuples(index=False) for row in rows(*own))
+        while some := list(islice(found, _BATCH)):
+            yield pd.DataFrame(some, columns=names)
 
     return files.mapInPandas(run, schema)
 
@@ -193,7 +193,23 @@ def zip_members(spark: SparkSession, path: str, wanted: Callable[[list[str]], li
             for name in wanted(z.namelist()):
                 yield file, name
 
-    return _read_by_tasks(_files(spark, path), names, "path string, member string").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "member")
+    found = _read_by_tasks(_files(spark, path), names, "path string, member string")
+    return found.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "member").sortWithinPartitions("path", "member")
+
+
+def _from_zips(rows: Callable[[zipfile.ZipFile, str, str], Iterator[tuple]]) -> Callable[[str, str], Iterator[tuple]]:
+    """Rows of a member of a zip (opened zip, path, member) for rows of zip_members(): a zip stays open until its last member, so its directory is read once in a task, not for each member."""
+    opened: dict[str, zipfile.ZipFile] = {}
+
+    def run(file: str, name: str) -> Iterator[tuple]:
+        if file not in opened:
+            for z in opened.values():
+                z.fp.close() if z.fp else None
+            opened.clear()
+            opened[file] = zipfile.ZipFile(_opened(file))
+        return rows(opened[file], file, name)
+
+    return run
 
 
 def read_xz_lines(spark: SparkSession, path: str, resource: str) -> DataFrame:
@@ -209,14 +225,14 @@ def read_xz_lines(spark: SparkSession, path: str, resource: str) -> DataFrame:
 def read_moses_zip(spark: SparkSession, path: str, resource: str, suffix: str = ".sq") -> DataFrame:
     """Lines of every member with a suffix, in every zip; several tasks may read one zip, each its members."""
 
-    def rows(file: str, name: str):
-        with _opened(file) as data, zipfile.ZipFile(data) as z, io.TextIOWrapper(z.open(name), "utf-8", "replace", "\n") as lines:
+    def rows(z: zipfile.ZipFile, file: str, name: str):
+        with io.TextIOWrapper(z.open(name), "utf-8", "replace", "\n") as lines:
             for n, line in enumerate(lines, 1):
                 if line.strip():
                     yield file, f"{name}:{n}", line.rstrip("\r\n")
 
     members = zip_members(spark, path, lambda names: [x for x in names if x.endswith(suffix)])
-    return _candidate_rows(_read_by_tasks(members, rows, "path string, doc_id string, text string"), resource, "parallel")
+    return _candidate_rows(_read_by_tasks(members, _from_zips(rows), "path string, doc_id string, text string"), resource, "parallel")
 
 
 def read_tar_sentences(spark: SparkSession, path: str, resource: str, suffix: str = "-sentences.txt") -> DataFrame:
@@ -239,12 +255,11 @@ def read_xml_zip(spark: SparkSession, path: str, resource: str) -> DataFrame:
     schema = "path string, doc_id string, title string, url string, domain string, quality string, text string"
     names = [c.split(" ")[0] for c in schema.split(", ")]
 
-    def rows(file: str, name: str):
-        with _opened(file) as data, zipfile.ZipFile(data) as z:
-            for paragraph in _paragraphs(z.open(name)):
-                yield file, *paragraph
+    def rows(z: zipfile.ZipFile, file: str, name: str):
+        for paragraph in _paragraphs(z.open(name)):
+            yield file, *paragraph
 
-    df = _read_by_tasks(zip_members(spark, path, lambda found: [x for x in found if x.endswith(".xml")][:1]), rows, schema)
+    df = _read_by_tasks(zip_members(spark, path, lambda found: [x for x in found if x.endswith(".xml")][:1]), _from_zips(rows), schema)
     return df.select(F.lit(resource).alias("resource_id"), partition_id(F.lit(resource), F.col("path")).alias("partition_id"), *(F.col(c) if c in names else F.lit(None).cast("string").alias(c) for c in FIELDS))
 
 

@@ -126,3 +126,41 @@ def test_streams_are_read_by_pieces(spark, tmp_path):
     (tmp_path / "b.xz").write_bytes(lzma.compress(("x" * 2_000_000 + "\n \nshort\n").encode()))
     found = R.read_xz_lines(spark, f"file://{tmp_path}/b.xz", "r").collect()
     assert [(r["doc_id"], len(r["text"])) for r in found] == [("1", 2_000_000), ("3", 5)]
+
+
+def test_files_grow_in_number(spark, monkeypatch):
+    """Larger tables give more files, each of about one size, and readers give the same rows; lines are numbered through all files."""
+    from lexispark.plans import files
+    from lexispark.registry import queries
+
+    sf = "/root/testdata/sf0.001"
+    names = ("rd_txt_lines", "rd_moses_zip", "rd_xml_zip", "rd_wiki_bz2", "rd_tatoeba", "rd_xz_lines")
+    before = {n: sorted(map(str, queries()[n](spark, sf).collect())) for n in names}
+    assert files.parts(spark, sf) == files.PARTS
+    monkeypatch.setattr(files, "PART_BYTES", 20_000)
+    assert files.parts(spark, sf) > 2 * files.PARTS
+    assert files._documents(spark, sf).rdd.getNumPartitions() == files.parts(spark, sf)
+    for n in names:
+        assert sorted(map(str, queries()[n](spark, sf).collect())) == before[n]
+
+
+def test_directory_of_a_zip_is_read_once_in_a_task(tmp_path, monkeypatch):
+    import zipfile
+
+    from lexispark.sources import readers
+
+    for k in "ab":
+        with zipfile.ZipFile(tmp_path / f"{k}.zip", "w") as z:
+            for i in range(50):
+                z.writestr(f"{i}", f"{k}{i}")
+    made = []
+
+    class Counted(zipfile.ZipFile):
+        def __init__(self, *a, **b):
+            made.append(1)
+            super().__init__(*a, **b)
+
+    monkeypatch.setattr(zipfile, "ZipFile", Counted)
+    run = readers._from_zips(lambda z, file, name: iter([(name, z.read(name).decode())]))
+    found = [row for k in "ab" for i in range(50) for row in run(str(tmp_path / f"{k}.zip"), str(i))]
+    assert found == [(str(i), f"{k}{i}") for k in "ab" for i in range(50)] and len(made) == 2
