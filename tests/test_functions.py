@@ -53,3 +53,13 @@ def test_dossier_in_one_plan(spark):
         want = plain_dossier(rows, [(name, test, total, "verb_id", each) for name, test, _, total, each in tests], most)
         found = C.sample_dossier(df, [(name, condition, total, "verb_id", each) for name, _, condition, total, each in tests], most)
         assert {r["target_id"]: r["reasons"] for r in found.collect()} == want
+
+
+def test_kept_is_what_the_flags_say(spark):
+    from lexispark.functions import text as T
+    from lexispark.plans import corpus as C
+
+    s = [F.col("sentence"), F.col("norm"), F.col("quality")]
+    both = C.scanned(spark, "/root/testdata/sf0.001").select(T.kept(*s).alias("kept"), T.keep_sentence(T.quality_flags(*s)).alias("flags"))
+    found = {tuple(r[:2]): r["count"] for r in both.groupBy("kept", "flags").count().collect()}
+    assert set(found) == {(True, True), (False, False)}
