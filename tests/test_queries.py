@@ -128,3 +128,37 @@ def test_forms_are_not_shuffled_for_evidence(spark):
     assert "sentences" not in stored and stored["form keys"].count() * 10 < t.count()
     size = sum(Path(unquote(urlparse(f).path)).stat().st_size for f in stored["audit targets"].inputFiles())
     assert size < 30 * t.count()  # 90 bytes and more with digests and ids
+
+
+def test_forms_are_not_stored(spark):
+    """Audited targets are stored as their verbs, a row each; reports by verb shuffle no forms, and reports without evidence read no sentence."""
+    import __spark_entry__
+    from lexispark.plans import audit, corpus
+    from lexispark.plans.lexicon import lexicon
+
+    names = lambda: {k[1]: d for k, d in corpus._STORE.items() if k[0] == spark.sparkContext.applicationId}
+    corpus._STORE.clear()
+    query = __spark_entry__.queries()
+    assert query["flt_voice_shape"](spark, SF).count() > 0 and set(names()) == {"lexicon"}
+    assert query["agg_review_coverage"](spark, SF).count() > 0
+    assert names()["audit targets"].count() == lexicon(spark, SF).count()
+    plan = audit.targets(spark, SF).groupBy("verb_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_texts_are_not_shuffled_for_labels(spark, monkeypatch):
+    """Labels beyond Spark's limit for broadcasts go to every task, up to a limit of their own, and give the same rows as a shuffle."""
+    from lexispark.operators import match as M
+
+    documents, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        sent = M.sentences(documents, labels=labels)
+        assert "BroadcastHashJoin" in sent._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(M, "LABEL_ROWS", 10)
+        met = M.sentences(documents, labels=labels)
+        assert "SortMergeJoin" in met._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, sent.collect())) == sorted(map(str, met.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
