@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RowLists, batch, binaries, columns, join_hot, materialize, numbered_copy, only, ragged, release, settled, steps, strings, utf8
+from .common import RowLists, batch, binaries, columns, discard, join_hot, materialize, noting, numbered_copy, only, passing, ragged, release, settled, steps, strings, utf8
 from .dartminhash import components, joined_components, shingles
 
 #: Percent of the union that the intersection needs.
@@ -137,8 +137,9 @@ def _survivors(signed: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame
     """node, size, elements of the nodes that enough of their heads' tokens leave."""
     reps = RowLists(nodes.select(F.col("node").alias("nth")), "reps")
     heads = signed.select("nth", "elements").mapInArrow(_token_rows(threshold, True, reps.finder), _TOKENS)
-    shared = heads.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1").select("token")
-    hits = heads.join(shared, "token").groupBy("node").agg(F.count("*").alias("hits"))
+    # one shuffle of the heads; a token that very many have is a group of narrow rows, which Spark spills
+    shared = heads.withColumn("held", F.count("*").over(Window.partitionBy("token"))).filter("held > 1")
+    hits = shared.groupBy("node").agg(F.count("*").alias("hits"))
     need = F.greatest(F.lit(1), F.expr(f"(({threshold} * size + 99) div 100) div {SLACK}"))
     left = RowLists(hits.join(nodes.select("node", "size"), "node").filter(F.col("hits") >= need).select(F.col("node").alias("nth")), "left")
     rows = signed.select("nth", "size", "elements").mapInArrow(_listed_rows(left.finder), "nth long, size long, elements binary")
@@ -201,16 +202,21 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, id_col: str
     """A row per row of docs: doc_id, n_shingles, component_id. threshold: percent of the union."""
 
     def joined() -> DataFrame:
-        signed = numbered_copy(columns(docs, doc_id=(id_col, "long"), text=(text_col, None)).mapInArrow(_sign, _SIGNED), "signed")
-        texts = signed.filter("size > 0")
+        with noting(whole := []):
+            signed = numbered_copy(columns(docs, doc_id=(id_col, "long"), text=(text_col, None)).mapInArrow(_sign, _SIGNED), "signed")
+        passing(whole[0])
+        rows = materialize(signed.drop("elements"), "rows")
+        texts = rows.filter("size > 0")
         nodes = texts.groupBy("key").agg(F.min("nth").alias("node"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min("size").alias("size"))
         nodes = materialize(nodes, "nodes")
-        roots = _roots(_survivors(signed, nodes, threshold), threshold)
+        sets = _survivors(signed, nodes, threshold)
+        discard(docs.sparkSession, whole[0])  # all sets, the largest table; what comes later asks for those that are left
+        roots = _roots(sets, threshold)
         classed = materialize(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("key", "first_id", "copies", "root"), "classed")
         ids = classed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("nodes"))
         named = materialize(join_hot(classed, ids, ["root"], "nodes", classed.count()).select("key", "copies", "component_id"), "named")
-        found = join_hot(texts.select("doc_id", "key", "size"), named, ["key"], "copies", signed.count())
-        alone = signed.filter("size = 0").select("doc_id", "size", F.col("doc_id").alias("component_id"))
+        found = join_hot(texts.select("doc_id", "key", "size"), named, ["key"], "copies", rows.count())
+        alone = rows.filter("size = 0").select("doc_id", "size", F.col("doc_id").alias("component_id"))
         return found.select("doc_id", "size", "component_id").unionByName(alone).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
 
     return settled(joined, docs.sparkSession, "components")

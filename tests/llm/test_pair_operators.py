@@ -212,6 +212,29 @@ def test_join_of_documents(docs):
     assert joined(docs) == brute_components(rows)
 
 
+def test_join_drops_all_sets_early(spark, docs, monkeypatch):
+    """The table of all sets is gone when the sets that are left are compared, and heads are shuffled once."""
+    from pathlib import Path
+    from urllib.parse import unquote, urlparse
+
+    folder = lambda df: Path(unquote(urlparse(df.inputFiles()[0]).path)).parent
+    seen, survivors, roots = {}, jaccard_join._survivors, jaccard_join._roots
+
+    def watched(signed, *more):
+        seen["all"] = folder(signed)
+        assert seen["all"].exists()
+        return survivors(signed, *more)
+
+    def after(sets, *more):
+        seen["left"] = (seen["all"].exists(), folder(sets).exists())
+        return roots(sets, *more)
+
+    monkeypatch.setattr(jaccard_join, "_survivors", watched)
+    monkeypatch.setattr(jaccard_join, "_roots", after)
+    assert joined(docs) == brute_components([tuple(r) for r in docs.select("doc_id", "text").collect()])
+    assert seen["left"] == (False, True)
+
+
 def test_join_of_families(spark):
     """Chains without a middle, copies, edits at every distance around the threshold, texts with a long passage in common, templates."""
     rng = np.random.default_rng(5)
