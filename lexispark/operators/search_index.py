@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 CHUNK_DOCUMENTS, BLOCK_POSTINGS, BUCKETS = 4096, 4096, 64
+#: Chunks whose postings of a bucket are sorted by one task.
+GROUP_CHUNKS = 4
 
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,18 +124,19 @@ def _bucket(token: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
-def build_index(rows: DataFrame, path: str, buckets: int = BUCKETS, chunk_documents: int = CHUNK_DOCUMENTS) -> None:
-    """Writes the index of sentences (resource_id, doc_id, position, norm) to a path.
+def build_index(rows: DataFrame, path: str, buckets: int = BUCKETS, chunk_documents: int = CHUNK_DOCUMENTS, documents: int | None = None) -> None:
+    """Writes the index of sentences (resource_id, doc_id, position, norm) to a path. documents: how many they are of, where that is known.
 
-    Postings are sorted by ranges of (bucket, token, chunk, ...), which Spark samples: a frequent token's postings are spread
-    over many ranges, and a task's rows are of few buckets.
+    Rows are made once: postings are dealt by the hash of their bucket and of a group of GROUP_CHUNKS chunks, with no sample
+    of ranges before it. So a frequent token's postings are spread over the groups, each of a bounded number of documents,
+    and a group of a bucket is one file.
     """
-    docs = rows.agg(F.approx_count_distinct(F.xxhash64("resource_id", "doc_id"))).first()[0]
+    docs = rows.agg(F.approx_count_distinct(F.xxhash64("resource_id", "doc_id"))).first()[0] if documents is None else documents
     chunks = max(1, math.ceil(docs / chunk_documents))
     places = rows.select("resource_id", F.col("doc_id").isNull().alias("no_doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("position").cast("long").alias("position"), F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"), F.posexplode(T.tokens(F.col("norm"))).alias("at", "token"))
     order = ["bucket", "token", "chunk", "resource_id", "no_doc", "doc_id", "position", "at"]
     placed = places.withColumn("bucket", _bucket(F.col("token"), buckets)).select(*order)
-    dealt = placed.repartitionByRange(*order[:3], "doc_id").sortWithinPartitions(*order)
+    dealt = placed.repartition("bucket", F.expr(f"chunk div {GROUP_CHUNKS}")).sortWithinPartitions(*order)
     dealt.mapInArrow(_blocks, _BLOCKS).write.partitionBy("bucket").parquet(path)
 
 
