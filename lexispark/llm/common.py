@@ -185,6 +185,18 @@ def release() -> None:
         pass
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int = STEP_ROWS) -> Iterator[None]:
+    """What is written in this context goes to Python in batches of so many rows: executor and worker each hold one whole."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def utf8(text: str) -> bytes:
     """Bytes of a text; lone surrogates, which no valid column holds, don't raise."""
     return text.encode("utf-8", "surrogatepass")

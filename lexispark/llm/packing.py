@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch, binaries, columns, materialize, new_path, only, passing, ragged, release, steps
+from .common import batch, batches_of, binaries, columns, materialize, new_path, only, passing, ragged, release, steps
 from .tokens import BYTE_BPE, STEP_BYTES, encoder, with_end
 
 SEQUENCE = 2048
@@ -114,9 +114,6 @@ def _tokenise(path: str, keep_ids: bool):
     return run
 
 
-_PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, offset long"
-
-
 def slots(patterns: list[tuple[list[int], int]]) -> np.ndarray:
     """Places of the patterns, sorted by length and rank: length, first rank, first sequence, offset, times in a pattern.
 
@@ -135,21 +132,14 @@ def slots(patterns: list[tuple[list[int], int]]) -> np.ndarray:
     return np.array(sorted(out), np.int64).reshape(-1, 5)
 
 
-def _place(patterns: list[tuple[list[int], int]]):
-    """Rank within the length to sequence and offset."""
-    length_of, rank_of, first_of, offset_of, times_of = slots(patterns).T
-    scale = 1 << 48
-    keys = length_of * scale + rank_of
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rank, length = b.column("rank").to_numpy(), b.column("length").to_numpy()
-            at = np.searchsorted(keys, length * scale + rank, side="right") - 1
-            pack, nth = np.divmod(rank - rank_of[at], times_of[at])
-            same = [b.column(k) for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(first_of[at] + pack), pa.array(offset_of[at] + nth * length)], schema=arrow_schema(_PLACED))
-
-    return run
+def placed(ranked: DataFrame, patterns: list[tuple[list[int], int]]) -> DataFrame:
+    """Rank within the length to sequence_id and offset. The slots of a length go to every task, so that ids, most of a piece's bytes, stay in the JVM and where they are."""
+    rows = [(length, *map(list, zip(*(s[1:] for s in same)))) for length, same in groupby(slots(patterns).tolist(), key=lambda s: s[0])]
+    by_length = ranked.sparkSession.createDataFrame(rows, "length long, ranks array<long>, firsts array<long>, offsets array<long>, times array<long>")
+    found = ranked.join(F.broadcast(by_length), "length").withColumn("at", F.size(F.filter("ranks", lambda r: r <= F.col("rank"))) - 1)
+    nth, times = F.col("rank") - F.get("ranks", F.col("at")), F.get("times", F.col("at"))
+    sequence, offset = F.get("firsts", F.col("at")) + F.floor(nth / times), F.get("offsets", F.col("at")) + nth % times * F.col("length")
+    return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", sequence.alias("sequence_id"), offset.alias("offset"))
 
 
 def pack(docs: DataFrame, tokenizer: str = BYTE_BPE, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,7 +154,8 @@ def pack(docs: DataFrame, tokenizer: str = BYTE_BPE, keep_ids: bool = True, id_c
     # with fewer buckets than shuffle partitions Spark would shuffle the pieces after all
     buckets = min(MOST_BUCKETS, max(1, docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     path, name = new_path(spark, "pieces"), f"lexispark_pieces_{uuid.uuid4().hex}"
-    docs.mapInArrow(_tokenise(tokenizer, keep_ids), _PIECES).write.bucketBy(buckets, "part").option("path", path).format("parquet").saveAsTable(name)
+    with batches_of(spark):
+        docs.mapInArrow(_tokenise(tokenizer, keep_ids), _PIECES).write.bucketBy(buckets, "part").option("path", path).format("parquet").saveAsTable(name)
     pieces = spark.table(name)
     passing(path)
     by_part = materialize(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
@@ -172,7 +163,7 @@ def pack(docs: DataFrame, tokenizer: str = BYTE_BPE, keep_ids: bool = True, id_c
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     bases = by_part.select("part", "length", F.coalesce(before, F.lit(0)).alias("base")).groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "base"))).alias("bases"))
     ranked = pieces.join(bases.hint("shuffle_hash"), ["part"]).withColumn("rank", F.element_at("bases", F.col("length")) + F.col("local")).drop("bases")
-    return ranked.mapInArrow(_place(pack_histogram(histogram)), _PLACED)
+    return placed(ranked, pack_histogram(histogram))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ class _Table:
         self.held += h.shape[1]
         if 2 * self.held > len(self.numbers):
             keys, known, was = self.keys, self.numbers, self.numbers >= 0
-            self.__init__(1 << (4 * self.held - 1).bit_length())
+            self.__init__(1 << (2 * self.held).bit_length())  # at most half full, a quarter at least
             self.add(keys[:, was], known[was])
             self.held += h.shape[1]
         open_, slot = np.arange(h.shape[1]), (h[0] & self.mask).astype(np.int64)
