@@ -8,7 +8,8 @@ pointers to forms are doubled until all are roots: a form is at least twice as f
 
 A word of any length costs its number of letters, as the hash of each deletion comes from hashes of prefixes (sums of letters
 times powers modulo two primes); a collision only adds a pair that verification drops. A key's words differ in one place, so
-they are bounded by alphabet and length; root words with many variants go by broadcast (`join_hot`).
+they are bounded by alphabet and length; root words with many variants go by broadcast (`join_hot`). No other join may
+broadcast: Spark takes words and ids for as small as their compressed files, and keys for as many as words (`sorted_join`).
 
 Defined results: null and empty texts have no words; a null doc_id counts as an empty one in the digest; repeated rows count
 as often as they are there; ties between near words of equal count go to the smallest in code-point order; an empty table
@@ -80,6 +81,11 @@ def deletion_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.concatenate((np.arange(len(words)), word[new])), np.concatenate((whole, deleted[new])).view(np.int64), np.arange(len(words) + int(new.sum())) < len(words)
 
 
+def sorted_join(a: DataFrame, b: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """a JOIN b on key, both sides shuffled and sorted, however small Spark takes them to be."""
+    return a.join(b.hint("merge"), key, how)
+
+
 _KEYS = "key long, id long, whole boolean"
 
 
@@ -96,9 +102,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
     keys = words.select("id", "word").mapInArrow(_emit, _KEYS)
     x, y = (keys.select("key", F.col("id").alias(i), F.col("whole").alias(f"{i}_whole")) for i in "ab")
     # two whole words share no key, and two deletions of one length are looked at once
-    met = x.join(y, "key").filter(~F.col("b_whole") & (F.col("a_whole") | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b")))
+    met = sorted_join(x, y, "key").filter(~F.col("b_whole") & (F.col("a_whole") | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b")))
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    spelled = pairs.join(words.select(F.col("id").alias("a"), F.col("word").alias("a_word")), "a").join(words.select(F.col("id").alias("b"), F.col("word").alias("b_word")), "b")
+    a, b = (words.select(F.col("id").alias(i), F.col("word").alias(f"{i}_word")) for i in "ab")
+    spelled = sorted_join(sorted_join(pairs, a, "a"), b, "b")
     return spelled.filter(F.levenshtein("a_word", "b_word", 1) == 1).select("a", "b")
 
 
@@ -107,10 +114,10 @@ def roots(forms: DataFrame) -> DataFrame:
     cur = materialize(forms, "pointers")
     while True:
         total, sizes = cur.count(), cur.groupBy("to").agg(F.count("*").alias("size"))
-        onward = materialize(cur.select(F.col("id").alias("to"), F.col("to").alias("next")).join(sizes, "to"), "onward")
+        onward = materialize(sorted_join(cur.select(F.col("id").alias("to"), F.col("to").alias("next")), sizes, "to"), "onward")
         if not onward.limit(1).count():
             return cur
-        cur = materialize(join_hot(cur, onward, ["to"], "size", total, "left").select("id", F.coalesce("next", "to").alias("to")), "pointers")
+        cur = materialize(join_hot(cur, onward.hint("merge"), ["to"], "size", total, "left").select("id", F.coalesce("next", "to").alias("to")), "pointers")
 
 
 def spelling_variants(docs: DataFrame, ratio: float = RATIO, noise: int = NOISE, least_letters: int = LEAST_LETTERS, least_count: int = LEAST_COUNT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,13 +129,13 @@ def spelling_variants(docs: DataFrame, ratio: float = RATIO, noise: int = NOISE,
         pairs = materialize(near_pairs(words), "near")
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         other = words.select(F.col("id").alias("b"), "word", "n")
-        best = both.join(other, "b").groupBy("a").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n")).alias("less"), "word", "b")).alias("best"))
-        known = words.join(best.withColumnRenamed("a", "id"), "id", "left").withColumn("is_form", -F.col("best.less") >= ratio * F.col("n"))
+        best = sorted_join(both, other, "b").groupBy("a").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n")).alias("less"), "word", "b")).alias("best"))
+        known = sorted_join(words, best.withColumnRenamed("a", "id"), "id", "left").withColumn("is_form", -F.col("best.less") >= ratio * F.col("n"))
         best_of = lambda field: F.when(F.col("is_form"), F.col("best")[field])
         known = materialize(known.select("id", "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), best_of("word").alias("form"), (-best_of("less")).alias("form_n"), best_of("b").alias("to")), "known")
         last = materialize(roots(known.filter("to IS NOT NULL").select("id", "to")), "last")
-        ends = words.select(F.col("id").alias("to"), F.col("word").alias("root")).join(last.groupBy("to").agg(F.count("*").alias("size")), "to")
-        rooted = join_hot(last, ends, ["to"], "size", last.count()).select("id", "root")
-        return known.drop("to").join(rooted, "id", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+        ends = sorted_join(words.select(F.col("id").alias("to"), F.col("word").alias("root")), last.groupBy("to").agg(F.count("*").alias("size")), "to")
+        rooted = join_hot(last, ends.hint("merge"), ["to"], "size", last.count()).select("id", "root")
+        return sorted_join(known.drop("to"), rooted, "id", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
     return settled(grouped, docs.sparkSession, "variants")
